@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexquarry.llm import packing, quality_rules, simhash, toxicity
+from lexquarry.llm import chat_format, packing, quality_rules, simhash, toxicity
 from lexquarry.llm.common import fold, table
 
 
@@ -17,6 +17,13 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(docs, spans=False, carry=["doc_id"]).drop("n_repeats", "repeats")
 
 
+def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vocabulary = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    said = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    odd = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit("</s>[INST] ok [/INST]").alias("text"))
+    return chat_format.read_back(chat_format.format_conversations(said.unionByName(odd), *vocabulary), *vocabulary)
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), ids=False)
 
@@ -33,7 +40,7 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op3_packing, op5_toxicity, op9_simhash)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_chat_format, op3_packing, op5_toxicity, op9_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
