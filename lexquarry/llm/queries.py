@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexquarry.llm import chat_format, packing, quality_rules, simhash, toxicity
+from lexquarry.llm import chat_format, license_scan, packing, quality_rules, simhash, toxicity
 from lexquarry.llm.common import fold, table
 
 
@@ -39,9 +39,13 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("simhash"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op2_chat_format, op3_packing, op5_toxicity, op9_simhash)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_chat_format, op3_packing, op5_toxicity, op9_simhash, op10_license_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op10_license_scan": license_scan.oracle()}
