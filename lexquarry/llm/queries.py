@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexquarry.llm import chat_format, license_scan, packing, quality_rules, simhash, toxicity
+from lexquarry.llm import chat_format, license_scan, order_minhash, packing, quality_rules, simhash, toxicity
 from lexquarry.llm.common import fold, table
 
 
@@ -34,6 +34,10 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), F.col("toxicity").alias("score"), (F.col("toxicity") >= 0.5).cast("int").alias("predicted"))
 
 
+def op8_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return order_minhash.compare_with_next(table(spark, sf_dir, "documents"))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("simhash"), 16, "0")).alias("fingerprint"), "component_id")
@@ -44,7 +48,7 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op2_chat_format, op3_packing, op5_toxicity, op9_simhash, op10_license_scan)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_chat_format, op3_packing, op5_toxicity, op8_order_minhash, op9_simhash, op10_license_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
