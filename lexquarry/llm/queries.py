@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexquarry.llm import chat_format, license_scan, order_minhash, packing, quality_rules, simhash, toxicity
+from lexquarry.llm import chat_format, license_scan, order_minhash, packing, quality_mil, quality_rules, simhash, toxicity
 from lexquarry.llm.common import fold, table
 
 
@@ -28,6 +28,12 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), ids=False)
 
 
+def op4_quality_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = quality_mil.score(docs, quality_mil.fit(docs, table(spark, sf_dir, "labels")), carry=["doc_id"])
+    return scored.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), F.col("quality_score").alias("score"), (F.col("quality_score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     scored = toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")), carry=["doc_id"])
@@ -48,7 +54,7 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op2_chat_format, op3_packing, op5_toxicity, op8_order_minhash, op9_simhash, op10_license_scan)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_chat_format, op3_packing, op4_quality_mil, op5_toxicity, op8_order_minhash, op9_simhash, op10_license_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
