@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -75,3 +76,11 @@ def add_columns(df: DataFrame, fields: T.StructType, start, carry: list[str] | N
                 yield pa.RecordBatch.from_arrays([batch.column(i) for i in at] + work(batch), names=names)
 
     return df.mapInArrow(run, schema)
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """df as a compressed table in the shared folder, read back: as cut(), for many narrow rows."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark).rstrip('/')}/tables/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
