@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexquarry.llm import chat_format, license_scan, maxent_lm, order_minhash, packing, quality_mil, quality_rules, simhash, toxicity
+from lexquarry.llm import chat_format, license_scan, maxent_lm, order_minhash, packing, piece_encoding, quality_mil, quality_rules, simhash, toxicity
 from lexquarry.llm.common import fold, table
 
 
@@ -40,6 +40,12 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), F.col("toxicity").alias("score"), (F.col("toxicity") >= 0.5).cast("int").alias("predicted"))
 
 
+def op6_piece_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    read = piece_encoding.decode(piece_encoding.encode(table(spark, sf_dir, "documents"), path), path)
+    return read.select("doc_id", "chunk", "n_ids", "ids_crc32", "score", F.length("text").cast("long").alias("n_chars"), F.sha2("text", 256).alias("decoded_sha256"))
+
+
 def op7_maxent_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return maxent_lm.score(table(spark, sf_dir, "documents"))
 
@@ -58,7 +64,7 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op2_chat_format, op3_packing, op4_quality_mil, op5_toxicity, op7_maxent_lm, op8_order_minhash, op9_simhash, op10_license_scan)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_chat_format, op3_packing, op4_quality_mil, op5_toxicity, op6_piece_encoding, op7_maxent_lm, op8_order_minhash, op9_simhash, op10_license_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
