@@ -51,6 +51,13 @@ def normalised(text: Column) -> Column:
     return F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " ")
 
 
+def pairs_of(text: Column) -> Column:
+    """The distinct pairs of neighbouring words of a text. The words are the one element of an array, so that they are made
+    once, not for each pair."""
+    words = F.array(F.split(F.trim(normalised(text)), " "))
+    return F.get(F.transform(words, lambda w: F.array_distinct(F.transform(F.slice(w, 2, F.size(w)), lambda x, i: F.concat_ws(" ", F.get(w, i), x)))), F.lit(0))
+
+
 def scan(df: DataFrame, id: str = "doc_id", text: str = "text", threshold: float = 0.8, templates: list[tuple[str, str]] = TEMPLATES) -> DataFrame:
     """(id, unit, unit_no, template_no, license, n_bigrams, dice): a row for each unit of a text and template that are as
     like as the threshold.
@@ -71,16 +78,16 @@ def scan(df: DataFrame, id: str = "doc_id", text: str = "text", threshold: float
     lines, paragraphs = F.split("_text", "\n"), F.split("_text", r"\n[ \t\r]*\n")
 
     def numbered(kind: str, parts: Column, keep) -> Column:
-        each = F.transform(parts, lambda p, i: F.struct(F.lit(kind).alias("unit"), i.alias("no"), p.alias("text")))
+        each = F.transform(parts, lambda p, i: F.struct(F.lit(kind).alias("unit"), i.alias("no"), p.alias("text"), pairs_of(p).alias("pairs")))
         return F.filter(each, keep)
 
     units = F.concat(
         numbered("line", lines, lambda u: F.length(u["text"]) > 0),
         numbered("paragraph", paragraphs, lambda u: F.contains(u["text"], F.lit("\n"))),
-        F.when(F.size(paragraphs) > 1, F.array(F.struct(F.lit("document").alias("unit"), F.lit(0).alias("no"), F.col("_text").alias("text")))).otherwise(F.array()),
+        F.when(F.size(paragraphs) > 1, F.array(F.struct(F.lit("document").alias("unit"), F.lit(0).alias("no"), F.col("_text").alias("text"), pairs_of(F.col("_text")).alias("pairs")))).otherwise(F.array()),
     )
-    split = likely.select("_id", F.explode(units).alias("u")).select("_id", "u.unit", "u.no", F.split(F.trim(normalised(F.col("u.text"))), " ").alias("words"))
-    paired = split.where(F.size("words") > 1).select("_id", "unit", "no", F.array_distinct(F.transform(F.slice("words", 2, F.size("words")), lambda w, i: F.concat_ws(" ", F.get("words", i), w))).alias("pairs"))
+    # what explode() gives is not folded into later expressions, so no pair is made twice
+    paired = likely.select("_id", F.explode(units).alias("u")).select("_id", "u.unit", "u.no", "u.pairs")
     sized = paired.where(F.size("pairs").between(math.ceil(low * min(sizes)), math.floor(high * max(sizes))))
     met = F.filter(listed, lambda t: (F.size("pairs") >= low * F.size(t["pairs"])) & (F.size("pairs") <= high * F.size(t["pairs"])))
     scored = F.transform(met, lambda t: F.struct(t["no"].alias("no"), t["license"].alias("license"), (F.lit(2.0) * F.size(F.array_intersect("pairs", t["pairs"])) / (F.size("pairs") + F.size(t["pairs"]))).alias("dice")))
