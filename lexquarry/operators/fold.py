@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from lexquarry.operators.machines import Machine
+
 
 def ordered_fold(df: DataFrame, key: str, order: list[str], added: T.StructType, start: Callable[[], Callable[[dict], tuple]]) -> DataFrame:
     """df's rows with the fields of added. start() gives a function for each key, which is called with its rows in order and
@@ -54,54 +56,11 @@ def admission(max_items: int, max_chars: int, chars: str):
     return start
 
 
-def rate_limit(limit: int, window: float, seconds: str):
-    """Allows a hit if fewer than limit allowed ones lie in the window before it, else gives the wait in whole seconds."""
+def each(kind: type[Machine], none: tuple):
+    """A machine that gives at most one row for each row taken."""
 
     def start():
-        from collections import deque
-        from math import ceil
-
-        hits: deque[float] = deque()
-
-        def step(row: dict) -> tuple:
-            now = row[seconds]
-            while hits and hits[0] <= now - window:
-                hits.popleft()
-            if len(hits) >= limit:
-                return (False, max(1, ceil(window - (now - hits[0]))))
-            hits.append(now)
-            return (True, None)
-
-        return step
-
-    return start
-
-
-def voice_activity(level: str, ms: str, ratio: float = 2.5, least: float = 0.012, start_ms: int = 180, silence_ms: int = 900, most_ms: int = 30_000, floor: float = 0.005):
-    """'start' once a level has been loud for start_ms, 'end' after silence_ms of quiet or most_ms; quiet frames outside
-    speech move the noise floor that loudness is measured against."""
-
-    def start():
-        noise, speaking, since, loudest, begun = floor, False, None, 0, 0
-
-        def step(row: dict) -> tuple:
-            nonlocal noise, speaking, since, loudest, begun
-            now, loud = row[ms], row[level] > max(least, noise * ratio)
-            if speaking:
-                loudest = now if loud else loudest
-                if now - loudest >= silence_ms or now - begun >= most_ms:
-                    speaking, since = False, None
-                    return ("end",)
-                return (None,)
-            if not loud:
-                since, noise = None, min(0.2, noise * 0.95 + row[level] * 0.05)
-                return (None,)
-            since = now if since is None else since
-            if now - since < start_ms:
-                return (None,)
-            speaking, begun, loudest = True, since, now
-            return ("start",)
-
-        return step
+        machine = kind()
+        return lambda row: (machine.take(row) or [none])[0]
 
     return start

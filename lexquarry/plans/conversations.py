@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from lexquarry.functions import text as X
 from lexquarry.operators import chat, fold
+from lexquarry.operators.machines import RateLimit, VoiceActivity, configured
 from lexquarry.plans.registry import query, table
 
 
@@ -105,7 +106,7 @@ def _hits(spark, sf_dir):
 def rate_limit_decisions(spark, sf_dir):
     """A sliding limit of two hits in six hours for each user; denied hits do not count."""
     added = T.StructType([T.StructField("allowed", T.BooleanType()), T.StructField("wait", T.LongType())])
-    return fold.ordered_fold(_hits(spark, sf_dir), "user_id", ["at", "event_id"], added, fold.rate_limit(2, 6 * 3600.0, "at")).select("user_id", "event_id", "allowed", "wait")
+    return fold.ordered_fold(_hits(spark, sf_dir), "user_id", ["at", "event_id"], added, fold.each(configured(RateLimit, limit=2, window=6 * 3600.0), (None, None))).select("user_id", "event_id", "allowed", "wait")
 
 
 @query("""SELECT event_id, user_id, n, n > 2 AS unstable FROM (SELECT event_id, user_id, count(*) OVER (PARTITION BY user_id ORDER BY CAST(floor(epoch(ts)) AS BIGINT) RANGE BETWEEN 43200 PRECEDING AND CURRENT ROW) AS n FROM events)""")
@@ -120,7 +121,7 @@ def vad_sessions(spark, sf_dir):
     """Speech starts and ends over events taken as loudness frames, half a second apart."""
     frames = table(spark, sf_dir, "events").select("user_id", "event_id", (F.col("value") / 1000).alias("level"), (F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")) * 500).alias("ms"))
     added = T.StructType([T.StructField("signal", T.StringType())])
-    return fold.ordered_fold(frames, "user_id", ["ms"], added, fold.voice_activity("level", "ms")).where("signal IS NOT NULL").select("user_id", "event_id", "ms", "signal")
+    return fold.ordered_fold(frames, "user_id", ["ms"], added, fold.each(VoiceActivity, (None,))).where("signal IS NOT NULL").select("user_id", "event_id", "ms", "signal")
 
 
 @query("""WITH g AS (SELECT user_id, ts, lag(ts) OVER (PARTITION BY user_id ORDER BY ts) AS p FROM events), s AS (SELECT user_id, ts, sum(CASE WHEN p IS NULL OR ts - p >= INTERVAL 1 HOUR THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS i FROM g)
