@@ -59,8 +59,8 @@ def pairs_of(text: Column) -> Column:
 
 
 def scan(df: DataFrame, id: str = "doc_id", text: str = "text", threshold: float = 0.8, templates: list[tuple[str, str]] = TEMPLATES) -> DataFrame:
-    """(id, unit, unit_no, template_no, license, n_bigrams, dice): a row for each unit of a text and template that are as
-    like as the threshold.
+    """(id, unit, unit_no, template_no, license, n_bigrams, dice): a row for each unit of a text that is as like a
+    template as the threshold, with the likest template (of equals the first).
 
     Units are the lines of a text, its paragraphs (split at blank lines) of several lines, and the whole text if it has
     several paragraphs; each is lower-cased and split into words of letters and digits. Dice is over sets of pairs of
@@ -90,9 +90,10 @@ def scan(df: DataFrame, id: str = "doc_id", text: str = "text", threshold: float
     paired = likely.select("_id", F.explode(units).alias("u")).select("_id", "u.unit", "u.no", "u.pairs")
     sized = paired.where(F.size("pairs").between(math.ceil(low * min(sizes)), math.floor(high * max(sizes))))
     met = F.filter(listed, lambda t: (F.size("pairs") >= low * F.size(t["pairs"])) & (F.size("pairs") <= high * F.size(t["pairs"])))
-    scored = F.transform(met, lambda t: F.struct(t["no"].alias("no"), t["license"].alias("license"), (F.lit(2.0) * F.size(F.array_intersect("pairs", t["pairs"])) / (F.size("pairs") + F.size(t["pairs"]))).alias("dice")))
-    found = sized.select("_id", "unit", "no", F.size("pairs").alias("n_bigrams"), F.explode(scored).alias("m")).where(F.col("m.dice") >= threshold - 1e-9)
-    return found.select(F.col("_id").alias(id), "unit", F.col("no").cast("long").alias("unit_no"), F.col("m.no").cast("long").alias("template_no"), F.col("m.license").alias("license"), F.col("n_bigrams").cast("long").alias("n_bigrams"), F.round("m.dice", 6).alias("dice"))
+    dice = lambda t: F.lit(2.0) * F.size(F.array_intersect("pairs", t["pairs"])) / (F.size("pairs") + F.size(t["pairs"]))
+    best = F.array_max(F.transform(met, lambda t: F.struct(dice(t).alias("dice"), (-t["no"]).alias("no"), t["license"].alias("license"))))
+    found = sized.select("_id", "unit", "no", F.size("pairs").alias("n_bigrams"), best.alias("m")).where(F.col("m.dice") >= threshold - 1e-9)
+    return found.select(F.col("_id").alias(id), "unit", F.col("no").cast("long").alias("unit_no"), (-F.col("m.no")).cast("long").alias("template_no"), F.col("m.license").alias("license"), F.col("n_bigrams").cast("long").alias("n_bigrams"), F.round("m.dice", 6).alias("dice"))
 
 
 def oracle(templates: list[tuple[str, str]] = TEMPLATES, threshold: float = 0.8) -> str:
@@ -100,14 +101,16 @@ def oracle(templates: list[tuple[str, str]] = TEMPLATES, threshold: float = 0.8)
     values = ", ".join("({}, '{}', [{}])".format(i, name, ", ".join(f"'{p}'" for p in bigrams(t))) for i, (name, t) in enumerate(templates))
     return rf"""
 WITH templates(no, license, pairs) AS (VALUES {values}),
-lines AS (SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents),
-paras AS (SELECT doc_id, text, string_split_regex(text, '\n[ \t\r]*\n') AS parts FROM documents),
+d AS (SELECT row_number() OVER () AS r, doc_id, text FROM documents),
+lines AS (SELECT r, doc_id, string_split(text, chr(10)) AS parts FROM d),
+paras AS (SELECT r, doc_id, text, string_split_regex(text, '\n[ \t\r]*\n') AS parts FROM d),
 units AS (
-  SELECT doc_id, 'line' AS unit, unnest(range(len(parts))) AS unit_no, unnest(parts) AS body FROM lines
-  UNION ALL SELECT * FROM (SELECT doc_id, 'paragraph', unnest(range(len(parts))), unnest(parts) AS body FROM paras) WHERE contains(body, chr(10))
-  UNION ALL SELECT doc_id, 'document', 0, text FROM paras WHERE len(parts) > 1),
-split AS (SELECT doc_id, unit, unit_no, string_split(trim(regexp_replace(lower(body), '[^\p{{L}}\p{{N}}]+', ' ', 'g')), ' ') AS words FROM units WHERE length(body) > 0),
-paired AS (SELECT doc_id, unit, unit_no, list_distinct(list_transform(range(1, len(words)), lambda i: words[i] || ' ' || words[i + 1])) AS pairs FROM split WHERE len(words) > 1)
+  SELECT r, doc_id, 'line' AS unit, unnest(range(len(parts))) AS unit_no, unnest(parts) AS body FROM lines
+  UNION ALL SELECT * FROM (SELECT r, doc_id, 'paragraph', unnest(range(len(parts))), unnest(parts) AS body FROM paras) WHERE contains(body, chr(10))
+  UNION ALL SELECT r, doc_id, 'document', 0, text FROM paras WHERE len(parts) > 1),
+split AS (SELECT r, doc_id, unit, unit_no, string_split(trim(regexp_replace(lower(body), '[^\p{{L}}\p{{N}}]+', ' ', 'g')), ' ') AS words FROM units WHERE length(body) > 0),
+paired AS (SELECT r, doc_id, unit, unit_no, list_distinct(list_transform(range(1, len(words)), lambda i: words[i] || ' ' || words[i + 1])) AS pairs FROM split WHERE len(words) > 1)
 SELECT doc_id, unit, CAST(unit_no AS BIGINT) AS unit_no, CAST(no AS BIGINT) AS template_no, license, CAST(len(p.pairs) AS BIGINT) AS n_bigrams,
   round(2.0::DOUBLE * len(list_intersect(p.pairs, t.pairs)) / (len(p.pairs) + len(t.pairs)), 6) AS dice
-FROM paired p JOIN templates t ON 2.0 * len(list_intersect(p.pairs, t.pairs)) / (len(p.pairs) + len(t.pairs)) >= {threshold} - 1e-9"""
+FROM paired p JOIN templates t ON 2.0 * len(list_intersect(p.pairs, t.pairs)) / (len(p.pairs) + len(t.pairs)) >= {threshold} - 1e-9
+QUALIFY row_number() OVER (PARTITION BY r, unit, unit_no ORDER BY 2.0 * len(list_intersect(p.pairs, t.pairs)) / (len(p.pairs) + len(t.pairs)) DESC, no) = 1"""
