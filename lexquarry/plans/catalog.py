@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexquarry.plans import conversations, documents, registry, retrieval  # noqa: F401  (they register themselves)
+from lexquarry.plans import conversations, display, documents, registry, retrieval  # noqa: F401  (they register themselves)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

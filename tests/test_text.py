@@ -46,3 +46,22 @@ def test_chunks_keep_section_and_overlap():
     assert first[1][2].split("\n")[0] in first[0][2]
     assert got[-1] == (1, "5. TERMINATION", "5. TERMINATION\nShort.")
     assert all(len(p) <= 50 for p in pieces("One two three. " * 20 + "x" * 120, 50))
+
+
+def test_marked_text(spark):
+    df = spark.createDataFrame([([("Page 1", "x" * 500), ("Page 2", "y" * 500)],), ([("Page 1", "x" * 700), ("Page 2", "y" * 500)],), ([],)], "s array<struct<location:string,text:string>>")
+    from lexquarry.functions import prompts as P
+
+    got = [r[0] for r in df.select(P.marked_text(F.col("s"), 800)).collect()]
+    assert got[0].truncated and "[Page 2]" in got[0].text and len(got[0].text) <= 810
+    assert got[1].truncated and "[Page 2]" not in got[1].text and (got[2].text, got[2].truncated) == ("", False)
+
+
+def test_prompts_and_labels(spark):
+    from lexquarry.functions import prompts as P
+
+    assert one(spark, lambda c: P.retry_after(c), "Please retry in 7.5s") == 7 and one(spark, lambda c: P.retry_after(c), "no hint") == 60
+    assert one(spark, lambda c: P.analysis_prompt(c, F.lit(" "), F.array().cast("array<string>")), "Task") == "Task\n\n" + P.NO_DOCUMENTS
+    assert one(spark, lambda c: P.export_name(c), "Risk: report (1)!") == "Risk_report_1"
+    marks = one(spark, lambda c: P.highlights(c, F.array(F.lit("RENT"), F.lit("ent is"), F.lit("due"))), "The rent is due")
+    assert [(m.start, m.length) for m in marks] == [(5, 4), (13, 3)]
