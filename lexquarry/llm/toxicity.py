@@ -150,13 +150,13 @@ def gapped(word: str) -> list[str]:
 
 def squared_hinge(x: np.ndarray, y: np.ndarray, cost: np.ndarray, rounds: int = 25) -> np.ndarray:
     """Weights, the last being the bias, of a linear support vector machine, by Newton steps."""
-    x = np.hstack([x, np.ones((len(x), 1))])
+    x = np.hstack([x, np.ones((len(x), 1), x.dtype)])
     w = np.zeros(x.shape[1])
     keep = np.eye(len(w)) * np.append(np.ones(len(w) - 1), 1e-6)
     for _ in range(rounds):
         on = y * (x @ w) < 1
-        a = x[on] * cost[on, None]
-        new = np.linalg.solve(keep + a.T @ x[on], a.T @ y[on])
+        some, each = x[on], cost[on].astype(x.dtype)
+        new = np.linalg.solve(keep + (some * each[:, None]).T @ some, some.T @ (each * y[on].astype(x.dtype)))
         if np.allclose(new, w, atol=1e-6):
             break
         w = new
@@ -187,7 +187,8 @@ def train(texts: list[str], labels: list[int], most_landmarks: int = 40, plain_l
     anew: those still on the right side and the best of each text. Without texts of both labels, nothing is toxic.
     """
     model, kernel = Model([START + "none"], np.zeros(1), -1.0, 1.0, -1.0), SubsequenceKernel()
-    bags = [({letters(w) for w in words_of(t)} - {""}, y) for t, y in zip(texts, labels)]
+    one: dict[str, str] = {}
+    bags = [({one.setdefault(w, w) for w in map(letters, words_of(t))} - {""}, y) for t, y in zip(texts, labels)]
     toxic, clean = [b for b, y in bags if y and b], [b for b, y in bags if not y and b]
     if not toxic or not clean:
         return model
@@ -196,15 +197,15 @@ def train(texts: list[str], labels: list[int], most_landmarks: int = 40, plain_l
         return model
     vocabulary = sorted(set().union(*toxic, *clean))
     place = {w: i for i, w in enumerate(vocabulary)}
-    owner = [(i, u) for i, w in enumerate(vocabulary) for u in units(w)]
+    owner, parts = zip(*[(i, u) for i, w in enumerate(vocabulary) for u in units(w)])
     rows = np.zeros((len(vocabulary), len(marks) + len(plain)), np.float32)
-    np.maximum.at(rows, [i for i, _ in owner], kernel.against([u for _, u in owner], marks + plain))
+    np.maximum.at(rows, np.array(owner), kernel.against(list(parts), marks + plain))
     values, vectors = np.linalg.eigh(kernel.against(marks + plain, marks + plain).astype(np.float64))
-    root = vectors @ np.diag(1 / np.sqrt(np.maximum(values, 1e-3))) @ vectors.T
-    mapped = rows @ root
+    root = (vectors @ np.diag(1 / np.sqrt(np.maximum(values, 1e-3))) @ vectors.T).astype(np.float32)
     inside = [np.fromiter((place[w] for w in b), np.int64, len(b)) for b in toxic]
     others = np.unique(np.concatenate([np.fromiter((place[w] for w in b), np.int64, len(b)) for b in clean]))
-    negatives = np.vstack([mapped[others[rows[others].any(axis=1)]], np.zeros((1, mapped.shape[1]))])
+    # words hardly like any landmark are all as one
+    negatives = np.vstack([rows[others[rows[others].max(axis=1) > 0.1]] @ root, np.zeros((1, rows.shape[1]), np.float32)])
     seen = np.zeros(len(vocabulary), bool)
     seen[others] = True
     marked = np.array([any(u.startswith(m) for u in units(w) for m in marks) for w in vocabulary]) & ~seen
@@ -215,18 +216,18 @@ def train(texts: list[str], labels: list[int], most_landmarks: int = 40, plain_l
         best, times = best[own], times[own]
         variants = [gapped(units(vocabulary[i])[0][: WINDOW // 2]) for i in best]
         shares = [t / max(1, len(v)) for t, v in zip(times, variants) for _ in v]
-        positives = np.vstack([mapped[best], kernel.against([g for v in variants for g in v], marks + plain) @ root])
+        positives = np.vstack([rows[best] @ root, kernel.against([g for v in variants for g in v], marks + plain) @ root])
         x = np.vstack([positives, negatives])
         y = np.append(np.ones(len(positives)), -np.ones(len(negatives)))
         weight = np.append(times, shares)
         w = squared_hinge(x, y, cost * np.append(weight * max(1.0, len(negatives) / weight.sum() / 4), np.ones(len(negatives))))
-        margins = mapped @ w[:-1] + w[-1]
+        margins = rows @ (root @ w[:-1]).astype(np.float32) + np.float32(w[-1])
     at_text = np.array([margins[bag].max() for bag in inside] + [margins[np.fromiter((place[v] for v in b), np.int64, len(b))].max() for b in clean])
     slope, shift = logistic(at_text, np.array([1] * len(inside) + [0] * len(clean)))
     return Model(marks + plain, root @ w[:-1], float(w[-1]), slope, shift)
 
 
-def fit(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text", label: str = "toxic", folds: int = 5, per_label: int = 2500, max_chars: int = 20_000) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text", label: str = "toxic", folds: int = 5, per_label: int = 2000, max_chars: int = 20_000) -> Model:
     """A model from at most per_label documents of each label (those of the least id hash), of at most max_chars each.
 
     Only rows whose crc32(id as text) mod folds is not 0 are used. Labels other than 0 and 1 and null ids are not used; an
