@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from dataclasses import dataclass
+from heapq import nlargest
 from zlib import crc32
 
 import numpy as np
@@ -15,9 +16,11 @@ from pyspark.sql import types as T
 
 from lexquarry.llm.common import add_columns, as_texts, fold, struct_type
 
-#: Marks the start of a word, so that its first letters count for more.
-START = "^"
+#: Mark the start of a word, so that its first letters count for more, and its end, so that a stem alone differs from a
+#: longer word that begins with it.
+START, END = "^", "$"
 WINDOW, STEP = 32, 16
+TOPS, LIMIT = 3, 4.0
 SPELLED = re.compile(r"(?<!\S)\w(?:\W?\s+\w(?![^\s\W])){3,}")
 
 
@@ -27,8 +30,8 @@ def letters(word: str) -> str:
 
 
 def units(word: str) -> list[str]:
-    """What is scored for one word: the word after START, in windows where it is long."""
-    word = START + letters(word)
+    """What is scored for one word: the word between START and END, in windows where it is long."""
+    word = START + letters(word) + END
     if len(word) <= WINDOW:
         return [word]
     return [word[i : i + WINDOW] for i in range(0, len(word) - STEP, STEP)]
@@ -100,16 +103,22 @@ class SubsequenceKernel:
 
 @dataclass
 class Model:
-    """margin = kernel(word, landmarks) @ weights + bias; a text's margin is the largest of its words'."""
+    """margin = kernel(word, landmarks) @ weights + bias; a text's chance comes from the largest of its words' (see tops)."""
 
     landmarks: list[str]
     weights: np.ndarray
     bias: float
-    slope: float
+    slopes: np.ndarray
     shift: float
+    alone: float = 3.0
     n: int = 4
     decay: float = 0.6
 
+    def chances(self, best: np.ndarray) -> np.ndarray:
+        """Of texts, from their tops: from all of them together, or from one word as strong as is hardly found in a text
+        that is not toxic (margin `alone`, where it is even)."""
+        return 1 / (1 + np.exp(-np.clip(np.maximum(np.minimum(best, 2.0) @ self.slopes + self.shift, 4 * (best[:, 0] - self.alone)), -30, 30)))
+
     def margins(self, kernel: SubsequenceKernel, words: list[str]) -> np.ndarray:
         parts = [units(w) for w in words]
         flat = [u for p in parts for u in p]
@@ -118,12 +127,19 @@ class Model:
         return np.maximum.reduceat(each, begins) if len(words) else np.empty(0)
 
 
+def tops(margins) -> list[float]:
+    """The TOPS largest different margins of a text's words, held between -LIMIT and LIMIT; -LIMIT for what there is not."""
+    best = nlargest(TOPS, set(margins))
+    return [min(max(m, -LIMIT), LIMIT) for m in best] + [-LIMIT] * (TOPS - len(best))
+
+
 def choose_landmarks(toxic: list[set[str]], clean: list[set[str]], most: int, plain: int) -> tuple[list[str], list[str]]:
     """Beginnings of words that mark toxic texts (in a fiftieth of them, and three times as often as in others), the longest
-    of those that occur alike, none the beginning of another; and some common words of the other texts."""
+    of those that occur alike, none the beginning of another; and words of the other texts: for each mark the commonest
+    that begins with it, then common ones."""
 
     def starts(words: set[str]) -> set[str]:
-        return {u[0][:k] for u in map(units, words) for k in (5, 6, 7, 8) if len(u[0]) >= k}
+        return {u[0][:k] for u in map(units, words) for k in (4, 5, 6, 7, 8) if len(u[0]) >= k}
 
     counts, usual = Counter(), Counter()
     alone = {tuple(sorted(crc32(w.encode()) for w in t)[:2]): t for t in toxic}  # one of each group of near copies
@@ -139,13 +155,15 @@ def choose_landmarks(toxic: list[set[str]], clean: list[set[str]], most: int, pl
     for s in sorted(gain, key=lambda s: (-round(gain[s] / max(1, len(toxic) / 50)), -len(s), s)):
         if len(marks) < most and not any(s.startswith(m) or m.startswith(s) for m in marks):
             marks.append(s)
-    common = Counter(units(w)[0] for c in clean for w in c if 4 <= len(w) <= 8)
-    return marks, [s for s, _ in sorted(common.items(), key=lambda x: (-x[1], x[0]))[: plain + len(marks)] if s not in marks][:plain]
+    common = Counter(u for c in clean for w in c if len(w) >= 3 for u in units(w)[:1])
+    ordered = [s for s, _ in sorted(common.items(), key=lambda x: (-x[1], x[0])) if s not in marks]
+    near = [next((s for s in ordered if s.startswith(m)), None) for m in marks]
+    return marks, list(dict.fromkeys([s for s in near if s] + [s for s in ordered[: plain + len(marks)] if len(s) <= 10][:plain]))
 
 
 def gapped(word: str) -> list[str]:
     """The word with a sign put in at each place inside it."""
-    return [word[:i] + "\u00b7" + word[i:] for i in range(2, len(word))]
+    return [word[:i] + "\u00b7" + word[i:] for i in range(2, len(word) - word.endswith(END))]
 
 
 def squared_hinge(x: np.ndarray, y: np.ndarray, cost: np.ndarray, rounds: int = 25) -> np.ndarray:
@@ -163,30 +181,34 @@ def squared_hinge(x: np.ndarray, y: np.ndarray, cost: np.ndarray, rounds: int =
     return w
 
 
-def logistic(scores: np.ndarray, labels: np.ndarray) -> tuple[float, float]:
-    """Slope and shift that turn margins into chances, with the counts' own smoothing of the targets."""
+def logistic(x: np.ndarray, labels: np.ndarray) -> tuple[np.ndarray, float]:
+    """Slopes (none below 0.05) and shift that turn a text's largest margins into its chance, with the counts' own smoothing
+    of the targets."""
     n1 = labels.sum()
     n0 = len(labels) - n1
     target = np.where(labels > 0, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
-    x = np.stack([scores, np.ones(len(scores))], 1)
-    w = np.array([1.0, 0.0])
+    x = np.hstack([x, np.ones((len(x), 1))])
+    w = np.append(np.ones(x.shape[1] - 1), 0.0)
+    first = w.copy()
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + 1e-3 * np.eye(2), x.T @ (p - target) + 1e-3 * (w - [1.0, 0.0]))
+        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + 1e-2 * np.eye(len(w)), x.T @ (p - target) + 1e-2 * (w - first))
         w = w - np.clip(step, -2, 2)
+        w[:-1] = np.maximum(w[:-1], 0.05)
         if np.abs(step).max() < 1e-6:
             break
-    return float(max(w[0], 1e-3)), float(w[1])
+    return w[:-1], float(w[-1])
 
 
-def train(texts: list[str], labels: list[int], most_landmarks: int = 40, plain_landmarks: int = 8, cost: float = 4.0, rounds: int = 4) -> Model:
+def train(texts: list[str], labels: list[int], most_landmarks: int = 40, plain_landmarks: int = 8, cost: float = 40.0, rounds: int = 4, strays: float = 0.001) -> Model:
     """Multiple-instance training: a toxic text has at least one toxic word, its witness; other texts have none.
 
     Witnesses begin as the words that begin with a landmark and no other text has; then in turn a machine is fitted to the
     witnesses, and to them with a gap at each place, against all words of the other texts, and the witnesses are chosen
-    anew: those still on the right side and the best of each text. Without texts of both labels, nothing is toxic.
+    anew: those still on the right side and the best of each text. A text's chance is fitted to its largest margins; the
+    share `strays` of the other texts has a word that would be enough alone. Without texts of both labels, nothing is toxic.
     """
-    model, kernel = Model([START + "none"], np.zeros(1), -1.0, 1.0, -1.0), SubsequenceKernel()
+    model, kernel = Model([START + "none"], np.zeros(1), -1.0, np.ones(TOPS), -1.0), SubsequenceKernel()
     one: dict[str, str] = {}
     bags = [({one.setdefault(w, w) for w in map(letters, words_of(t))} - {""}, y) for t, y in zip(texts, labels)]
     toxic, clean = [b for b, y in bags if y and b], [b for b, y in bags if not y and b]
@@ -220,11 +242,13 @@ def train(texts: list[str], labels: list[int], most_landmarks: int = 40, plain_l
         x = np.vstack([positives, negatives])
         y = np.append(np.ones(len(positives)), -np.ones(len(negatives)))
         weight = np.append(times, shares)
-        w = squared_hinge(x, y, cost * np.append(weight * max(1.0, len(negatives) / weight.sum() / 4), np.ones(len(negatives))))
+        w = squared_hinge(x, y, cost * np.append(weight, np.ones(len(negatives))))
         margins = rows @ (root @ w[:-1]).astype(np.float32) + np.float32(w[-1])
-    at_text = np.array([margins[bag].max() for bag in inside] + [margins[np.fromiter((place[v] for v in b), np.int64, len(b))].max() for b in clean])
-    slope, shift = logistic(at_text, np.array([1] * len(inside) + [0] * len(clean)))
-    return Model(marks + plain, root @ w[:-1], float(w[-1]), slope, shift)
+    at_text = np.array([tops(margins[bag].tolist()) for bag in inside] + [tops(margins[np.fromiter((place[v] for v in b), np.int64, len(b))].tolist()) for b in clean])
+    of = np.array([1] * len(inside) + [0] * len(clean))
+    slopes, shift = logistic(np.minimum(at_text, 2.0), of)
+    alone = max(1.0, float(np.quantile(at_text[of == 0, 0], 1 - strays)))
+    return Model(marks + plain, root @ w[:-1], float(w[-1]), slopes, shift, alone)
 
 
 def fit(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text", label: str = "toxic", folds: int = 5, per_label: int = 2000, max_chars: int = 20_000) -> Model:
@@ -242,14 +266,14 @@ def fit(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "tex
 
 
 def score(df: DataFrame, model: Model, text: str = "text", carry: list[str] | None = None, most_known: int = 400_000) -> DataFrame:
-    """Adds toxicity, between 0 and 1: from the most toxic word of the whole text. A null, empty or blank text has the score
+    """Adds toxicity, between 0 and 1: from the most toxic words of the whole text. A null, empty or blank text has the score
     of a text without any toxic word. No shuffle; the words already scored are kept, and dropped when there are most_known."""
     at = df.columns.index(text)
 
     def start():
         kernel, known = SubsequenceKernel(model.n, model.decay), {}
 
-        def margins(texts: list[str]) -> list[float]:
+        def margins(texts: list[str]) -> list[list[float]]:
             lists = [words_of(t) for t in texts]
             new = {w for ws in lists for w in ws if w not in known}
             if len(known) + len(new) > most_known:
@@ -259,7 +283,7 @@ def score(df: DataFrame, model: Model, text: str = "text", carry: list[str] | No
             bare = sorted(bare)
             got = dict(zip(bare, model.margins(kernel, bare).tolist()))
             known.update((w, got[letters(w)]) for w in new)
-            return [max(map(known.__getitem__, ws), default=model.bias) for ws in lists]
+            return [tops(map(known.__getitem__, ws)) for ws in lists]
 
         def work(batch: pa.RecordBatch) -> list[pa.Array]:
             texts, out, begin, size = as_texts(batch.column(at)), [], 0, 0
@@ -268,7 +292,7 @@ def score(df: DataFrame, model: Model, text: str = "text", carry: list[str] | No
                 if size > 2_000_000 or i + 1 == len(texts):
                     out += margins(texts[begin : i + 1])
                     begin, size = i + 1, 0
-            return [pa.array(1 / (1 + np.exp(-np.clip(model.slope * np.array(out, np.float64) + model.shift, -30, 30))))]
+            return [pa.array(model.chances(np.array(out, np.float64).reshape(-1, TOPS)))]
 
         return work
 
