@@ -49,6 +49,13 @@ def as_bytes(texts: pa.Array) -> list[bytes]:
     return pc.fill_null(texts, "").cast(pa.binary()).to_pylist()
 
 
+def sliced(batches, rows: int = 500):
+    """The batches in parts of at most so many rows, so that what is made of them in Python stays small."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def replaced(df: DataFrame, name: str, value: Column) -> DataFrame:
     """df with the column set last, in the place of any of that name in whatever case."""
     return df.drop(*[c for c in df.columns if c.lower() == name.lower()]).withColumn(name, value)

@@ -6,6 +6,7 @@ positions before it as a matrix; matrices combine associatively, and then every
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lexquarry.llm.common import as_texts, stored, struct_type
+from lexquarry.llm.common import as_texts, sliced, stored, struct_type
 
 LOW = float("-inf")
 SPACE = "▁"
@@ -44,7 +45,19 @@ class Pieces:
         self.table: dict[str, float | None] = {n[:k]: None for n in self.ids for k in range(1, len(n))}
         self.table |= {n: model.get_score(i) for n, i in self.ids.items()}
         self.most = most
-        self.known: dict[str, tuple[bytes, float]] = {}
+        ends = SPACE if "\n" in self.ids else SPACE + "\n"
+        self.unit = re.compile(f"[{ends}][^{ends}]*|[^{ends}]+")
+        self.known = self.Known(self.segment)
+
+    class Known(dict):
+        """word -> its ids and score; a word not yet known is segmented and kept."""
+
+        def __init__(self, find):
+            self.find = find
+
+        def __missing__(self, word):
+            out = self[word] = self.find(word)
+            return out
 
     def relax(self, text: str, best: list, back: list[int], after: int, until: int) -> None:
         """Extends the best scores from positions before `until` to ends after `after`."""
@@ -112,18 +125,11 @@ class Pieces:
         """As segment(prepare(text)), word by word: no piece reaches over the start of a word or over a line end."""
         if len(self.known) > self.most:
             self.known.clear()
-        parts, total = [], 0.0
-        prepared = prepare(text)
-        for k, line in enumerate(prepared.split("\n")) if "\n" not in self.ids else ((0, prepared),):
-            words = line.split(SPACE)
-            for m, word in enumerate(words):
-                word = ("\n" if k and not m else SPACE if m else "") + word
-                got = self.known.get(word)
-                if got is None:
-                    got = self.known[word] = self.segment(word)
-                parts.append(got[0])
-                total += got[1]
-        return b"".join(parts), total
+        words = self.unit.findall(prepare(text))
+        if not words:
+            return b"", 0.0
+        parts, scores = zip(*map(self.known.__getitem__, words))
+        return b"".join(parts), sum(scores)
 
     def decode(self, ids: list[int]) -> str:
         """The text; the space put before it is taken off by whoever holds its first ids."""
@@ -186,7 +192,7 @@ def encode(df: DataFrame, path: str, id: str = "doc_id", text: str = "text", chu
 
     def whole(batches):
         vocab = pieces(path)
-        for batch in batches:
+        for batch in sliced(batches):
             got = [vocab.encode(t) for t in as_texts(batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([0] * len(got), pa.int64()), pa.array([g[0] for g in got], pa.binary()), pa.array([g[1] for g in got], pa.float64())], names=names)
 
@@ -281,7 +287,7 @@ def decode(encoded: DataFrame, path: str, id: str = "doc_id") -> DataFrame:
         from zlib import crc32
 
         vocab = pieces(path)
-        for batch in batches:
+        for batch in sliced(batches):
             n, sums, texts = [], [], []
             for raw, chunk in zip(batch.column(at[2]).to_pylist(), batch.column(at[1]).to_pylist()):
                 ids = np.frombuffer(raw, dtype="<i4")
