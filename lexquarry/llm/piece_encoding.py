@@ -37,6 +37,9 @@ class Pieces:
         self.names = [model.id_to_piece(i) for i in range(model.get_piece_size())]
         self.bytes = {int(n[3:5], 16): i for i, n in enumerate(self.names) if model.is_byte(i)}
         self.byte_of = {i: b for b, i in self.bytes.items()}
+        #: What an id stands for, unless it is a byte above 127, which needs those beside it.
+        self.texts = [chr(self.byte_of[i]) if self.byte_of.get(i, 128) < 128 else n.replace(SPACE, " ") for i, n in enumerate(self.names)]
+        self.joined = np.array([self.byte_of.get(i, 0) > 127 for i in range(len(self.names))])
         plain = [i for i, n in enumerate(self.names) if not (model.is_byte(i) or model.is_control(i) or model.is_unknown(i) or model.is_unused(i)) and SPACE not in n[1:]]
         self.ids = {self.names[i]: i for i in plain}
         self.length = max(map(len, self.ids))
@@ -131,20 +134,17 @@ class Pieces:
         parts, scores = zip(*map(self.known.__getitem__, words))
         return b"".join(parts), sum(scores)
 
-    def decode(self, ids: list[int]) -> str:
+    def decode(self, ids: np.ndarray) -> str:
         """The text; the space put before it is taken off by whoever holds its first ids."""
-        out, raw = [], bytearray()
-        for i in ids:
-            if i in self.byte_of:
-                raw.append(self.byte_of[i])
-                continue
-            if raw:
-                out.append(raw.decode(errors="replace"))
-                raw.clear()
-            out.append(self.names[i].replace(SPACE, " "))
-        if raw:
-            out.append(raw.decode(errors="replace"))
-        return "".join(out)
+        parts = list(map(self.texts.__getitem__, ids.tolist()))
+        end = -1
+        for k in np.flatnonzero(self.joined[ids]).tolist():
+            if k >= end:
+                end = k + 1
+                while end < len(ids) and self.joined[ids[end]]:
+                    end += 1
+                parts[k:end] = [bytes(self.byte_of[int(i)] for i in ids[k:end]).decode(errors="replace"), *[""] * (end - k - 1)]
+        return "".join(parts)
 
 
 def prepare(text: str) -> str:
@@ -291,7 +291,7 @@ def decode(encoded: DataFrame, path: str, id: str = "doc_id") -> DataFrame:
             n, sums, texts = [], [], []
             for raw, chunk in zip(batch.column(at[2]).to_pylist(), batch.column(at[1]).to_pylist()):
                 ids = np.frombuffer(raw, dtype="<i4")
-                text = vocab.decode(ids.tolist())
+                text = vocab.decode(ids)
                 n.append(len(ids))
                 sums.append(crc32(raw))
                 texts.append(text[1:] if chunk == 0 else text)
