@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lexquarry.llm.common import add_columns, as_texts, fold, struct_type
+from lexquarry.llm.common import add_columns, as_texts, fold, sliced, struct_type
 
 #: Mark the start of a word, so that its first letters count for more, and its end, so that a stem alone differs from a
 #: longer word that begins with it.
@@ -286,12 +286,14 @@ def score(df: DataFrame, model: Model, text: str = "text", carry: list[str] | No
             return [tops(map(known.__getitem__, ws)) for ws in lists]
 
         def work(batch: pa.RecordBatch) -> list[pa.Array]:
-            texts, out, begin, size = as_texts(batch.column(at)), [], 0, 0
-            for i, t in enumerate(texts):
-                size += len(t)
-                if size > 2_000_000 or i + 1 == len(texts):
-                    out += margins(texts[begin : i + 1])
-                    begin, size = i + 1, 0
+            out = []
+            for some in sliced([batch]):
+                texts, begin, size = as_texts(some.column(at)), 0, 0
+                for i, t in enumerate(texts):
+                    size += len(t)
+                    if size > 500_000 or i + 1 == len(texts):
+                        out += margins(texts[begin : i + 1])
+                        begin, size = i + 1, 0
             return [pa.array(model.chances(np.array(out, np.float64).reshape(-1, TOPS)))]
 
         return work
