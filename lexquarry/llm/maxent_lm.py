@@ -163,22 +163,24 @@ def train_round(docs: DataFrame, model: Model, families: list[str], family: str,
     return out
 
 
-def fit_weights(docs: DataFrame, model: Model, smooth: float = 30.0, hashed_smooth: float = 300.0) -> Model:
-    """One pass over the training rows, a share of them (by hash of the id) for each family in turn.
+def fit_weights(docs: DataFrame, model: Model, smooth: float = 30.0, hashed_smooth: float = 300.0, sweeps: int = 2) -> Model:
+    """Each sweep takes the families in turn, and each update is a pass over all training rows.
 
     A family has one active feature in each token, so the scaled gradient step, the logarithm of observed over expected,
-    raises the likelihood of the share it comes from; smoothing keeps rare features near 0.
+    raises the likelihood of all rows given the other families' weights; smoothing keeps rare features near 0. Later sweeps
+    revisit each family with the others in place.
     """
     whole = np.maximum(model.sizes, 0.5)
     model.bias = np.log(whole / whole.sum()).astype(np.float32)
-    share = F.pmod(F.xxhash64("_id"), F.lit(len(FAMILIES)))
     done: list[str] = []
-    for i, family in enumerate(FAMILIES):
-        observed, expected = train_round(docs.where(share == i), model, list(done), family)
+    for family in [*FAMILIES] * sweeps:
+        observed, expected = train_round(docs, model, list(done), family)
         # what a feature gives a class is smoothed towards what the model has expected of it
         prior = (hashed_smooth if FAMILIES[family] == BINS else smooth) * expected / np.maximum(expected.sum(axis=1, keepdims=True), 1e-9) + 1e-9
-        model.weights[family] = np.log((observed + prior) / (expected + prior)).clip(-8, 8).astype(np.float32)
-        done.append(family)
+        step = np.log((observed + prior) / (expected + prior))
+        model.weights[family] = (model.weights[family] + step).clip(-8, 8).astype(np.float32)
+        if family not in done:
+            done.append(family)
     return model
 
 
