@@ -1,19 +1,21 @@
 """Language-model scores: a hashed maximum-entropy model with a class-factored softmax, beside add-one unigrams.
 
-P(token | history) = P(class | history) * P(token | class). The class is a softmax over weights of hashed n-gram and skip
-features of up to three tokens before; within a class, tokens follow their counts. Frequent tokens are classes of their own,
-all others share classes by their endings.
+A token's leaf is a number of twelve bits: a class by its ending, then a hash of the whole. Three factors of four bits name
+it, each a softmax over 16 outcomes: P(token | history) = P(class | history) * P(subclass | class, history) *
+P(leaf | subclass, history) * P(token | leaf). The logits of a factor are sums of weights of hashed features: the leaf before
+(with the bits already named, an n-gram of two), the two leaves before together (of three), and, skipping one, the leaf before
+that. Within a leaf, tokens follow their counts.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from itertools import chain
 from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -23,246 +25,315 @@ from lexquarry.llm.simhash import LOWER
 
 #: The token after the last word; no word holds a blank.
 END = b" "
-OWN, SHARED, BINS = 16, 48, 4096
-CLASSES = OWN + SHARED
-START = CLASSES
-#: Features of a token, one value of each: the token before (hashed), its class, the classes of the two before together
-#: (hashed), and, skipping one and two tokens, the class before those. Each has its rows of the weights.
-FAMILIES = {"class": CLASSES + 1, "skip": CLASSES + 1, "token": BINS, "pair": BINS, "skip2": CLASSES + 1}
+WIDE, FACTORS, LEAVES = 16, 3, 4096
+START = LEAVES
+#: The features of each factor and the bits of their hashes: every feature has its own rows of the weights.
+FAMILIES = [[("one", 13), ("two", 13), ("pair", 16)], [("one", 16), ("two", 16), ("pair", 16)], [("one", 16), ("two", 16)]]
+BEGINS = np.cumsum([0] + [1 << bits for factor in FAMILIES for _, bits in factor])
+ROWS = int(BEGINS[-1])
+#: Slices in which the weights of all tasks meet.
+SLICES = 64
+ONES = np.ones(WIDE, np.float32)
 
-#: Tokens whose logits are made at a time; they fit in a core's cache.
-STEP = 4096
 
+def leaf(token: bytes) -> int:
+    return crc32(token[-3:]) % 64 * 64 + crc32(token) % 64
 
-def shared_class(token: bytes) -> int:
-    return OWN + crc32(token[-3:]) % SHARED
+
+def tokens_of(text: bytes) -> list[bytes]:
+    return text.translate(LOWER).split() + [END]
 
 
 @dataclass
 class Model:
     """What scoring needs besides the counts of a block's own tokens; its size does not depend on the corpus."""
 
-    own: dict[bytes, int]
     tokens: int
-    distinct: int
     sizes: np.ndarray
     kinds: np.ndarray
-    bias: np.ndarray = field(default_factory=lambda: np.zeros(CLASSES, np.float32))
-    weights: dict[str, np.ndarray] = field(default_factory=lambda: {k: np.zeros((n, CLASSES), np.float32) for k, n in FAMILIES.items()})
+    weights: np.ndarray = field(default_factory=lambda: np.zeros((ROWS, WIDE), np.float32))
+    seen: np.ndarray = field(default_factory=lambda: np.zeros(ROWS, np.float32))
 
-    def class_of(self, token: bytes) -> int:
-        return self.own.get(token, -1) if token in self.own else shared_class(token)
+    def bias(self) -> list[np.ndarray]:
+        """The logarithm of each outcome's share of the tokens, given the bits before it: a row for each such prefix."""
+        n = self.sizes.reshape(WIDE, WIDE, WIDE) + 0.5
+        shares = n.sum((1, 2))[None] / n.sum(), n.sum(2) / n.sum((1, 2))[:, None], (n / n.sum(2, keepdims=True)).reshape(-1, WIDE)
+        return [np.log(x).astype(np.float32) for x in shares]
 
 
-def tokens_of(text: bytes) -> list[bytes]:
-    return text.translate(LOWER).split() + [END]
+def hashed(a: np.ndarray, b: np.ndarray, bits: int) -> np.ndarray:
+    x = a * np.uint32(0x9E3779B1) + b * np.uint32(0x85EBCA77)
+    x ^= x >> np.uint32(15)
+    x *= np.uint32(0xC2B2AE3D)
+    return (x >> np.uint32(32 - bits)).astype(np.uint16)
 
 
-def coded(model: Model, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
-    """Distinct tokens' numbers for all texts in a row, the texts' begins, the classes of the distinct tokens, and these."""
-    lists = [tokens_of(t) for t in texts]
-    index: dict[bytes, int] = {}
-    numbers = np.fromiter((index.setdefault(w, len(index)) for w in chain.from_iterable(lists)), np.int64, sum(map(len, lists)))
-    begins = np.concatenate([[0], np.cumsum([len(x) for x in lists])[:-1]]).astype(np.int64)
-    return numbers, begins, np.fromiter(map(model.class_of, index), np.int64, len(index)), list(index)
+def features(codes: np.ndarray, begins: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, list[np.ndarray]]]:
+    """For each factor: the outcome of each token, the prefix of bits it follows, and its rows in each family.
 
+    codes are the leaves of the tokens of texts in a row, which begin at begins; before a text comes START."""
+    codes = codes.astype(np.uint32)
+    places = np.arange(len(codes)) - np.repeat(begins, np.diff(np.append(begins, len(codes))))
 
-def features(classes: np.ndarray, bins: np.ndarray, places: np.ndarray) -> dict[str, np.ndarray]:
-    """The rows of each family for tokens in a row, given how many tokens of its text each has before it."""
-
-    def before(x: np.ndarray, k: int, start: int) -> np.ndarray:
-        out = np.full(len(x), start)
-        out[k:] = np.where(places[k:] >= k, x[:-k], start)
+    def before(k: int) -> np.ndarray:
+        out = np.full(len(codes), START, np.uint32)
+        out[k:] = np.where(places[k:] >= k, codes[:-k], START)
         return out
 
-    one, two, three = (before(classes, k, START) for k in (1, 2, 3))
-    return {"class": one, "skip": two, "token": before(bins, 1, 0), "pair": (one * 131 + two * 7919) % BINS, "skip2": three, "both": one * (CLASSES + 1) + two}
-
-
-class Logits:
-    """Logits of the classes, up to a constant of each token, by some of the families. The weights of the two classes before
-    are added up in one table, so that a token looks up four rows, not six. Weights are clipped, so no exponential of a sum
-    of them overflows."""
+    known = {"one": before(1), "two": before(2)}
+    known["pair"] = known["one"] * np.uint32(LEAVES + 1) + known["two"]
+    out = []
+    for i, families in enumerate(FAMILIES):
+        prefix = codes >> np.uint32(4 * (FACTORS - i))
+        outcome = (codes >> np.uint32(4 * (FACTORS - 1 - i))) & np.uint32(15)
+        out.append((outcome.astype(np.intp), prefix.astype(np.intp), [hashed(known[name], prefix, bits) for name, bits in families]))
+    return out
 
-    def __init__(self, model: Model, families: list[str]):
-        self.first = "both" if "skip" in families else "class" if families else None
-        table = model.bias + model.weights["class"] * ("class" in families)
-        self.table = (table[:, None, :] + model.weights["skip"][None, :, :]).reshape(-1, CLASSES) if self.first == "both" else table
-        self.rest = [(k, model.weights[k]) for k in families if k not in ("class", "skip")]
 
-    def of(self, rows: dict[str, np.ndarray], some: slice) -> np.ndarray:
-        n = len(rows["class"][some])
-        out = np.take(self.table, rows[self.first][some], axis=0) if self.first else np.broadcast_to(self.table[0], (n, CLASSES)).copy()
-        for k, weights in self.rest:
-            out += np.take(weights, rows[k][some], axis=0)
-        return out
+def logits(weights: np.ndarray, bias: list[np.ndarray], i: int, prefix: np.ndarray, rows: list[np.ndarray]) -> np.ndarray:
+    """Of the outcomes of factor i. Weights are clipped, so no exponential of a sum of them overflows."""
+    out = np.take(bias[i], prefix, axis=0)
+    first = sum(map(len, FAMILIES[:i]))
+    for k, r in enumerate(rows, first):
+        out += np.take(weights[BEGINS[k] : BEGINS[k + 1]], r, axis=0)
+    return out
 
 
-def _places(begins: np.ndarray, total: int) -> np.ndarray:
-    lengths = np.diff(np.append(begins, total))
-    return np.arange(total) - np.repeat(begins, lengths)
+def gradient(weights: np.ndarray, bias: list[np.ndarray], i: int, outcome: np.ndarray, prefix: np.ndarray, rows: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For each family of factor i: the rows that occur, how often, and the gradient of the tokens' log-likelihood there."""
+    chances = logits(weights, bias, i, prefix, rows)
+    np.exp(chances, out=chances)
+    chances *= (-1 / (chances @ ONES))[:, None]
+    chances[np.arange(len(outcome)), outcome] += 1
+    for k, r in enumerate(rows, sum(map(len, FAMILIES[:i]))):
+        order = np.argsort(r, kind="stable")
+        ordered = r[order]
+        first = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1]))
+        sums = np.add.reduceat(np.take(chances, order, axis=0), first, axis=0)
+        yield ordered[first].astype(np.intp) + BEGINS[k], np.diff(np.append(first, len(r))), sums
 
 
-def text_groups(texts: list[bytes], most: int = 2_000_000):
-    """The texts in runs of about so many bytes."""
+def text_runs(arrays: list[np.ndarray], most: int = 500_000) -> Iterator[tuple[int, int]]:
+    """The texts in runs of about so many tokens."""
     begin = size = 0
-    for i, t in enumerate(texts):
-        size += len(t)
-        if size > most:
-            yield texts[begin : i + 1]
+    for i, a in enumerate(arrays):
+        size += len(a)
+        if size > most or i + 1 == len(arrays):
+            yield begin, i + 1
             begin, size = i + 1, 0
-    if begin < len(texts):
-        yield texts[begin:]
 
 
-def train_round(docs: DataFrame, model: Model, families: list[str], family: str, step: int = STEP) -> np.ndarray:
-    """Observed and expected counts of each feature of a family with each class, over all rows of docs: the two halves of
-    the gradient. Tasks add up their own; the sums meet by slice of the table, in two steps, so that no task reads what all
-    others have."""
-    rows_of, slices, ones = FAMILIES[family], 16, np.ones(CLASSES, np.float32)
-    width = -(-rows_of // slices)
+def joined(arrays: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The arrays in a row, and where each begins."""
+    return np.concatenate(arrays), np.concatenate([[0], np.cumsum([len(a) for a in arrays])[:-1]]).astype(np.int64)
+
+
+class Trainer:
+    """Gradient ascent with a step for each weight that falls with its own past gradients."""
+
+    def __init__(self, model: Model, rate: float, batch: int):
+        self.weights, self.bias, self.rate, self.batch = model.weights.copy(), model.bias(), rate, batch
+        # what rounds before have seen counts as so many gradients of a middling outcome
+        self.squares = np.ones((ROWS, WIDE), np.float32) + 0.04 * model.seen[:, None]
+        self.seen = np.zeros(ROWS, np.float32)
+
+    def take(self, texts: list[np.ndarray]) -> None:
+        codes, begins = joined(texts)
+        factors = features(codes, begins)
+        for at in range(0, len(codes), self.batch):
+            some = slice(at, at + self.batch)
+            for i, (outcome, prefix, rows) in enumerate(factors):
+                for where, times, sums in list(gradient(self.weights, self.bias, i, outcome[some], prefix[some], [r[some] for r in rows])):
+                    self.seen[where] += times
+                    squares = np.take(self.squares, where, axis=0)
+                    squares += sums * sums
+                    self.squares[where] = squares
+                    sums *= self.rate
+                    sums /= np.sqrt(squares)
+                    self.weights[where] = (np.take(self.weights, where, axis=0) + sums).clip(-8, 8)
+
+
+def mixed(parts: Iterator[tuple[bytes, bytes]]) -> tuple[np.ndarray, np.ndarray]:
+    """How often each row was seen by any task, and its weights: the mean over tasks, each counted as often as it saw the row."""
+    seen = total = None
+    for n, w in parts:
+        n, w = np.frombuffer(n, np.float32), np.frombuffer(w, np.float16).reshape(-1, WIDE)
+        seen, total = (n.copy(), n[:, None] * w) if seen is None else (seen + n, total + n[:, None] * w)
+    return seen, total / np.maximum(seen, 1)[:, None]
+
+
+def train_round(codes: DataFrame, model: Model, rate: float, batch: int, task_tokens: int) -> Model:
+    """The model after one round of distributed gradient updates over all rows of codes (column codes: leaves, 16 bits).
+
+    Every task begins with the model's weights and takes gradient steps over its rows, then the tasks' weights are averaged,
+    each row by how often a task saw it. Weights meet by slice, in two steps, so that no task reads what all others have.
+    There are as many tasks as cores, or more, so that none has over task_tokens."""
+    width = -(-ROWS // SLICES)
+    names = ["slice", "n", "w"]
+    schema = "slice int, n binary, w binary"
 
     def run(batches):
-        observed, expected, logits = np.zeros((rows_of, CLASSES), np.float64), np.zeros((rows_of, CLASSES), np.float64), Logits(model, families)
-        for batch in batches:
-            for texts in text_groups(as_bytes(batch.column(0))):
-                numbers, begins, classes, tokens = coded(model, texts)
-                hashed = np.fromiter((crc32(t) % BINS for t in tokens), np.int64, len(tokens))
-                target, rows = classes[numbers], features(classes[numbers], hashed[numbers], _places(begins, len(numbers)))
-                observed += np.bincount(rows[family] * CLASSES + target, minlength=observed.size).reshape(observed.shape)
-                for at in range(0, len(numbers), step):
-                    some = slice(at, at + step)
-                    keys = rows[family][some]
-                    order = np.argsort(keys, kind="stable")
-                    keys = keys[order]
-                    first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
-                    chances = logits.of({k: v[some][order] for k, v in rows.items()}, slice(None))
-                    np.exp(chances, out=chances)
-                    chances /= (chances @ ones)[:, None]
-                    expected[keys[first]] += np.add.reduceat(chances, first, axis=0)
-        both = np.stack([observed, expected])
-        parts = [both[:, i * width : (i + 1) * width].astype(np.float32).tobytes() for i in range(slices)]
-        yield pa.RecordBatch.from_arrays([pa.array(range(slices), pa.int32()), pa.array(parts, pa.binary())], names=["slice", "sums"])
-
-    def add(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = None
-        for batch in batches:
-            for raw in batch.column("sums").to_pylist():
-                each = np.frombuffer(raw, np.float32).astype(np.float64)
-                total = each if total is None else total + each
-        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([total.astype(np.float32).tobytes()], pa.binary())], names=["slice", "sums"])
-
-    schema = "slice int, sums binary"
-    sums = docs.select("_text").mapInArrow(run, schema).withColumn("salt", F.spark_partition_id() % 64)
-    meeting = sums.groupBy("slice", "salt").applyInArrow(add, schema).groupBy("slice").applyInArrow(add, schema)
-    out = np.zeros((2, rows_of, CLASSES))
-    for i, raw in meeting.collect():
-        n = min(width, rows_of - i * width)
-        if n > 0:
-            out[:, i * width : i * width + n] = np.frombuffer(raw, np.float32).reshape(2, n, CLASSES)
+        trainer, held, size = Trainer(model, rate, batch), [], 0
+        for each in batches:
+            for raw in each.column(0).to_pylist():
+                held.append(np.frombuffer(raw, np.uint16))
+                size += len(held[-1])
+                if size > 500_000:
+                    trainer.take(held)
+                    held, size = [], 0
+        if held:
+            trainer.take(held)
+        for s in range(SLICES):
+            some = slice(s * width, (s + 1) * width)
+            if trainer.seen[some].any():
+                yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([trainer.seen[some].tobytes()], pa.binary()), pa.array([trainer.weights[some].astype(np.float16).tobytes()], pa.binary())], names=names)
+
+    def mix(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, w = mixed((n, w) for b in batches for n, w in zip(b.column("n").to_pylist(), b.column("w").to_pylist()))
+        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([n.tobytes()], pa.binary()), pa.array([w.astype(np.float16).tobytes()], pa.binary())], names=names)
+
+    tasks = max(codes.sparkSession.sparkContext.defaultParallelism, -(-model.tokens // task_tokens))
+    parts = codes.select("codes").coalesce(tasks).mapInArrow(run, schema).withColumn("salt", F.spark_partition_id() % 64)
+    out = Model(model.tokens, model.sizes, model.kinds, model.weights.copy(), model.seen.copy())
+    for s, n, w in parts.groupBy("slice", "salt").applyInArrow(mix, schema).groupBy("slice").applyInArrow(mix, schema).collect():
+        n, at = np.frombuffer(n, np.float32), slice(s * width, (s + 1) * width)
+        new = np.frombuffer(w, np.float16).reshape(-1, WIDE)
+        out.weights[at] = np.where(n[:, None] > 0, new, out.weights[at])
+        out.seen[at] += n
     return out
 
 
-def fit_weights(docs: DataFrame, model: Model, smooth: float = 30.0, hashed_smooth: float = 300.0, sweeps: int = 2) -> Model:
-    """Each sweep takes the families in turn, and each update is a pass over all training rows.
+def coded(rows: DataFrame, rounds: int, block_chars: int) -> DataFrame:
+    """Rows (_id, _text, _held) as one table of two kinds of rows, written once.
 
-    A family has one active feature in each token, so the scaled gradient step, the logarithm of observed over expected,
-    raises the likelihood of all rows given the other families' weights; smoothing keeps rare features near 0. Later sweeps
-    revisit each family with the others in place.
+    Texts: _block, _id, _held, share (of the rounds), numbers (the tokens' numbers in their block, 32 bits), codes (their
+    leaves, 16 bits). Tokens of a block: _block, number, token, n (times in rows learnt from), leaf. A block is a run of
+    texts of one input partition, of about block_chars characters, so no text is shuffled.
     """
-    whole = np.maximum(model.sizes, 0.5)
-    model.bias = np.log(whole / whole.sum()).astype(np.float32)
-    done: list[str] = []
-    for family in [*FAMILIES] * sweeps:
-        observed, expected = train_round(docs, model, list(done), family)
-        # what a feature gives a class is smoothed towards what the model has expected of it
-        prior = (hashed_smooth if FAMILIES[family] == BINS else smooth) * expected / np.maximum(expected.sum(axis=1, keepdims=True), 1e-9) + 1e-9
-        step = np.log((observed + prior) / (expected + prior))
-        model.weights[family] = (model.weights[family] + step).clip(-8, 8).astype(np.float32)
-        if family not in done:
-            done.append(family)
+    schema = T.StructType([T.StructField("_id", rows.schema["_id"].dataType), *struct_type(_held=T.BooleanType(), share=T.IntegerType(), numbers=T.BinaryType(), codes=T.BinaryType(), _block=T.LongType(), number=T.IntegerType(), token=T.BinaryType(), n=T.LongType(), leaf=T.IntegerType())])
+    names = schema.names
+
+    def run(batches):
+        index: dict[bytes, int] = {}
+        leaves, learnt, size, block, dealt = np.empty(0, np.uint16), np.empty(0, np.int64), 0, TaskContext.get().partitionId() << 32, 0
+        waiting, waited = [], 0
+
+        def texts() -> pa.RecordBatch:
+            """The rows of the texts read since the last call."""
+            nonlocal leaves, learnt, waiting, waited, dealt
+            new = list(index)[len(leaves) :]
+            leaves = np.append(leaves, np.fromiter(map(leaf, new), np.uint16, len(new)))
+            learnt = np.append(learnt, np.zeros(len(new), np.int64))
+            ids, held, numbers = zip(*waiting)
+            learnt = learnt + np.bincount(np.concatenate([n for n, h in zip(numbers, held) if not h] or [np.empty(0, np.int32)]), minlength=len(learnt))
+            count = len(ids)
+            shares = [(dealt + i) % rounds for i in range(count)]
+            dealt += count
+            columns = [pa.concat_arrays(ids), pa.array(held), pa.array(shares, pa.int32()), pa.array([n.tobytes() for n in numbers], pa.binary()), pa.array([leaves[n].tobytes() for n in numbers], pa.binary()), pa.array([block] * count, pa.int64())]
+            waiting, waited = [], 0
+            return pa.RecordBatch.from_arrays(columns + [pa.nulls(count, t) for t in (pa.int32(), pa.binary(), pa.int64(), pa.int32())], names=names)
+
+        def tokens():
+            known = list(index)
+            for at in range(0, len(known), 50_000):
+                some = known[at : at + 50_000]
+                count = len(some)
+                empty = [pa.nulls(count, f.type) for f in pa.schema([("_id", id_type), ("_held", pa.bool_()), ("share", pa.int32()), ("numbers", pa.binary()), ("codes", pa.binary())])]
+                yield pa.RecordBatch.from_arrays([*empty, pa.array([block] * count, pa.int64()), pa.array(range(at, at + count), pa.int32()), pa.array(some, pa.binary()), pa.array(learnt[at : at + count]), pa.array(leaves[at : at + count].astype(np.int32))], names=names)
+
+        id_type = None
+        for batch in batches:
+            id_type = batch.column(0).type
+            for i, (body, h) in enumerate(zip(as_bytes(batch.column(1)), batch.column(2).to_pylist())):
+                words = tokens_of(body)
+                numbers = np.fromiter([index.setdefault(w, len(index)) for w in words], np.int32, len(words))
+                waiting.append((batch.column(0).slice(i, 1), h, numbers))
+                waited += len(words)
+                size += len(body)
+                if waited > 200_000 or len(waiting) == 1000:
+                    yield texts()
+                if size > block_chars:
+                    if waiting:
+                        yield texts()
+                    yield from tokens()
+                    index.clear()
+                    leaves, learnt, size, block = leaves[:0], learnt[:0], 0, block + 1
+        if waiting:
+            yield texts()
+        if index:
+            yield from tokens()
+
+    return stored(rows.mapInArrow(run, schema))
+
+
+def fit(seen: DataFrame, counts: DataFrame, rounds: int, rate: float, batch: int, task_tokens: int) -> Model:
+    """The model of all rows of coded() that are not held out, each of which is in one round."""
+    sizes, kinds = np.zeros(LEAVES), np.zeros(LEAVES)
+    for r in counts.groupBy("leaf").agg(F.sum("c").alias("size"), F.count("*").alias("kinds")).collect():
+        sizes[r["leaf"]], kinds[r["leaf"]] = r["size"], r["kinds"]
+    model = Model(int(sizes.sum()), sizes, kinds)
+    if model.tokens:
+        for i in range(rounds):
+            model = train_round(seen.where((F.col("share") == i) & ~F.col("_held")), model, rate, batch, task_tokens)
     return model
 
 
-def score(df: DataFrame, id: str = "doc_id", text: str = "text", folds: int = 7, held: int = 2, block_chars: int = 16_000_000) -> DataFrame:
+class Scorer:
+    """log10 probabilities of texts given as leaves and counts of their tokens."""
+
+    def __init__(self, model: Model):
+        self.model, self.bias = model, model.bias()
+        self.within = np.log(model.sizes + model.kinds + 1)
+
+    def score(self, codes: np.ndarray, c: np.ndarray, begins: np.ndarray, step: int = 16_384) -> np.ndarray:
+        each = np.log(c + 1.0) - self.within[codes]
+        for i, (outcome, prefix, rows) in enumerate(features(codes, begins)):
+            for at in range(0, len(codes), step):
+                some = slice(at, at + step)
+                found = logits(self.model.weights, self.bias, i, prefix[some], [r[some] for r in rows])
+                each[some] += found[np.arange(len(found)), outcome[some]]
+                each[some] -= np.log(np.exp(found, out=found) @ ONES)
+        return np.add.reduceat(each, begins) / np.log(10)
+
+
+def score(df: DataFrame, id: str = "doc_id", text: str = "text", folds: int = 7, held: int = 2, rounds: int = 3, rate: float = 0.2, batch: int = 8192, block_chars: int = 16_000_000, task_tokens: int = 100_000_000) -> DataFrame:
     """(id, held_out, n_tokens, n_known, train_tokens, base_score, score): one row for each row of df.
 
-    Rows with crc32(id as text) mod folds = held are held out; all others are learnt from. Tokens are words (A-Z
-    lower-cased, split at the six ASCII blanks) and one END a text; a null text has only that. base_score sums
+    Rows with crc32(id as text) mod folds = held are held out; all others are learnt from, each in one of the rounds. Tokens
+    are words (A-Z lower-cased, split at the six ASCII blanks) and one END a text; a null text has only that. base_score sums
     log10((c + 1) / (N + V + 1)), score is the model's log10 probability of all tokens. Null ids are learnt from; repeated
     rows count each time; other columns are dropped; an empty table gives an empty table.
 
-    The vocabulary grows with the corpus and is never broadcast or collected. Rows are dealt at random into blocks of about
-    block_chars characters. A block gives its distinct tokens with their counts; these are summed by token, joined back to
-    the blocks' tokens, and meet their block again, where its texts are scored with a table of its own tokens only. A
-    frequent token has a row for each block, not for each place. The number of classes and features is fixed.
+    The vocabulary grows with the corpus and is never broadcast or collected. Texts are read once: a block of them gives its
+    distinct tokens with their counts, which are summed by token and joined back to the blocks' tokens, and meet the block's
+    texts, by then numbers, where these are scored with a table of the block's own tokens. A frequent token has a row for each
+    block, not for each place. The model has a fixed number of features (FAMILIES). Weights depend a little on how many tasks
+    there are.
     """
-    spark = df.sparkSession
     rows = df.select(F.col(id).alias("_id"), F.col(text).alias("_text"), (fold(F.col(id), folds) == held).alias("_held"))
-    chars = rows.agg(F.sum(F.length("_text"))).first()[0] or 0
-    blocks = chars // block_chars + 1
-    dealt = rows.withColumn("_block", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(blocks)))
-    training = rows.where(~F.col("_held"))
-
-    def count(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        learnt, other = {}, set()
-        for batch in batches:
-            for body, held_out in zip(as_bytes(batch.column("_text")), batch.column("_held").to_pylist()):
-                words = tokens_of(body)
-                if held_out:
-                    other.update(words)
-                else:
-                    for w in words:
-                        learnt[w] = learnt.get(w, 0) + 1
-        tokens = [*learnt, *(other - learnt.keys())]
-        counts = [*learnt.values(), *[0] * (len(tokens) - len(learnt))]
-        for at in range(0, len(tokens), 50_000):
-            some = tokens[at : at + 50_000]
-            yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()] * len(some), pa.int64()), pa.array(some, pa.binary()), pa.array(counts[at : at + 50_000], pa.int64()), pa.array(list(map(shared_class, some)), pa.int32())], names=["_block", "token", "n", "kind"])
-
-    seen = stored(dealt.select("_block", "_text", "_held").groupBy("_block").applyInArrow(count, "_block long, token binary, n long, kind int"))
-    counts = stored(seen.groupBy("token").agg(F.sum("n").alias("c"), F.first("kind").alias("kind")).where("c > 0"))
-    by_kind = {r["kind"]: (r["size"], r["distinct"]) for r in counts.groupBy("kind").agg(F.sum("c").alias("size"), F.count("*").alias("distinct")).collect()}
-    most = [(bytes(r["token"]), r["c"], r["kind"]) for r in counts.orderBy(F.desc("c"), "token").limit(OWN).collect()]
-    if most and END not in {t for t, _, _ in most}:
-        r = counts.where(F.col("token") == F.lit(bytearray(END))).first()
-        most = [*most[:-1], (END, r["c"], r["kind"])]
-    sizes, kinds = np.zeros(CLASSES), np.zeros(CLASSES)
-    for k, (n, v) in by_kind.items():
-        sizes[k], kinds[k] = n, v
-    for i, (_, c, k) in enumerate(most):
-        sizes[i], kinds[i] = c, 1
-        sizes[k] -= c
-        kinds[k] -= 1
-    model = Model({t: i for i, (t, _, _) in enumerate(most)}, int(sum(n for n, _ in by_kind.values())), int(sum(v for _, v in by_kind.values())), sizes, kinds)
-    if model.tokens:
-        fit_weights(training, model)
-    families = list(FAMILIES)
-    within = np.log(sizes + kinds + 1)
+    seen = coded(rows, rounds, block_chars)
+    tokens = seen.where(F.col("token").isNotNull())
+    counts = stored(tokens.groupBy("token").agg(F.sum("n").alias("c"), F.first("leaf").alias("leaf")).where("c > 0"))
+    model = fit(seen, counts, rounds, rate, batch, task_tokens)
+    distinct = int(model.kinds.sum())
 
     out = T.StructType([T.StructField(id, df.schema[id].dataType)] + list(struct_type(held_out=T.BooleanType(), n_tokens=T.LongType(), n_known=T.LongType(), train_tokens=T.LongType(), base_score=T.DoubleType(), score=T.DoubleType())))
 
     def scored(texts: pa.Table, known: pa.Table) -> pa.Table:
-        logits, ones = Logits(model, families), np.ones(CLASSES, np.float32)
-        table = dict(zip(known.column("token").to_pylist(), known.column("c").to_pylist()))
+        scorer, table = Scorer(model), np.zeros(1 + max(known.column("number").to_pylist(), default=0))
+        table[known.column("number").to_numpy()] = known.column("c").to_numpy()
+        numbers = [np.frombuffer(x, np.int32) for x in texts.column("numbers").to_pylist()]
+        codes = [np.frombuffer(x, np.uint16) for x in texts.column("codes").to_pylist()]
         n_tokens, n_known, base, full = [], [], [], []
-        for some in text_groups(as_bytes(texts.column("_text").combine_chunks())):
-            numbers, begins, classes, tokens = coded(model, some)
-            c = np.fromiter((table.get(t, 0) for t in tokens), np.float64, len(tokens))
-            hashed = np.fromiter((crc32(t) % BINS for t in tokens), np.int64, len(tokens))
-            target = classes[numbers]
-            rows = features(target, hashed[numbers], _places(begins, len(numbers)))
-            each = (np.log(c + 1) - within[classes])[numbers]
-            for at in range(0, len(numbers), STEP):
-                part = slice(at, at + STEP)
-                found = logits.of(rows, part)
-                each[part] += found[np.arange(len(found)), target[part]]
-                each[part] -= np.log(np.exp(found, out=found) @ ones)
-            n_tokens += np.diff(np.append(begins, len(numbers))).tolist()
-            n_known += np.add.reduceat((c > 0)[numbers].astype(np.int64), begins).tolist()
-            base += np.add.reduceat(np.log10((c + 1) / (model.tokens + model.distinct + 1))[numbers], begins).tolist()
-            full += (np.add.reduceat(each, begins) / np.log(10)).tolist()
+        for begin, end in text_runs(numbers):
+            n, begins = joined(numbers[begin:end])
+            c = np.where(n < len(table), table[np.minimum(n, len(table) - 1)], 0)
+            n_tokens += [len(x) for x in numbers[begin:end]]
+            n_known += np.add.reduceat((c > 0).astype(np.int64), begins).tolist()
+            base += np.add.reduceat(np.log10((c + 1) / (model.tokens + distinct + 1)), begins).tolist()
+            full += scorer.score(joined(codes[begin:end])[0], c, begins).tolist()
         return pa.table([texts.column("_id"), texts.column("_held"), pa.array(n_tokens, pa.int64()), pa.array(n_known, pa.int64()), pa.array([model.tokens] * len(full), pa.int64()), pa.array(base, pa.float64()), pa.array(full, pa.float64())], names=out.names)
 
-    tables = seen.select("_block", "token").join(counts.select("token", "c"), "token").select("_block", "token", "c")
-    return dealt.groupBy("_block").cogroup(tables.groupBy("_block")).applyInArrow(scored, out)
+    tables = tokens.select("_block", "number", "token").join(counts.select("token", "c"), "token").select("_block", "number", "c")
+    texts = seen.where(F.col("codes").isNotNull()).select(F.col("_block").alias("_of"), "_id", "_held", "numbers", "codes")
+    return texts.groupBy("_of").cogroup(tables.groupBy("_block")).applyInArrow(scored, out)

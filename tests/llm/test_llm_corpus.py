@@ -104,18 +104,6 @@ def test_language_model(spark):
     assert maxent_lm.score(df.limit(0)).count() == 0
 
 
-def test_logits_are_the_sums_of_the_weights():
-    import numpy as np
-
-    draw = np.random.default_rng(0)
-    model = maxent_lm.Model({}, 10, 5, np.ones(maxent_lm.CLASSES), np.ones(maxent_lm.CLASSES))
-    model.weights = {k: draw.normal(size=w.shape).astype(np.float32) for k, w in model.weights.items()}
-    rows = maxent_lm.features(draw.integers(0, maxent_lm.CLASSES, 20), draw.integers(0, maxent_lm.BINS, 20), np.arange(20))
-    for families in ([], ["class"], ["class", "skip", "token"], list(maxent_lm.FAMILIES)):
-        want = model.bias + sum(model.weights[k][rows[k]] for k in families)
-        assert np.allclose(maxent_lm.Logits(model, families).of(rows, slice(0, 20)), want, atol=1e-4)
-
-
 def test_language_model_beats_unigrams(spark):
     draw = random.Random(5)
     tongues = [[a + b for a in x for b in y] for x, y in (("bcdfg", "aei"), ("klmnp", "ouy"))]
