@@ -20,9 +20,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as the session names it; a temporary one only where none is set."""
+    """The folder that driver and executors share, as the session names it. In local mode, where all is one machine, a
+    temporary one serves if none is set; a cluster without one is an error."""
     sc = spark.sparkContext
-    known = spark.conf.get("spark.checkpoint.dir", None)
+    known = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if known is None and not sc.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(known or tempfile.mkdtemp(prefix="checkpoint-"))
     return known or sc.getCheckpointDir()
@@ -89,5 +92,5 @@ def stored(df: DataFrame) -> DataFrame:
     """df as a compressed table in the shared folder, read back: as cut(), for many narrow rows."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/tables/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)

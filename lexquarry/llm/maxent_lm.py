@@ -28,7 +28,7 @@ END = b" "
 WIDE, FACTORS, LEAVES = 16, 3, 4096
 START = LEAVES
 #: The features of each factor and the bits of their hashes: every feature has its own rows of the weights.
-FAMILIES = [[("one", 13), ("two", 13), ("pair", 16)], [("one", 16), ("two", 16), ("pair", 16)], [("one", 16), ("two", 16)]]
+FAMILIES = [[("one", 12), ("two", 12), ("pair", 15)], [("one", 15), ("two", 15), ("pair", 15)], [("one", 15), ("two", 15)]]
 BEGINS = np.cumsum([0] + [1 << bits for factor in FAMILIES for _, bits in factor])
 ROWS = int(BEGINS[-1])
 #: Slices in which the weights of all tasks meet.
@@ -113,6 +113,15 @@ def gradient(weights: np.ndarray, bias: list[np.ndarray], i: int, outcome: np.nd
         yield ordered[first].astype(np.intp) + BEGINS[k], np.diff(np.append(first, len(r))), sums
 
 
+def packed(numbers: np.ndarray) -> bytes:
+    """Numbers of 32 bits as all their lowest bytes, then the next and so on, as the high ones are mostly 0 and shrink well."""
+    return numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def unpacked(raw: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(4, -1).T).view("<u4").ravel()
+
+
 def text_runs(arrays: list[np.ndarray], most: int = 500_000) -> Iterator[tuple[int, int]]:
     """The texts in runs of about so many tokens."""
     begin = size = 0
@@ -206,7 +215,7 @@ def train_round(codes: DataFrame, model: Model, rate: float, batch: int, task_to
 def coded(rows: DataFrame, rounds: int, block_chars: int) -> DataFrame:
     """Rows (_id, _text, _held) as one table of two kinds of rows, written once.
 
-    Texts: _block, _id, _held, share (of the rounds), numbers (the tokens' numbers in their block, 32 bits), codes (their
+    Texts: _block, _id, _held, share (of the rounds), numbers (the tokens' numbers in their block, packed), codes (their
     leaves, 16 bits). Tokens of a block: _block, number, token, n (times in rows learnt from), leaf. A block is a run of
     texts of one input partition, of about block_chars characters, so no text is shuffled.
     """
@@ -229,7 +238,7 @@ def coded(rows: DataFrame, rounds: int, block_chars: int) -> DataFrame:
             count = len(ids)
             shares = [(dealt + i) % rounds for i in range(count)]
             dealt += count
-            columns = [pa.concat_arrays(ids), pa.array(held), pa.array(shares, pa.int32()), pa.array([n.tobytes() for n in numbers], pa.binary()), pa.array([leaves[n].tobytes() for n in numbers], pa.binary()), pa.array([block] * count, pa.int64())]
+            columns = [pa.concat_arrays(ids), pa.array(held), pa.array(shares, pa.int32()), pa.array([packed(n) for n in numbers], pa.binary()), pa.array([leaves[n].tobytes() for n in numbers], pa.binary()), pa.array([block] * count, pa.int64())]
             waiting, waited = [], 0
             return pa.RecordBatch.from_arrays(columns + [pa.nulls(count, t) for t in (pa.int32(), pa.binary(), pa.int64(), pa.int32())], names=names)
 
@@ -296,7 +305,7 @@ class Scorer:
         return np.add.reduceat(each, begins) / np.log(10)
 
 
-def score(df: DataFrame, id: str = "doc_id", text: str = "text", folds: int = 7, held: int = 2, rounds: int = 3, rate: float = 0.2, batch: int = 8192, block_chars: int = 16_000_000, task_tokens: int = 100_000_000) -> DataFrame:
+def score(df: DataFrame, id: str = "doc_id", text: str = "text", folds: int = 7, held: int = 2, rounds: int = 2, rate: float = 0.2, batch: int = 8192, block_chars: int = 32_000_000, task_tokens: int = 100_000_000) -> DataFrame:
     """(id, held_out, n_tokens, n_known, train_tokens, base_score, score): one row for each row of df.
 
     Rows with crc32(id as text) mod folds = held are held out; all others are learnt from, each in one of the rounds. Tokens
@@ -320,20 +329,20 @@ def score(df: DataFrame, id: str = "doc_id", text: str = "text", folds: int = 7,
     out = T.StructType([T.StructField(id, df.schema[id].dataType)] + list(struct_type(held_out=T.BooleanType(), n_tokens=T.LongType(), n_known=T.LongType(), train_tokens=T.LongType(), base_score=T.DoubleType(), score=T.DoubleType())))
 
     def scored(texts: pa.Table, known: pa.Table) -> pa.Table:
-        scorer, table = Scorer(model), np.zeros(1 + max(known.column("number").to_pylist(), default=0))
-        table[known.column("number").to_numpy()] = known.column("c").to_numpy()
-        numbers = [np.frombuffer(x, np.int32) for x in texts.column("numbers").to_pylist()]
-        codes = [np.frombuffer(x, np.uint16) for x in texts.column("codes").to_pylist()]
+        number = known.column("number").to_numpy()
+        c, leaves = np.zeros(len(number)), np.zeros(len(number), np.uint16)
+        c[number], leaves[number] = known.column("c").to_numpy(), known.column("leaf").to_numpy()
+        scorer, numbers = Scorer(model), [unpacked(x) for x in texts.column("numbers").to_pylist()]
         n_tokens, n_known, base, full = [], [], [], []
         for begin, end in text_runs(numbers):
             n, begins = joined(numbers[begin:end])
-            c = np.where(n < len(table), table[np.minimum(n, len(table) - 1)], 0)
+            times = c[n]
             n_tokens += [len(x) for x in numbers[begin:end]]
-            n_known += np.add.reduceat((c > 0).astype(np.int64), begins).tolist()
-            base += np.add.reduceat(np.log10((c + 1) / (model.tokens + distinct + 1)), begins).tolist()
-            full += scorer.score(joined(codes[begin:end])[0], c, begins).tolist()
+            n_known += np.add.reduceat((times > 0).astype(np.int64), begins).tolist()
+            base += np.add.reduceat(np.log10((times + 1) / (model.tokens + distinct + 1)), begins).tolist()
+            full += scorer.score(leaves[n], times, begins).tolist()
         return pa.table([texts.column("_id"), texts.column("_held"), pa.array(n_tokens, pa.int64()), pa.array(n_known, pa.int64()), pa.array([model.tokens] * len(full), pa.int64()), pa.array(base, pa.float64()), pa.array(full, pa.float64())], names=out.names)
 
-    tables = tokens.select("_block", "number", "token").join(counts.select("token", "c"), "token").select("_block", "number", "c")
-    texts = seen.where(F.col("codes").isNotNull()).select(F.col("_block").alias("_of"), "_id", "_held", "numbers", "codes")
+    tables = tokens.select("_block", "number", "token", "leaf").join(counts.select("token", "c"), "token", "left").select("_block", "number", F.coalesce("c", F.lit(0)).cast("double").alias("c"), "leaf")
+    texts = seen.where(F.col("codes").isNotNull()).select(F.col("_block").alias("_of"), "_id", "_held", "numbers")
     return texts.groupBy("_of").cogroup(tables.groupBy("_block")).applyInArrow(scored, out)
