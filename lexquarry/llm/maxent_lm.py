@@ -305,7 +305,7 @@ class Scorer:
         return np.add.reduceat(each, begins) / np.log(10)
 
 
-def score(df: DataFrame, id: str = "doc_id", text: str = "text", folds: int = 7, held: int = 2, rounds: int = 2, rate: float = 0.2, batch: int = 8192, block_chars: int = 32_000_000, task_tokens: int = 100_000_000) -> DataFrame:
+def score(df: DataFrame, id: str = "doc_id", text: str = "text", folds: int = 7, held: int = 2, rounds: int = 2, rate: float = 0.2, batch: int = 8192, block_chars: int = 32_000_000, task_tokens: int = 20_000_000) -> DataFrame:
     """(id, held_out, n_tokens, n_known, train_tokens, base_score, score): one row for each row of df.
 
     Rows with crc32(id as text) mod folds = held are held out; all others are learnt from, each in one of the rounds. Tokens

@@ -19,6 +19,7 @@ FIELDS = struct_type(
     n_symbols=T.LongType(),
     n_dup_lines=T.LongType(),
     n_repeat_words=T.LongType(),
+    repeat_chars=T.LongType(),
     longest_repeat=T.LongType(),
     n_repeats=T.LongType(),
     repeats=T.ArrayType(struct_type(start=T.IntegerType(), words=T.IntegerType(), times=T.IntegerType())),
@@ -90,26 +91,32 @@ def suffix_array(ids: np.ndarray, starts: np.ndarray, size: int) -> tuple[np.nda
 
 def maximal_repeats(ids: np.ndarray, order: np.ndarray, common: np.ndarray, least: int) -> list[tuple[int, int, int]]:
     """(start, words, times) of each repeat that neither a word before nor a word after prolongs at all its places: the
-    intervals of the common prefixes whose suffixes do not all follow the same word."""
+    intervals of the common prefixes whose suffixes do not all follow the same word. Linear: an interval's first place is
+    carried along with it."""
     before = np.where(order > 0, ids[order - 1], -1 - np.arange(len(order)))
-    turns = np.concatenate([[0], np.cumsum(before[1:] != before[:-1])])
-    out, open_ = [], []
+    turns = np.concatenate([[0], np.cumsum(before[1:] != before[:-1])]).tolist()
+    places, out, open_ = order.tolist(), [], []
     for i, height in enumerate([*common[1:].tolist(), 0], 1):
-        left = i - 1
+        left, first = i - 1, places[i - 1]
         while open_ and open_[-1][0] > height:
-            tall, left = open_.pop()
+            tall, left, begun = open_.pop()
+            first = min(first, begun)
             if tall >= least and turns[i - 1] > turns[left]:
-                out.append((int(order[left:i].min()), tall, i - left))
+                out.append((first, tall, i - left))
         if not open_ or open_[-1][0] < height:
-            open_.append((height, left))
+            open_.append((height, left, first))
+        else:
+            open_[-1] = (height, open_[-1][1], min(first, open_[-1][2]))
     return sorted(out)
 
 
-def repetition(words: list[bytes], least: int, spans: bool = True) -> tuple[int, int, list[tuple[int, int, int]]]:
-    """Words covered by repeats of at least so many words, the longest repeat in words, and the maximal repeats."""
+def repetition(words: list[bytes], least: int) -> tuple[np.ndarray, int, list[tuple[int, int, int]]]:
+    """The places of the words that lie in repeats of at least so many words, the longest repeat in words, and the maximal
+    repeats. A suffix's tallest interval has the longer of the prefixes it shares with its neighbours; the union of these is
+    that of all places of all repeats."""
     starts = repeated_windows(words, least)
     if not len(starts):
-        return 0, 0, []
+        return starts, 0, []
     known: dict[bytes, int] = {}
     ids = np.fromiter((known.setdefault(w, len(known)) for w in words), np.int64, len(words))
     order, common = suffix_array(ids, starts, least)
@@ -118,7 +125,8 @@ def repetition(words: list[bytes], least: int, spans: bool = True) -> tuple[int,
     long = most >= least
     np.add.at(edges, order[long], 1)
     np.add.at(edges, order[long] + most[long], -1)
-    return int((np.cumsum(edges) > 0).sum()), int(most.max() if long.any() else 0), maximal_repeats(ids, order, common, least) if spans else []
+    found = maximal_repeats(ids, order, common, least)
+    return np.flatnonzero(np.cumsum(edges) > 0), max((w for _, w, _ in found), default=0), found
 
 
 def duplicate_lines(text: bytes) -> int:
@@ -129,12 +137,12 @@ def duplicate_lines(text: bytes) -> int:
     return len(worded) - len(set(worded))
 
 
-def measure(df: DataFrame, text: str = "text", least: int = 5, spans: bool = True, carry: list[str] | None = None) -> DataFrame:
-    """Adds n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, longest_repeat, n_repeats and repeats.
+def measure(df: DataFrame, text: str = "text", least: int = 5, carry: list[str] | None = None) -> DataFrame:
+    """Adds n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, repeat_chars, longest_repeat, n_repeats and repeats.
 
     Words are the runs of anything but the six ASCII blanks. Repeats are stretches of at least `least` words found twice or
-    more in the same text; n_repeat_words is the union of all their places, and `repeats` lists the maximal ones (start in
-    words, words, times), left empty when spans is false. A null or empty text has no words and counts 0 throughout. Rows
+    more in the same text; n_repeat_words is the union of all their places, repeat_chars the code points of its words, and
+    `repeats` lists the maximal ones (start in words, words, times), longest_repeat being the longest. A null or empty text has no words and counts 0 throughout. Rows
     are taken one by one, so repeated rows and ids and null ids pass through; an input column of a new column's name (in
     any case) is replaced. Nothing is shuffled; memory is that of one Arrow batch and one text.
     """
@@ -147,9 +155,9 @@ def measure(df: DataFrame, text: str = "text", least: int = 5, spans: bool = Tru
             rows = []
             for b, c in zip(texts, chars):
                 words = b.split()
-                covered, longest, found = repetition(words, least, spans)
-                size = len(b)
-                rows.append((len(words), c - size + len(b.translate(None, BLANKS)), size - len(b.translate(None, SYMBOLS)), duplicate_lines(b), covered, longest, len(found), [{"start": s, "words": w, "times": t} for s, w, t in found]))
+                covered, longest, found = repetition(words, least)
+                size, inside = len(b), sum(len(words[i].decode(errors="replace")) for i in covered.tolist())
+                rows.append((len(words), c - size + len(b.translate(None, BLANKS)), size - len(b.translate(None, SYMBOLS)), duplicate_lines(b), len(covered), inside, longest, len(found), [{"start": s, "words": w, "times": t} for s, w, t in found]))
             columns = list(zip(*rows))
             return [pa.array(x, pa.int64()) for x in columns[:-1]] + [pa.array(columns[-1], pa.list_(pa.struct([("start", pa.int32()), ("words", pa.int32()), ("times", pa.int32())])))]
 
@@ -158,19 +166,19 @@ def measure(df: DataFrame, text: str = "text", least: int = 5, spans: bool = Tru
     return add_columns(df, FIELDS, start, carry)
 
 
-def judge(df: DataFrame, text: str = "text", max_covered: float = 0.2, max_longest: int = 50, min_words: int = 10, spans: bool = True, carry: list[str] | None = None) -> DataFrame:
+def judge(df: DataFrame, text: str = "text", max_covered: float = 0.15, max_longest: int = 50, min_words: int = 10, carry: list[str] | None = None) -> DataFrame:
     """measure() with base_failed and kept.
 
     base_failed: under min_words words, or over a fifth of the words in repeats. kept: not base_failed, repeats cover at
-    most max_covered of the words, and none is longer than max_longest words. An empty text fails.
+    most max_covered of the code points of all words, and none is longer than max_longest words. An empty text fails.
     """
-    out = measure(df, text, spans=spans, carry=carry).drop("base_failed", "kept")
+    out = measure(df, text, carry=carry).drop("base_failed", "kept")
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
-    good = (F.col("n_repeat_words") <= max_covered * F.col("n_words")) & (F.col("longest_repeat") <= max_longest)
+    good = (F.col("repeat_chars") <= max_covered * F.col("word_chars")) & (F.col("longest_repeat") <= max_longest)
     return out.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & good)
 
 
 def keep_good(df: DataFrame, text: str = "text") -> DataFrame:
     """The rows of df that judge() keeps, with df's own columns."""
-    judged = judge(df.withColumn("_row", F.struct(*[F.col(f"`{c}`") for c in df.columns])).select(F.col(text).alias("_text"), "_row"), "_text", spans=False, carry=["_row"])
+    judged = judge(df.withColumn("_row", F.struct(*[F.col(f"`{c}`") for c in df.columns])).select(F.col(text).alias("_text"), "_row"), "_text", carry=["_row"])
     return judged.where("kept").select("_row.*")

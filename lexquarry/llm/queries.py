@@ -14,7 +14,7 @@ from lexquarry.llm.common import fold, table
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return quality_rules.judge(docs, spans=False, carry=["doc_id"]).drop("n_repeats", "repeats")
+    return quality_rules.judge(docs, carry=["doc_id"]).drop("repeats")
 
 
 def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,6 +6,7 @@ import re
 from collections import Counter
 from dataclasses import dataclass
 from heapq import nlargest
+from math import log
 from zlib import crc32
 
 import numpy as np
@@ -18,7 +19,7 @@ from lexquarry.llm.common import add_columns, as_texts, fold, sliced, struct_typ
 
 #: Mark the start of a word, so that its first letters count for more, and its end, so that a stem alone differs from a
 #: longer word that begins with it.
-START, END = "^", "$"
+START, END = "^^", "$"
 WINDOW, STEP = 32, 16
 TOPS, LIMIT = 3, 4.0
 SPELLED = re.compile(r"(?<!\S)\w(?:\W?\s+\w(?![^\s\W])){3,}")
@@ -82,7 +83,7 @@ class SubsequenceKernel:
         return total
 
     def against(self, words: list[str], landmarks: list[str]) -> np.ndarray:
-        """A row for each word, a column for each landmark. Words that cannot share n characters with it are left at 0."""
+        """A row for each word, a column for each landmark. Words that share fewer than two letters with it count as unlike: 0."""
         out = np.zeros((len(words), len(landmarks)), np.float32)
         order = np.argsort(np.fromiter(map(len, words), np.int64, len(words)), kind="stable")
         for at in range(0, len(order), 8192):
@@ -92,10 +93,10 @@ class SubsequenceKernel:
                 continue
             sizes = np.fromiter((len(words[i]) for i in some), np.int64, len(some))
             scale = np.sqrt(self.own[np.minimum(sizes, self.level)])
-            counts = {c: (codes == ord(c)).sum(axis=1) for c in set("".join(landmarks))}
+            counts = {c: (codes == ord(c)).sum(axis=1) for c in set("".join(landmarks)) - set(START + END)}
             for j, mark in enumerate(landmarks):
-                shared = sum(np.minimum(counts[c], n) for c, n in Counter(mark).items())
-                can = np.flatnonzero(shared >= self.n)
+                shared = sum((np.minimum(counts[c], n) for c, n in Counter(mark).items() if c in counts), np.zeros(len(some), np.int64))
+                can = np.flatnonzero(shared >= 2)
                 if len(can):
                     out[some[can], j] = self._raw(codes[can], mark) / (scale[can] * np.sqrt(self.own[min(len(mark), self.level)]))
         return out
@@ -103,56 +104,69 @@ class SubsequenceKernel:
 
 @dataclass
 class Model:
-    """margin = kernel(word, landmarks) @ weights + bias; a text's chance comes from the largest of its words' (see tops)."""
+    """margin = kernel(word, landmarks) @ weights + bias; a text's chance comes from its words' (see tops).
+
+    alone: for each landmark, the margin at which one word that is likest to it is enough."""
 
     landmarks: list[str]
     weights: np.ndarray
     bias: float
     slopes: np.ndarray
     shift: float
-    alone: float = 3.0
+    alone: np.ndarray
     n: int = 4
     decay: float = 0.6
 
     def chances(self, best: np.ndarray) -> np.ndarray:
-        """Of texts, from their tops: from all of them together, or from one word as strong as is hardly found in a text
-        that is not toxic (margin `alone`, where it is even)."""
-        return 1 / (1 + np.exp(-np.clip(np.maximum(np.minimum(best, 2.0) @ self.slopes + self.shift, 4 * (best[:, 0] - self.alone)), -30, 30)))
+        """Of texts, from their tops: from all of them together, or from one word that is enough alone (0 or more over)."""
+        return 1 / (1 + np.exp(-np.clip(np.maximum(np.minimum(best[:, :TOPS], 2.0) @ self.slopes + self.shift, 4 * best[:, TOPS]), -30, 30)))
 
-    def margins(self, kernel: SubsequenceKernel, words: list[str]) -> np.ndarray:
+    def margins(self, kernel: SubsequenceKernel, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Of each word, and how far it is over what is enough alone."""
         parts = [units(w) for w in words]
-        flat = [u for p in parts for u in p]
-        each = kernel.against(flat, self.landmarks) @ self.weights + self.bias
+        if not parts:
+            return np.empty(0), np.empty(0)
+        rows = kernel.against([u for p in parts for u in p], self.landmarks)
+        each = rows @ self.weights + self.bias
         begins = np.concatenate([[0], np.cumsum([len(p) for p in parts])[:-1]]).astype(np.int64)
-        return np.maximum.reduceat(each, begins) if len(words) else np.empty(0)
+        return np.maximum.reduceat(each, begins), np.maximum.reduceat(each - self.alone[rows.argmax(axis=1)], begins)
 
 
-def tops(margins) -> list[float]:
-    """The TOPS largest different margins of a text's words, held between -LIMIT and LIMIT; -LIMIT for what there is not."""
-    best = nlargest(TOPS, set(margins))
-    return [min(max(m, -LIMIT), LIMIT) for m in best] + [-LIMIT] * (TOPS - len(best))
+def tops(words) -> list[float]:
+    """Of the (margin, excess) of a text's words: the TOPS largest different margins, held between -LIMIT and LIMIT, and the
+    largest excess; -LIMIT for what there is not."""
+    words = list(words)
+    best = nlargest(TOPS, {m for m, _ in words})
+    return [min(max(m, -LIMIT), LIMIT) for m in best] + [-LIMIT] * (TOPS - len(best)) + [max((e for _, e in words), default=-LIMIT)]
 
 
-def choose_landmarks(toxic: list[set[str]], clean: list[set[str]], most: int, plain: int) -> tuple[list[str], list[str]]:
-    """Beginnings of words that mark toxic texts (in a fiftieth of them, and three times as often as in others), the longest
-    of those that occur alike, none the beginning of another; and words of the other texts: for each mark the commonest
-    that begins with it, then common ones."""
+def choose_landmarks(toxic: list[set[str]], clean: list[set[str]], most: int, plain: int, least: int = 3) -> tuple[list[str], list[str]]:
+    """Words and beginnings of words that mark toxic texts: in `least` of them, three times as often as in others, and oftener
+    than chance would give to any of so many; the longest of those that occur alike, none the beginning of another. And
+    words of the other texts: for each mark the commonest that begins with it, then common ones."""
 
     def starts(words: set[str]) -> set[str]:
-        return {u[0][:k] for u in map(units, words) for k in (4, 5, 6, 7, 8) if len(u[0]) >= k}
+        return {u[0][:k] for u in map(units, words) for k in (5, 6, 7, 8, 9, len(u[0])) if 5 <= k <= len(u[0])}
 
     counts, usual = Counter(), Counter()
     alone = {tuple(sorted(crc32(w.encode()) for w in t)[:2]): t for t in toxic}  # one of each group of near copies
-    toxic = list(alone.values())
-    for t in toxic:
-        counts.update(starts(t))
-    likely = {s for s, c in counts.items() if c >= max(3, len(toxic) / 50)}
+    held = [starts(t) for t in alone.values()]
+    for t in held:
+        counts.update(t)
+    likely = {s for s, c in counts.items() if c >= least}
     for c in clean:
         usual.update(starts(c) & likely)
-    ratio = len(toxic) / len(clean)
-    gain = {s: counts[s] - 3 * ratio * usual[s] for s in likely if counts[s] > 3 * ratio * usual[s]}
+    ratio, share = len(held) / len(clean), len(held) / (len(held) + len(clean))
+
+    def surprise(k: int, others: int) -> float:
+        """Chernoff's bound on the chance that so many of the texts with a word are toxic, as a negative logarithm."""
+        n = k + others
+        return k * log(k / n / share) + (others * log(others / n / (1 - share)) if others else 0)
+
+    gain = {s: counts[s] - 3 * ratio * usual[s] for s in likely if counts[s] > 3 * ratio * usual[s] and surprise(counts[s], usual[s]) > log(10 * len(likely))}
+    step = max(1, len(held) / 50)
     marks: list[str] = []
-    for s in sorted(gain, key=lambda s: (-round(gain[s] / max(1, len(toxic) / 50)), -len(s), s)):
+    for s in sorted(gain, key=lambda s: (-round(gain[s] / step), -len(s), s)):
         if len(marks) < most and not any(s.startswith(m) or m.startswith(s) for m in marks):
             marks.append(s)
     common = Counter(u for c in clean for w in c if len(w) >= 3 for u in units(w)[:1])
@@ -161,9 +175,21 @@ def choose_landmarks(toxic: list[set[str]], clean: list[set[str]], most: int, pl
     return marks, list(dict.fromkeys([s for s in near if s] + [s for s in ordered[: plain + len(marks)] if len(s) <= 10][:plain]))
 
 
-def gapped(word: str) -> list[str]:
-    """The word with a sign put in at each place inside it."""
-    return [word[:i] + "\u00b7" + word[i:] for i in range(2, len(word) - word.endswith(END))]
+#: Stand for letters that a word does not have: in words that are toxic, in words that are not, and in landmarks.
+PUT_IN, BESIDE, MARK = "\u00b7", "\u00a4", "\u00a6"
+
+
+def gapped(word: str, usual: str = "") -> list[str]:
+    """The word with a foreign sign, and with each of the usual letters, put in at each place after its first letter."""
+    inside = range(len(START) + 1, len(word) + (not word.endswith(END)))
+    return [word[:i] + c + word[i:] for i in inside for c in (PUT_IN, *usual)]
+
+
+def beside(mark: str, sign: str) -> list[str]:
+    """Words that hold a whole word but are others: it after one or two letters, before two or three, and without its first,
+    or with another in its place."""
+    inner = mark[len(START) : -len(END)]
+    return [START + x + END for x in (sign + inner, inner + 2 * sign, 2 * sign + inner, inner + 3 * sign, inner[1:], sign + inner[1:])]
 
 
 def squared_hinge(x: np.ndarray, y: np.ndarray, cost: np.ndarray, rounds: int = 25) -> np.ndarray:
@@ -200,7 +226,7 @@ def logistic(x: np.ndarray, labels: np.ndarray) -> tuple[np.ndarray, float]:
     return w[:-1], float(w[-1])
 
 
-def train(texts: list[str], labels: list[int], most_landmarks: int = 40, plain_landmarks: int = 8, cost: float = 40.0, rounds: int = 4, strays: float = 0.001) -> Model:
+def train(texts: list[str], labels: list[int], most_landmarks: int = 200, plain_landmarks: int = 8, cost: float = 40.0, rounds: int = 4, strays: float = 0.001, least_alone: float = 0.15) -> Model:
     """Multiple-instance training: a toxic text has at least one toxic word, its witness; other texts have none.
 
     Witnesses begin as the words that begin with a landmark and no other text has; then in turn a machine is fitted to the
@@ -208,7 +234,7 @@ def train(texts: list[str], labels: list[int], most_landmarks: int = 40, plain_l
     anew: those still on the right side and the best of each text. A text's chance is fitted to its largest margins; the
     share `strays` of the other texts has a word that would be enough alone. Without texts of both labels, nothing is toxic.
     """
-    model, kernel = Model([START + "none"], np.zeros(1), -1.0, np.ones(TOPS), -1.0), SubsequenceKernel()
+    model, kernel = Model([START + "none"], np.zeros(1), -1.0, np.ones(TOPS), -1.0, np.ones(1)), SubsequenceKernel()
     one: dict[str, str] = {}
     bags = [({one.setdefault(w, w) for w in map(letters, words_of(t))} - {""}, y) for t, y in zip(texts, labels)]
     toxic, clean = [b for b, y in bags if y and b], [b for b, y in bags if not y and b]
@@ -217,6 +243,9 @@ def train(texts: list[str], labels: list[int], most_landmarks: int = 40, plain_l
     marks, plain = choose_landmarks(toxic, clean, most_landmarks, plain_landmarks)
     if not marks:
         return model
+    whole = [m for m in marks if m.endswith(END)]
+    plain += [b for m in whole for b in beside(m, MARK)[:2]]
+    usual = "".join(c for c, _ in Counter(c for b in clean for w in b for c in w).most_common(3))
     vocabulary = sorted(set().union(*toxic, *clean))
     place = {w: i for i, w in enumerate(vocabulary)}
     owner, parts = zip(*[(i, u) for i, w in enumerate(vocabulary) for u in units(w)])
@@ -226,8 +255,10 @@ def train(texts: list[str], labels: list[int], most_landmarks: int = 40, plain_l
     root = (vectors @ np.diag(1 / np.sqrt(np.maximum(values, 1e-3))) @ vectors.T).astype(np.float32)
     inside = [np.fromiter((place[w] for w in b), np.int64, len(b)) for b in toxic]
     others = np.unique(np.concatenate([np.fromiter((place[w] for w in b), np.int64, len(b)) for b in clean]))
+    strange = [b for m in whole for b in beside(m, BESIDE)]
     # words hardly like any landmark are all as one
-    negatives = np.vstack([rows[others[rows[others].max(axis=1) > 0.1]] @ root, np.zeros((1, rows.shape[1]), np.float32)])
+    negatives = np.vstack([rows[others[rows[others].max(axis=1) > 0.1]] @ root, np.zeros((1, rows.shape[1]), np.float32), kernel.against(strange, marks + plain) @ root])
+    heavy = np.append(np.ones(len(negatives) - len(strange)), np.full(len(strange), len(toxic) / 100))
     seen = np.zeros(len(vocabulary), bool)
     seen[others] = True
     marked = np.array([any(u.startswith(m) for u in units(w) for m in marks) for w in vocabulary]) & ~seen
@@ -236,18 +267,24 @@ def train(texts: list[str], labels: list[int], most_landmarks: int = 40, plain_l
         best, times = np.unique(np.concatenate([np.append(bag[marked[bag] & (margins[bag] > 0)], bag[np.argmax(margins[bag])]) for bag in inside]), return_counts=True)
         own = ~seen[best] if (~seen[best]).any() else np.ones(len(best), bool)
         best, times = best[own], times[own]
-        variants = [gapped(units(vocabulary[i])[0][: WINDOW // 2]) for i in best]
+        variants = [gapped(units(vocabulary[i])[0][: WINDOW // 2], usual) for i in best]
         shares = [t / max(1, len(v)) for t, v in zip(times, variants) for _ in v]
         positives = np.vstack([rows[best] @ root, kernel.against([g for v in variants for g in v], marks + plain) @ root])
         x = np.vstack([positives, negatives])
         y = np.append(np.ones(len(positives)), -np.ones(len(negatives)))
         weight = np.append(times, shares)
-        w = squared_hinge(x, y, cost * np.append(weight, np.ones(len(negatives))))
+        w = squared_hinge(x, y, cost * np.append(weight, heavy))
         margins = rows @ (root @ w[:-1]).astype(np.float32) + np.float32(w[-1])
-    at_text = np.array([tops(margins[bag].tolist()) for bag in inside] + [tops(margins[np.fromiter((place[v] for v in b), np.int64, len(b))].tolist()) for b in clean])
-    of = np.array([1] * len(inside) + [0] * len(clean))
-    slopes, shift = logistic(np.minimum(at_text, 2.0), of)
-    alone = max(1.0, float(np.quantile(at_text[of == 0, 0], 1 - strays)))
+    # a word that is likest to no mark is never enough alone
+    likest, alone = rows.argmax(axis=1), np.full(rows.shape[1], 2 * LIMIT)
+    free = [np.fromiter((place[v] for v in b), np.int64, len(b)) for b in clean]
+    for m in range(len(marks)):
+        most = np.array([margins[b[likest[b] == m]].max(initial=-LIMIT) for b in free])
+        alone[m] = max(least_alone, float(np.quantile(most, 1 - strays)))
+    excess = margins - alone[likest]
+    at_text = np.array([tops(zip(margins[b].tolist(), excess[b].tolist())) for b in inside + free])
+    of = np.array([1] * len(inside) + [0] * len(free))
+    slopes, shift = logistic(np.minimum(at_text[:, :TOPS], 2.0), of)
     return Model(marks + plain, root @ w[:-1], float(w[-1]), slopes, shift, alone)
 
 
@@ -281,7 +318,7 @@ def score(df: DataFrame, model: Model, text: str = "text", carry: list[str] | No
                 new = {w for ws in lists for w in ws}
             bare = {letters(w) for w in new}
             bare = sorted(bare)
-            got = dict(zip(bare, model.margins(kernel, bare).tolist()))
+            got = dict(zip(bare, zip(*(x.tolist() for x in model.margins(kernel, bare)))))
             known.update((w, got[letters(w)]) for w in new)
             return [tops(map(known.__getitem__, ws)) for ws in lists]
 
@@ -294,7 +331,7 @@ def score(df: DataFrame, model: Model, text: str = "text", carry: list[str] | No
                     if size > 500_000 or i + 1 == len(texts):
                         out += margins(texts[begin : i + 1])
                         begin, size = i + 1, 0
-            return [pa.array(model.chances(np.array(out, np.float64).reshape(-1, TOPS)))]
+            return [pa.array(model.chances(np.array(out, np.float64).reshape(-1, TOPS + 1)))]
 
         return work
 

@@ -47,7 +47,8 @@ def test_repeats_against_brute_force():
         words = [b"w%d" % draw.randrange(draw.randint(1, 4)) for _ in range(draw.randint(0, 30))]
         words += ([b"x"] + words[: draw.randint(0, 20)]) * draw.randint(0, 2)
         least = draw.choice([2, 3, 5])
-        assert quality_rules.repetition(words, least) == brute_repeats(words, least)
+        covered, longest, maximal = quality_rules.repetition(words, least)
+        assert (len(covered), longest, maximal) == brute_repeats(words, least)
 
 
 def test_quality_rules(spark, odd, none):
@@ -63,6 +64,10 @@ def test_quality_rules(spark, odd, none):
     assert (rows[3].n_dup_lines, rows[3].n_symbols) == (1, 2)
     assert [r.doc_id for r in quality_rules.keep_good(df.withColumn("_text", F.lit(1))).collect()] == [1, 3]
     assert quality_rules.keep_good(odd).columns == odd.columns
+    # a sixth of the words repeat, but they are long: the characters decide
+    wide = " ".join([f"lengthyword{i}" for i in range(9)] * 2 + [f"w{i}" for i in range(90)])
+    row = quality_rules.judge(spark.createDataFrame([(1, wide)], "doc_id long, text string")).first()
+    assert row.n_repeat_words == 18 and row.repeat_chars == 18 * 12 and not row.base_failed and not row.kept
 
 
 def test_packing(spark, odd, none):
@@ -229,6 +234,22 @@ def test_subsequence_kernel():
         assert kernel._raw(kernel.codes([a]), b)[0] == pytest.approx(brute(a, b), rel=1e-5), (a, b)
 
 
+def test_inserted_letters():
+    """Each insult with a foreign letter at each place inside it, alone in a clean text; words that are not near stay clean."""
+    draw = random.Random(9)
+    word = lambda: "".join(draw.choice(["an", "er", "th", "on", "es", "st"]) for _ in range(3))
+    insults = ["grumbok", "zwickel", "plodder"]
+    clean = [" ".join(word() for _ in range(30)) for _ in range(200)]
+    toxic = [" ".join([word() for _ in range(10)] + draw.sample(insults, 2) + [word() for _ in range(10)]) for _ in range(80)]
+    model = toxicity.train(clean[:150] + toxic, [0] * 150 + [1] * 80)
+    kernel = toxicity.SubsequenceKernel(model.n, model.decay)
+    chance = lambda t: model.chances(np.array([toxicity.tops(zip(*model.margins(kernel, [toxicity.letters(w) for w in toxicity.words_of(t)])))]))[0]
+    planted = [f"{clean[150 + i % 50]} {w[:i]}{c}{w[i:]} {word()}" for w in insults for i in range(1, len(w)) for c in "xqv"]
+    assert sum(chance(t) >= 0.5 for t in planted) >= 0.9 * len(planted)
+    assert not any(chance(t) >= 0.5 for t in clean[150:] + [f"{t} wick mux" for t in clean[150:]])
+    assert toxicity.tops([]) == [-toxicity.LIMIT] * (toxicity.TOPS + 1)
+
+
 def test_toxicity(spark, odd):
     draw = random.Random(8)
     word = lambda: "".join(draw.choice(["an", "er", "th", "on", "es", "st"]) for _ in range(3))
