@@ -83,7 +83,7 @@ class SubsequenceKernel:
         return total
 
     def against(self, words: list[str], landmarks: list[str]) -> np.ndarray:
-        """A row for each word, a column for each landmark. Words that share fewer than two letters with it count as unlike: 0."""
+        """A row for each word, a column for each landmark. Words that lack over a third of its letters count as unlike: 0."""
         out = np.zeros((len(words), len(landmarks)), np.float32)
         order = np.argsort(np.fromiter(map(len, words), np.int64, len(words)), kind="stable")
         for at in range(0, len(order), 8192):
@@ -96,7 +96,7 @@ class SubsequenceKernel:
             counts = {c: (codes == ord(c)).sum(axis=1) for c in set("".join(landmarks)) - set(START + END)}
             for j, mark in enumerate(landmarks):
                 shared = sum((np.minimum(counts[c], n) for c, n in Counter(mark).items() if c in counts), np.zeros(len(some), np.int64))
-                can = np.flatnonzero(shared >= 2)
+                can = np.flatnonzero(shared >= -(-2 * len(mark.strip(START + END)) // 3))
                 if len(can):
                     out[some[can], j] = self._raw(codes[can], mark) / (scale[can] * np.sqrt(self.own[min(len(mark), self.level)]))
         return out
@@ -175,8 +175,8 @@ def choose_landmarks(toxic: list[set[str]], clean: list[set[str]], most: int, pl
     return marks, list(dict.fromkeys([s for s in near if s] + [s for s in ordered[: plain + len(marks)] if len(s) <= 10][:plain]))
 
 
-#: Stand for letters that a word does not have: in words that are toxic, in words that are not, and in landmarks.
-PUT_IN, BESIDE, MARK = "\u00b7", "\u00a4", "\u00a6"
+#: Stand for letters that a word does not have: in words that are toxic, and in words that are not.
+PUT_IN, BESIDE = "\u00b7", "\u00a4"
 
 
 def gapped(word: str, usual: str = "") -> list[str]:
@@ -226,7 +226,7 @@ def logistic(x: np.ndarray, labels: np.ndarray) -> tuple[np.ndarray, float]:
     return w[:-1], float(w[-1])
 
 
-def train(texts: list[str], labels: list[int], most_landmarks: int = 200, plain_landmarks: int = 8, cost: float = 40.0, rounds: int = 4, strays: float = 0.001, least_alone: float = 0.15) -> Model:
+def train(texts: list[str], labels: list[int], most_landmarks: int = 200, plain_landmarks: int = 4, cost: float = 40.0, rounds: int = 4, strays: float = 0.001, least_alone: float = 0.15) -> Model:
     """Multiple-instance training: a toxic text has at least one toxic word, its witness; other texts have none.
 
     Witnesses begin as the words that begin with a landmark and no other text has; then in turn a machine is fitted to the
@@ -244,7 +244,7 @@ def train(texts: list[str], labels: list[int], most_landmarks: int = 200, plain_
     if not marks:
         return model
     whole = [m for m in marks if m.endswith(END)]
-    plain += [b for m in whole for b in beside(m, MARK)[:2]]
+    plain += [START + BESIDE + m[len(START) :] for m in whole]
     usual = "".join(c for c, _ in Counter(c for b in clean for w in b for c in w).most_common(3))
     vocabulary = sorted(set().union(*toxic, *clean))
     place = {w: i for i, w in enumerate(vocabulary)}
