@@ -19,8 +19,8 @@ from lexquarry.llm.common import as_texts, sliced, stored, struct_type
 
 LOW = float("-inf")
 SPACE = "▁"
-#: Stands in a text for the space sign itself, which would else come back as a space; it is in no vocabulary.
-LITERAL = "﷐"
+#: Stands in a text for the space sign itself, which would else come back as a space: half a surrogate, which no text can hold.
+LITERAL = "\ud800"
 
 
 class Pieces:
@@ -151,6 +151,11 @@ def prepare(text: str) -> str:
     return (SPACE + text.replace(SPACE, LITERAL).replace(" ", SPACE)) if text else ""
 
 
+def bodies(chunks: pa.Array) -> list[str]:
+    """Chunks of prepared texts, as they are kept between stages."""
+    return [b.decode("utf-8", "surrogatepass") for b in chunks.to_pylist()]
+
+
 _loaded: dict[str, Pieces] = {}
 
 
@@ -206,16 +211,16 @@ def encode(df: DataFrame, path: str, id: str = "doc_id", text: str = "text", chu
                 count = (len(t) - size + 1) // chunk_chars
                 for c in range(count):
                     body = t[c * chunk_chars : (c + 1) * chunk_chars + size - 1 if c + 1 < count else len(t)]
-                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1), batch.column(1).slice(i, 1), pa.array([c], pa.int64()), pa.array([body])], names=["_row", "_id", "chunk", "body"])
+                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1), batch.column(1).slice(i, 1), pa.array([c], pa.int64()), pa.array([body.encode("utf-8", "surrogatepass")])], names=["_row", "_id", "chunk", "body"])
 
-    chunked = T.StructType([T.StructField("_row", T.LongType()), T.StructField("_id", df.schema[id].dataType), T.StructField("chunk", T.LongType()), T.StructField("body", T.StringType())])
+    chunked = T.StructType([T.StructField("_row", T.LongType()), T.StructField("_id", df.schema[id].dataType), T.StructField("chunk", T.LongType()), T.StructField("body", T.BinaryType())])
     long = rows.where(F.length("_text") >= 2 * chunk_chars).select(F.monotonically_increasing_id().alias("_row"), "_id", "_text")
     chunks = stored(long.mapInArrow(split, chunked).repartition(F.col("_row"), F.col("chunk")))
 
     def matrices(batches):
         vocab = pieces(path)
         for batch in batches:
-            got = [vocab.matrix(b).tobytes() for b in as_texts(batch.column(2))]
+            got = [vocab.matrix(b).tobytes() for b in bodies(batch.column(2))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(got, pa.binary())], names=["_row", "chunk", "data"])
 
     small = "_row long, chunk long, data binary"
@@ -239,7 +244,7 @@ def encode(df: DataFrame, path: str, id: str = "doc_id", text: str = "text", chu
         vocab = pieces(path)
         for batch in batches:
             got = []
-            for body, data in zip(as_texts(batch.column(2)), batch.column(3).to_pylist()):
+            for body, data in zip(bodies(batch.column(2)), batch.column(3).to_pylist()):
                 best, back = forward(vocab, body, data)
                 ends = range(len(body) - vocab.length + 1, len(body) + 1)
                 memo: dict[int, int] = {}
@@ -263,7 +268,7 @@ def encode(df: DataFrame, path: str, id: str = "doc_id", text: str = "text", chu
         vocab = pieces(path)
         for batch in batches:
             ids, scores = [], []
-            for body, data, leave in zip(as_texts(batch.column(2)), batch.column(3).to_pylist(), batch.column(4).to_pylist()):
+            for body, data, leave in zip(bodies(batch.column(2)), batch.column(3).to_pylist(), batch.column(4).to_pylist()):
                 best, back = forward(vocab, body, data)
                 end = len(body) - vocab.length + 1 + int(np.frombuffer(leave, np.int64)[0])
                 got, begin = vocab.traced(body, back, end, vocab.length - 1)

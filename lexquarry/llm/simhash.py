@@ -56,18 +56,22 @@ def _distance(a: str, b: str) -> Column:
     return F.bit_count(F.col(a).bitwiseXOR(F.col(b)))
 
 
-def links(prints: DataFrame, bits: int = 2, blocks: int = 4, small: int = 32) -> DataFrame:
+#: Fingerprints that differ in so many bits or fewer are linked; large buckets are exact for this number only.
+BITS = 2
+
+
+def links(prints: DataFrame, blocks: int = 4, small: int = 32) -> DataFrame:
     """(a, b), a < b: links between distinct 64-bit fingerprints (column simhash, without repeats) that have the same
-    connected components as all pairs differing in at most `bits` bits; every link holds such a pair.
+    connected components as all pairs differing in at most two bits (BITS); every link holds such a pair.
 
-    Pigeonhole: of `blocks` equal blocks of bits at least blocks - bits are equal in a close pair, so each choice of that
+    Pigeonhole: of `blocks` equal blocks of bits at least blocks - 2 are equal in a close pair, so each choice of that
     many blocks is a key, and close pairs share one. A bucket of up to `small` fingerprints is joined with itself and the
     distances are verified. A larger one (thousands of near copies) is not paired: with two differing bits there is a value
     one bit from both, so each member is listed under itself and its one-bit variants outside the key; the members listed
     under a value differ from it in one bit each, are at most one for each bit and one more, and link to their least.
     """
     width = 64 // blocks
-    choices = list(combinations(range(blocks), blocks - bits))
+    choices = list(combinations(range(blocks), blocks - BITS))
     masks = [sum(((1 << width) - 1) << (width * b) for b in c) for c in choices]
     signed = [m - (1 << 64) if m >> 63 else m for m in masks]
     keyed = prints.select("simhash", F.explode(F.array(*[F.struct(F.lit(i).alias("choice"), F.col("simhash").bitwiseAND(F.lit(m)).alias("block")) for i, m in enumerate(signed)])).alias("key")).select("simhash", "key.choice", "key.block")
@@ -77,11 +81,9 @@ def links(prints: DataFrame, bits: int = 2, blocks: int = 4, small: int = 32) ->
     pairs = (
         few.select("choice", "block", F.col("simhash").alias("a"))
         .join(few.select("choice", "block", F.col("simhash").alias("b")), ["choice", "block"])
-        .where((F.col("a") < F.col("b")) & (_distance("a", "b") <= bits))
+        .where((F.col("a") < F.col("b")) & (_distance("a", "b") <= BITS))
         .select("a", "b")
     )
-    if bits != 2:
-        raise ValueError("large buckets are exact for two bits only")
     mask = reduce(lambda out, x: out.when(F.col("choice") == x[0], F.lit(x[1])), enumerate(signed[1:], 1), F.when(F.col("choice") == 0, F.lit(signed[0])))
     flips = F.array(F.lit(0), *[F.lit(v - (1 << 64) if v >> 63 else v) for v in (1 << k for k in range(64))])
     stars = (
@@ -97,12 +99,12 @@ def links(prints: DataFrame, bits: int = 2, blocks: int = 4, small: int = 32) ->
     return pairs.union(stars).distinct()
 
 
-def _grouped(df: DataFrame, id: str, text: str, bits: int, shingle: int, blocks: int) -> tuple[DataFrame, DataFrame]:
+def _grouped(df: DataFrame, id: str, text: str, shingle: int, blocks: int) -> tuple[DataFrame, DataFrame]:
     """(_id, _text_hash, simhash) for each row of df, and (simhash, root) for each distinct simhash."""
     rows = df.select(F.col(id).alias("_id"), F.xxhash64(F.col(text)).alias("_text_hash"), F.col(text).alias("_text"))
     prints = cut(fingerprints(rows, "_text", shingle, carry=["_id", "_text_hash"]))
     nodes = prints.select("simhash").distinct()
-    found = components(links(cut(nodes), bits, blocks)).withColumnRenamed("node", "simhash")
+    found = components(links(cut(nodes), blocks)).withColumnRenamed("node", "simhash")
     return prints, found
 
 
@@ -113,25 +115,15 @@ def _rooted(prints: DataFrame, found: DataFrame) -> DataFrame:
     return nodes.join(found, "simhash", "left").withColumn("root", F.coalesce("root", "simhash"))
 
 
-def near_duplicates(df: DataFrame, id: str = "doc_id", text: str = "text", bits: int = 2, shingle: int = 3, blocks: int = 4) -> DataFrame:
+def near_duplicates(df: DataFrame, id: str = "doc_id", text: str = "text", shingle: int = 3, blocks: int = 4) -> DataFrame:
     """(id, simhash, component_id): one row for each row of df; component_id is the least id that links reach.
 
     Equal fingerprints are one node, so copies are never paired, whatever their number. Documents without words share
     fingerprint 0 and link like any other. Null ids are rows like any other and never the least id of a component that
     has another. Repeated rows give repeated rows; an empty table gives an empty one.
     """
-    prints, found = _grouped(df, id, text, bits, shingle, blocks)
+    prints, found = _grouped(df, id, text, shingle, blocks)
     rooted = _rooted(prints, found)
     least = rooted.groupBy("root").agg(F.min("least.id").alias("component_id"))
     named = rooted.join(least, "root").select("simhash", "component_id")
     return prints.join(named, "simhash").select(F.col("_id").alias(id), "simhash", "component_id")
-
-
-def keep_first(df: DataFrame, id: str = "doc_id", text: str = "text", bits: int = 2, shingle: int = 3, blocks: int = 4) -> DataFrame:
-    """One row of df for each group of near duplicates: that of the least id (null ids last), of rows that share it the one
-    whose text has the least hash, and one of equal rows. The columns are df's; texts are shuffled once."""
-    prints, found = _grouped(df, id, text, bits, shingle, blocks)
-    first = _rooted(prints, found).groupBy("root").agg(F.min("least").alias("least")).select(F.col("least.id").alias("_first_id"), F.col("least.text").alias("_first_text"))
-    rows = df.withColumn("_text_hash", F.xxhash64(F.col(text)))
-    same = (F.col("_text_hash") == F.col("_first_text")) & F.col(id).eqNullSafe(F.col("_first_id"))
-    return rows.join(first, same, "left_semi").dropDuplicates(["_text_hash", id]).select(*[F.col(f"`{c}`") for c in df.columns])

@@ -320,7 +320,7 @@ def score(df: DataFrame, model: Model, text: str = "text", carry: list[str] | No
             bare = sorted(bare)
             got = dict(zip(bare, zip(*(x.tolist() for x in model.margins(kernel, bare)))))
             known.update((w, got[letters(w)]) for w in new)
-            return [tops(map(known.__getitem__, ws)) for ws in lists]
+            return [tops(map(known.__getitem__, set(ws))) for ws in lists]
 
         def work(batch: pa.RecordBatch) -> list[pa.Array]:
             out = []

@@ -109,7 +109,7 @@ def test_pieces(spark, odd, none):
             back.append(found[1])
         return vocab.traced(text, back, len(text), 0)[0], best[-1]
 
-    draw, parts = random.Random(4), ["the", "tion", " ", "\n", "é", "日", "▁", "x", "12", ".", "aaaa"]
+    draw, parts = random.Random(4), ["the", "tion", " ", "\n", "é", "日", "▁", "\ufdd0", "x", "12", ".", "aaaa"]
     rows = [(i, "".join(draw.choice([p for p in parts if i % 3 or p not in " \n▁"]) for _ in range(draw.randint(0, 200)))) for i in range(25)] + [(90, None), (91, ""), (92, "a  b ")]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     for size in (20, 70):
@@ -199,6 +199,9 @@ def test_licenses(spark, odd, none):
     text = "Ok\nReleased under the MIT License.\n\nThis work is licensed under\nthe GNU General Public License, version 3.\n\nThe end"
     found = license_scan.scan(spark.createDataFrame([(1, text), (1, text), (2, "All rights, all reserved for the license")], "doc_id long, text string")).collect()
     assert sorted({(r.unit, r.unit_no, r.license) for r in found}) == [("line", 1, "MIT"), ("paragraph", 0, "MIT"), ("paragraph", 1, "GPL-3.0")] and len(found) == 6
+    mit = "Copyright (c) 2020 Someone\n\nPermission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal\nin the Software without restriction, including without limitation the rights\nto use, copy, modify, merge, publish, distribute, sublicense, and/or sell\ncopies of the Software, and to permit persons to whom the Software is\nfurnished to do so, subject to the following conditions:\n\nEnd"
+    found = license_scan.scan(spark.createDataFrame([(1, mit), (2, mit.replace("charge", "cost").replace("merge, ", ""))], "doc_id long, text string")).collect()
+    assert [(r.unit, r.unit_no, r.license, r.dice) for r in found if r.doc_id == 1] == [("paragraph", 1, "MIT", 1.0), ("document", 0, "MIT", found[1].dice)] and {r.license for r in found} == {"MIT"} and {r.doc_id for r in found} == {1, 2}
     assert license_scan.scan(odd).count() == 0 and license_scan.scan(none).count() == 0
 
 
