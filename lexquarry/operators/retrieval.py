@@ -49,7 +49,8 @@ def best(scores: DataFrame, most: int, *ties: str, by: str = "query_id", digits:
     """The best rows of each query with rank, from 0. Scores are compared rounded, so that ties stay ties whatever the order
     of summation."""
     order = Window.partitionBy(by).orderBy(F.round("score", digits).desc(), *ties)
-    return scores.withColumn("rank", F.row_number().over(order) - 1).where(F.col("rank") < most)
+    # the filter is on the number itself, so that Spark limits each query's rows before the shuffle
+    return scores.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most).withColumn("rank", F.col("rank") - 1)
 
 
 def dot(a: Column, b: Column) -> Column:
