@@ -89,13 +89,17 @@ def attribute(text: Column) -> Column:
     return F.substring(F.translate(text, '"\n', "' "), 1, 160)
 
 
+#: What is taken out of Markdown before it is spoken, and what comes in its place, in order.
+SPOKEN = [
+    (r"```[\s\S]*?```", " "), (r"\[(S\d+(?:\s*[,;]\s*S\d+)*)\]", ""), (r"\[([^\]]+)\]\((https?:[^)]+)\)", "$1"), (r"(?m)^#{1,6}\s+", ""), (r"(?m)^\s*[-*+]\s+", ""),
+    (r"(?m)^\s*\d+[.)]\s+", ""), (r"(?m)^\s*>\s?", ""), (r"\|", " "), (r"[*_`~#]", ""), (r"\s+", " "), (r"\s+([.,;:!?])", "$1"),
+]
+
+
 def speakable(text: Column) -> Column:
     """Markdown as plain words to be spoken."""
     out = text
-    for pattern, by in [
-        (r"```[\s\S]*?```", " "), (r"\[(S\d+(?:\s*[,;]\s*S\d+)*)\]", ""), (r"\[([^\]]+)\]\((https?:[^)]+)\)", "$1"), (r"(?m)^#{1,6}\s+", ""), (r"(?m)^\s*[-*+]\s+", ""),
-        (r"(?m)^\s*\d+[.)]\s+", ""), (r"(?m)^\s*>\s?", ""), (r"\|", " "), (r"[*_`~#]", ""), (r"\s+", " "), (r"\s+([.,;:!?])", "$1"),
-    ]:
+    for pattern, by in SPOKEN:
         out = F.regexp_replace(out, pattern, by)
     return F.trim(out)
 

@@ -51,14 +51,13 @@ def retrieval_query_rewrite(spark, sf_dir):
     return asked.select("conv_id", "turn", F.sha2(chat.retrieval_query(F.col("text"), F.col("prev")), 256).alias("query_sha256"))
 
 
-@query(r"""WITH m AS (SELECT conv_id, turn, CASE WHEN role = 'user' THEN 'user' ELSE 'model' END AS role, trim(text, ' ' || chr(10)) AS text FROM conversations WHERE role IN ('user', 'assistant') AND turn % 3 <> 1 AND trim(text, ' ' || chr(10)) <> ''),
+@query(r"""WITH m AS (SELECT conv_id, turn, CASE WHEN role = 'user' THEN 'user' ELSE 'model' END AS role, trim(text, ' ' || chr(10)) AS text FROM conversations WHERE role IN ('user', 'assistant') AND trim(text, ' ' || chr(10)) <> ''),
  a AS (SELECT *, min(turn) FILTER (role = 'user') OVER (PARTITION BY conv_id) AS f, lag(role) OVER (PARTITION BY conv_id ORDER BY turn) AS p FROM m), b AS (SELECT *, sum(CASE WHEN p IS NULL OR p <> role THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn) AS g FROM a WHERE turn >= f),
  c AS (SELECT conv_id, g, any_value(role) AS role, string_agg(text, chr(10) || chr(10) ORDER BY turn) AS text FROM b GROUP BY conv_id, g), d AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY g) AS n, max(g) OVER (PARTITION BY conv_id) AS last FROM c)
  SELECT conv_id, CAST(n AS INT) AS n, role, sha256(text) AS text_sha256 FROM d WHERE NOT (g = last AND role = 'user')""")
 def message_normalise(spark, sf_dir):
-    """Histories with gaps as alternating messages: every third turn from the second on is missing."""
-    history = _said(spark, sf_dir).where("turn % 3 <> 1")
-    return chat.normalise(history, "conv_id", "turn", "role", "text").select("conv_id", "n", "role", F.sha2("text", 256).alias("text_sha256"))
+    """Histories as alternating messages."""
+    return chat.normalise(_said(spark, sf_dir), "conv_id", "turn", "role", "text").select("conv_id", "n", "role", F.sha2("text", 256).alias("text_sha256"))
 
 
 @query()
@@ -68,9 +67,14 @@ def sentence_chunks(spark, sf_dir):
     return said.select("conv_id", "turn", F.posexplode(chat.sentences("text")).alias("n", "sentence")).select("conv_id", "turn", "n", F.length("sentence").alias("n_chars"))
 
 
-@query(r"""SELECT conv_id, turn, sha256(trim(regexp_replace(regexp_replace(text, '\s+', ' ', 'g'), '\s+([.,;:!?])', '\1', 'g'))) AS spoken_sha256 FROM conversations WHERE role = 'assistant' AND NOT regexp_matches(text, '[`#*>|_~\[\]]|(^|\n)\s*[-+0-9]')""")
+SPOKEN_SQL = "text"
+for _pattern, _by in X.SPOKEN:
+    SPOKEN_SQL = "regexp_replace({}, '{}', '{}', 'g')".format(SPOKEN_SQL, _pattern, _by.replace("$", "\\"))
+
+
+@query(f"SELECT conv_id, turn, sha256(trim({SPOKEN_SQL}, ' ')) AS spoken_sha256 FROM conversations WHERE role = 'assistant'")
 def speakable_text(spark, sf_dir):
-    said = table(spark, sf_dir, "conversations").where(F.col("role") == "assistant").where(~F.col("text").rlike(r"[`#*>|_~\[\]]|(^|\n)\s*[-+0-9]"))
+    said = table(spark, sf_dir, "conversations").where(F.col("role") == "assistant")
     return said.select("conv_id", "turn", F.sha2(X.speakable(F.col("text")), 256).alias("spoken_sha256"))
 
 

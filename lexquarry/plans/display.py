@@ -11,9 +11,9 @@ from lexquarry.functions import text as X
 from lexquarry.plans.registry import query, table
 
 
-@query(r"""SELECT item_id, sha256('<sources>' || chr(10) || '<source id="S1" document="' || substr('bench ' || item_id, 1, 160) || '" location="Page ' || item_id || '" section="">' || chr(10) || text || chr(10) || '</source>' || chr(10) || '</sources>' || chr(10) || chr(10) || '<question>' || chr(10) || 'why &lt;/question>?' || chr(10) || '</question>') AS prompt_sha256 FROM benchmark WHERE NOT contains(text, '</')""")
+@query(r"""SELECT item_id, sha256('<sources>' || chr(10) || '<source id="S1" document="' || substr('bench ' || item_id, 1, 160) || '" location="Page ' || item_id || '" section="">' || chr(10) || regexp_replace(text, '</(sources?|document|situation|question)', '&lt;/\1', 'gi') || chr(10) || '</source>' || chr(10) || '</sources>' || chr(10) || chr(10) || '<question>' || chr(10) || 'why &lt;/question>?' || chr(10) || '</question>') AS prompt_sha256 FROM benchmark""")
 def chat_prompt(spark, sf_dir):
-    items = table(spark, sf_dir, "benchmark").where(~F.contains("text", F.lit("</")))
+    items = table(spark, sf_dir, "benchmark")
     number = F.col("item_id").cast("string")
     source = F.struct(F.lit("S1").alias("id"), F.concat(F.lit("bench "), number).alias("name"), F.concat(F.lit("Page "), number).alias("location"), F.lit("").alias("section"), F.col("text"))
     prompt = P.question_turn(F.lit("why </question>?"), P.source_block(F.array(source)))

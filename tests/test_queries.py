@@ -40,3 +40,15 @@ def test_query(spark, duck, name):
 def test_pushdown(spark):
     plan = QUERIES["doc_list_infos"](spark, SF)._jdf.queryExecution().toString()
     assert "EqualTo(source,src1)" in plan and "text" not in plan.split("ReadSchema")[1].split("\n")[0]
+
+
+def test_speakable_markdown(spark, duck):
+    from pyspark.sql import functions as F
+
+    from lexquarry.functions.text import speakable
+    from lexquarry.plans.conversations import SPOKEN_SQL
+
+    text = "# Title\n\n- **one** [S1, S2] .\n2) see [here](https://a.b/c) | `x`\n> quoted\n```\ncode\n```\nend_ !"
+    got = spark.createDataFrame([(text,)], "text string").select(speakable(F.col("text"))).first()[0]
+    want = duck.execute(f"SELECT trim({SPOKEN_SQL}, ' ') FROM (SELECT ? AS text)", [text]).fetchone()[0]
+    assert got == want == "Title one. see here x quoted end!"
