@@ -20,8 +20,9 @@ def downsampled(samples: Column, factor: int) -> Column:
 
 
 def pcm16(samples: Column) -> Column:
-    """Samples between -1 and 1 (clamped) as 16-bit numbers."""
-    return F.transform(samples, lambda x: F.round(F.least(F.lit(1.0), F.greatest(F.lit(-1.0), x.cast("double"))) * 32767).cast("int"))
+    """Samples between -1 and 1 (clamped) as 16-bit numbers, cut toward 0; -1 is -32768 and 1 is 32767."""
+    clamped = lambda x: F.least(F.lit(1.0), F.greatest(F.lit(-1.0), x.cast("double")))
+    return F.transform(samples, lambda x: (clamped(x) * F.when(x < 0, 32768).otherwise(32767)).cast("int"))
 
 
 def reblocked(frames: DataFrame, stream: str, seq: str, samples: str, size: int = 2048) -> DataFrame:

@@ -65,3 +65,12 @@ def test_prompts_and_labels(spark):
     assert one(spark, lambda c: P.export_name(c), "Risk: report (1)!") == "Risk_report_1"
     marks = one(spark, lambda c: P.highlights(c, F.array(F.lit("RENT"), F.lit("ent is"), F.lit("due"))), "The rent is due")
     assert [(m.start, m.length) for m in marks] == [(5, 4), (13, 3)]
+
+
+def test_pcm16(spark):
+    from pyspark.sql import functions as F
+
+    from lexquarry.functions.audio import pcm16
+
+    df = spark.createDataFrame([([-2.0, -1.0, -0.5, 0.0, 0.5, 1.0, 3.0],)], "s array<double>")
+    assert df.select(pcm16(F.col("s"))).first()[0] == [-32768, -32768, -16384, 0, 16383, 32767, 32767]
