@@ -89,6 +89,7 @@ def add_columns(df: DataFrame, fields: T.StructType, start, carry: list[str] | N
         for batch in batches:
             if batch.num_rows:
                 yield pa.RecordBatch.from_arrays([batch.column(i) for i in at] + work(batch), names=names)
+        pa.default_memory_pool().release_unused()  # the worker process goes on to other tasks
 
     return df.mapInArrow(run, schema)
 

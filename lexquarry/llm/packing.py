@@ -21,7 +21,8 @@ class WordTokens:
 
     A text of ASCII signs and Latin-1 letters, without digits and apostrophes, is a sequence of runs of letters and runs of
     signs, which the tokenizer takes one by one; its model is asked once for each. Any other text goes word by word: such a
-    word the same way, another through the whole tokenizer. The kept parts go when there are `most`, so memory is bounded.
+    word the same way, another through the whole tokenizer. The kept parts are short and go when there are `most`,
+    so memory is bounded in bytes.
     """
 
     run = r"[a-zß-öø-ÿ]+|[!-&(-/:-@\[-`{-~]+"
@@ -29,16 +30,18 @@ class WordTokens:
     runs = re.compile(run)
 
     class Parts(dict):
-        """part -> its ids as bytes; a part not yet known is looked up and kept."""
+        """part -> its ids as bytes; a part not yet known is looked up and, unless it is long, kept."""
 
-        def __init__(self, find):
-            self.find = find
+        def __init__(self, find, longest: int = 64):
+            self.find, self.longest = find, longest
 
         def __missing__(self, part):
-            out = self[part] = self.find(part)
+            out = self.find(part)
+            if len(part) <= self.longest:
+                self[part] = out
             return out
 
-    def __init__(self, path: str, most: int = 800_000):
+    def __init__(self, path: str, most: int = 150_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
