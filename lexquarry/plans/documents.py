@@ -160,12 +160,19 @@ def risk_rollup(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", "source").join(labels, "doc_id").groupBy("source", "risk").agg(F.count("*").alias("n")).withColumn("place", place)
 
 
-@query("""SELECT source, lang, sha256('{"docs":"' || string_agg(sha256(text), ',' ORDER BY doc_id) || '","lang":"' || lang || '","task":"risks"}') AS cache_key, count(*) AS n_docs FROM documents WHERE doc_id % 7 = 0 GROUP BY source, lang""")
+@query("""SELECT source, lang, sha256('{"docs":"' || string_agg(sha, ',' ORDER BY block) || '","lang":"' || lang || '","task":"risks"}') AS cache_key, sum(n)::BIGINT AS n_docs FROM (
+  SELECT source, lang, doc_id // 1000 AS block, sha256(string_agg(sha256(text), ',' ORDER BY doc_id)) AS sha, count(*) AS n FROM documents GROUP BY ALL) GROUP BY source, lang""")
 def analysis_cache_key(spark, sf_dir):
-    """The key under which an analysis of a few chosen documents (those of each library and language in scope) is kept."""
-    scope = table(spark, sf_dir, "documents").where(F.col("doc_id") % 7 == 0).groupBy("source", "lang").agg(F.array_sort(F.collect_list(F.struct("doc_id", F.sha2("text", 256).alias("sha")))).alias("d"))
-    docs = F.array_join(F.transform("d", lambda x: x["sha"]), ",")
-    return scope.select("source", "lang", F.sha2(F.concat(F.lit('{"docs":"'), docs, F.lit('","lang":"'), "lang", F.lit('","task":"risks"}')), 256).alias("cache_key"), F.size("d").cast("long").alias("n_docs"))
+    """The key under which an analysis of a library's documents in one language is kept. Hashes of up to 1,000 neighbouring ids
+    are hashed together first, so that a large library's key is made of few."""
+    hashed = table(spark, sf_dir, "documents").select("source", "lang", "doc_id", F.floor(F.col("doc_id") / 1000).alias("block"), F.sha2("text", 256).alias("sha"))
+
+    def joined(ordered):
+        return F.array_join(F.transform(F.array_sort(ordered), lambda x: x["sha"]), ",")
+
+    blocks = hashed.groupBy("source", "lang", "block").agg(F.sha2(joined(F.collect_list(F.struct("doc_id", "sha"))), 256).alias("sha"), F.count("*").alias("n"))
+    scope = blocks.groupBy("source", "lang").agg(joined(F.collect_list(F.struct("block", "sha"))).alias("docs"), F.sum("n").alias("n_docs"))
+    return scope.select("source", "lang", F.sha2(F.concat(F.lit('{"docs":"'), "docs", F.lit('","lang":"'), "lang", F.lit('","task":"risks"}')), 256).alias("cache_key"), "n_docs")
 
 
 @query("SELECT sha256(text) AS cache_key, max(doc_id) AS doc_id, arg_max(source, doc_id) AS payload FROM documents GROUP BY sha256(text)")
