@@ -64,8 +64,9 @@ def turn_validation(spark, sf_dir):
     return said.select("conv_id", "turn", valid.alias("valid"), P.export_name(F.col("text")).alias("export_name"))
 
 
-@query("""SELECT doc_id, instr(lower(text), 'the') AS first_the FROM documents WHERE instr(lower(text), 'the') > 0""")
+@query("""SELECT doc_id, nullif(instr(lower(text), 'the'), 0) AS first_the FROM documents""")
 def quote_highlights(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").where(F.contains(F.lower("text"), F.lit("the")))
+    """The first place of a word in each text, null where it is not."""
+    docs = table(spark, sf_dir, "documents")
     marks = P.highlights(F.col("text"), F.array(F.lit("THE"), F.lit("no such words")))
     return docs.select("doc_id", F.array_min(F.transform(marks, lambda m: m["start"])).cast("long").alias("first_the"))
