@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexquarry.llm import chat_format, license_scan, maxent_lm, order_minhash, packing, piece_encoding, quality_mil, quality_rules, simhash, toxicity
+from lexquarry.llm import chat_format, filter_audit, license_scan, maxent_lm, order_minhash, packing, piece_encoding, quality_mil, quality_rules, simhash, toxicity
 from lexquarry.llm.common import fold, table
 
 
@@ -63,9 +63,13 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(table(spark, sf_dir, "documents"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op2_chat_format, op3_packing, op4_quality_mil, op5_toxicity, op6_piece_encoding, op7_maxent_lm, op8_order_minhash, op9_simhash, op10_license_scan)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_chat_format, op3_packing, op4_quality_mil, op5_toxicity, op6_piece_encoding, op7_maxent_lm, op8_order_minhash, op9_simhash, op10_license_scan, op11_filter_audit)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_license_scan": license_scan.oracle()}
+    return {"op10_license_scan": license_scan.oracle(), "op11_filter_audit": filter_audit.oracle()}
