@@ -10,7 +10,7 @@ from __future__ import annotations
 from itertools import permutations
 from math import factorial
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 LETTERS = "ABCDE"
@@ -40,22 +40,23 @@ def judged(docs: DataFrame, labels: DataFrame, id: str, text: str, part: str) ->
     """(part, fails, n, good, toxic): how many documents of a part fail which filters, and how many of them have a label.
 
     Texts are known by their SHA-256 from here on. Copies of one text in one part become one row before they meet the text's
-    smallest id, and rows without an id pass by the labels, so neither a text nor an id that many rows have is one task's work.
+    smallest id, and rows without an id are spread by their texts, so neither a text nor an id that many rows have is one task's work.
     """
     body = F.coalesce(F.col(text), F.lit(""))
     rows = docs.select(F.col(id).alias("_id"), F.coalesce(F.col(part).cast("string"), F.lit("")).alias("part"), F.unhex(F.sha2(body, 256)).alias("sha"), own_failures(body).alias("own"))
     rows = rows.groupBy("_id", "sha", "part", "own").agg(F.count("*").alias("n"))
     marks = labels.where(F.col(id).isNotNull()).groupBy(F.col(id).alias("_label")).agg(F.max(F.coalesce(F.col("quality") == 1, F.lit(False))).alias("good"), F.max(F.coalesce(F.col("toxic") == 1, F.lit(False))).alias("toxic"))
-    named = rows.where(F.col("_id").isNotNull())
-    named = named.join(marks, named["_id"] == marks["_label"], "left").select("_id", "sha", "part", "own", "n", *[F.coalesce(c, F.lit(False)).alias(c) for c in ("good", "toxic")])
-    nameless = rows.where(F.col("_id").isNull()).select("_id", "sha", "part", "own", "n", F.lit(False).alias("good"), F.lit(False).alias("toxic"))
+    salt = F.when(F.col("_id").isNull(), F.xxhash64("sha")).otherwise(0)  # rows without an id meet no label, each where its text lies
+    marks = marks.withColumn("_salt", F.lit(0).cast("long"))
+    named = rows.withColumn("salt", salt).join(marks, (F.col("_id") == F.col("_label")) & (F.col("salt") == F.col("_salt")), "left")
+    named = named.select("_id", "sha", "part", "own", "n", *[F.coalesce(c, F.lit(False)).alias(c) for c in ("good", "toxic")])
     # of the rows of one text that are alike: how many, how many have an id, and the smallest id with its number of rows
     first = F.min(F.when(F.col("_id").isNotNull(), F.struct("_id", "n")))
-    alike = named.unionByName(nameless).groupBy("sha", "part", "own", "good", "toxic").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("_id").isNotNull(), F.col("n")).otherwise(0)).alias("with_id"), first.alias("first"))
-    least = alike.groupBy("sha").agg(F.min("first._id").alias("least"))
+    alike = named.groupBy("sha", "part", "own", "good", "toxic").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("_id").isNotNull(), F.col("n")).otherwise(0)).alias("with_id"), first.alias("first"))
+    alike = alike.withColumn("least", F.min("first._id").over(Window.partitionBy("sha")))  # a text has a few rows for each part here
     copies = F.when(F.col("first._id") == F.col("least"), F.col("with_id") - F.col("first.n")).otherwise(F.col("with_id"))
     sides = F.array(F.struct(F.lit(BITS["E"]).alias("e"), copies.alias("n")), F.struct(F.lit(0).alias("e"), (F.col("n") - copies).alias("n")))
-    told = alike.join(least, "sha").select("part", "own", "good", "toxic", F.explode(sides).alias("s")).where("s.n > 0")
+    told = alike.select("part", "own", "good", "toxic", F.explode(sides).alias("s")).where("s.n > 0")
     n = F.col("s.n")
     return told.groupBy("part", (F.col("own") + F.col("s.e")).alias("fails")).agg(F.sum(n).alias("n"), F.sum(F.when(F.col("good"), n).otherwise(0)).alias("good"), F.sum(F.when(F.col("toxic"), n).otherwise(0)).alias("toxic"))
 
@@ -99,8 +100,7 @@ def audit(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "t
     size = F.bit_count("applied").cast("int")
     # an edge lies on as many orders as its set has orders before it and the rest has after it
     weight = F.element_at(F.array(*[F.lit(factorial(k) * factorial(len(LETTERS) - 1 - k)) for k in range(len(LETTERS))]), size + 1)
-    shapley = found.groupBy(F.col("part").alias("_part"), F.col("next").alias("_next")).agg(F.sum(F.col("removed") * weight).alias("shapley"))
-    valued = found.join(shapley, (F.col("part") == F.col("_part")) & (F.col("next") == F.col("_next")))
+    valued = found.withColumn("shapley", F.sum(F.col("removed") * weight).over(Window.partitionBy("part", "next")))
     return valued.join(F.broadcast(steps(docs.sparkSession)), ["applied", "next"]).select("part", "filter_order", "step", *[F.col(c).cast("long").alias(c) for c in NUMBERS])
 
 
