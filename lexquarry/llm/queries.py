@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexquarry.llm import chat_format, filter_audit, license_scan, maxent_lm, order_minhash, packing, piece_encoding, quality_mil, quality_rules, simhash, token_files, toxicity
+from lexquarry.llm import chat_format, filter_audit, license_scan, maxent_lm, order_minhash, packing, piece_encoding, quality_mil, quality_rules, simhash, token_alignment, token_files, toxicity
 from lexquarry.llm.common import fold, table
 
 
@@ -67,12 +67,16 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment.align(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op2_chat_format, op3_packing, op4_quality_mil, op5_toxicity, op6_piece_encoding, op7_maxent_lm, op8_order_minhash, op9_simhash, op10_license_scan, op11_filter_audit, op13_token_files)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_chat_format, op3_packing, op4_quality_mil, op5_toxicity, op6_piece_encoding, op7_maxent_lm, op8_order_minhash, op9_simhash, op10_license_scan, op11_filter_audit, op12_token_alignment, op13_token_files)}
 
 
 def oracle_sql() -> dict[str, str]:
