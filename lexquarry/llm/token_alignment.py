@@ -12,10 +12,12 @@ import os
 import re
 from collections.abc import Iterator
 from hashlib import sha256
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
@@ -24,7 +26,7 @@ from lexquarry.llm.common import as_texts, broadcast_small, cut, sliced, stored,
 
 SPACE = "▁"
 #: A block ends with the text that brings it to so many characters.
-BLOCK_CHARS = 8_000_000
+BLOCK_CHARS = 32_000_000
 #: Where a text may be cut: before a space that follows something else than white space, or B's sign for it.
 BORDER = re.compile(rf"(?<=[^\s{SPACE}])(?= )")
 #: Any other space, which the pieces between spaces would be cut at.
@@ -38,20 +40,38 @@ def byte_signs() -> dict[str, int]:
     return {chr(b if b in visible else 256 + hidden.index(b)): b for b in range(256)}
 
 
+#: Fixed value: how byte-level BPE parts a text into words before it merges bytes.
+WORDS = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+
+
 class Pair:
-    """A byte-level BPE tokenizer (A) and a SentencePiece model (B), each with the bytes of its tokens."""
+    """A byte-level BPE tokenizer (A) and a SentencePiece model (B), each with the bytes of its tokens.
+
+    A's entries are numbered in the order of their merges (else its own library encodes), so they serve as ranks for an encoder
+    that is several times as fast on short texts.
+    """
 
     def __init__(self, path_a: str, path_b: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import sentencepiece
+        import tiktoken
         from tokenizers import Tokenizer
 
         self.a, self.b = Tokenizer.from_file(path_a), sentencepiece.SentencePieceProcessor(model_file=path_b)
         self.a.encode_special_tokens = True
-        signs = byte_signs()
-        self.bytes_a = {i: bytes(signs[c] for c in t) if all(c in signs for c in t) else t.encode() for t, i in self.a.get_vocab().items()}
+        signs, vocabulary = byte_signs(), self.a.get_vocab(with_added_tokens=False)
+        entries = {t: i for t, i in vocabulary.items() if all(c in signs for c in t)}
+        special = {t.content for t in self.a.get_added_tokens_decoder().values()}
+        ranks = {bytes(signs[c] for c in t): i for t, i in entries.items() if t not in special}
+        self.bytes_a = {i: b for b, i in ranks.items()} | {self.a.token_to_id(t): t.encode() for t in special}
+        merges = [self.a.token_to_id("".join(m)) for m in (x if isinstance(x, list) else x.split(" ") for x in json.loads(self.a.to_str())["model"]["merges"])]
+        self.ranked = None
+        if merges == sorted(merges) and len(ranks) == len(merges) + 256:
+            self.ranked = tiktoken.Encoding("A", pat_str=WORDS, mergeable_ranks=ranks, special_tokens={})
         names = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.bytes_b = [bytes([int(n[3:5], 16)]) if self.b.is_byte(i) else n.replace(SPACE, " ").encode() for i, n in enumerate(names)]
+        self.sizes_a = np.array([len(self.bytes_a.get(i, b"")) for i in range(max(self.bytes_a) + 1)])
+        self.sizes_b = np.array([len(x) for x in self.bytes_b])
         self.cuttable = self.parts_at_spaces()
 
     def parts_at_spaces(self) -> bool:
@@ -72,31 +92,44 @@ class Pair:
             parts[-2:] = [parts[-2] + parts[-1]]
         return [p[1:] for p in parts]
 
-    def aligned(self, segments: list[str]) -> Iterator[tuple[bool, int, int, int, str, list[int]]]:
-        """For each segment: whether both give its bytes, tokens of A and of B, groups, their text, and the links, which are pairs of
-        tokens that share a byte: A's id, shifted by 32 bits, and B's."""
-        for segment, a, b in zip(segments, self.a.encode_batch([" " + s for s in segments], add_special_tokens=False), self.b.encode(segments, num_threads=1)):
-            raw, a = (" " + segment).encode(), a.ids
-            if b"".join(map(self.bytes_a.__getitem__, a)) != raw or b"".join(map(self.bytes_b.__getitem__, b)) != raw:
-                yield False, 0, 0, 0, "", []
-                continue
-            groups, links, i, j, from_i, from_j = [], [], 0, 0, 0, 0
-            ahead = len(self.bytes_a[a[0]]) - len(self.bytes_b[b[0]])  # by how many bytes A's token ends after B's
-            while True:
-                links.append(a[i] << 32 | b[j])
-                if ahead == 0:
-                    groups.append(f"{','.join(map(str, a[from_i : i + 1]))}|{','.join(map(str, b[from_j : j + 1]))}")
-                    from_i, from_j = i + 1, j + 1
-                    if from_i == len(a):
-                        break
-                step_a, step_b = ahead <= 0, ahead >= 0
-                if step_a:
-                    i += 1
-                    ahead += len(self.bytes_a[a[i]])
-                if step_b:
-                    j += 1
-                    ahead -= len(self.bytes_b[b[j]])
-            yield True, len(a), len(b), len(groups), ";".join(groups), links
+    def encoded_a(self, segments: list[str]) -> list[list[int]]:
+        if self.ranked is not None:
+            return [self.ranked.encode_ordinary(" " + s) for s in segments]
+        return [e.ids for e in self.a.encode_batch([" " + s for s in segments], add_special_tokens=False)]
+
+    def aligned(self, segments: list[str]) -> dict[str, list | pa.Array]:
+        """For each segment: tokens of A; the groups' text, which is empty if a tokenizer does not give the segment back; and the
+        links, pairs of tokens that share a byte: A's id, shifted by 32 bits, and B's.
+
+        All segments are one string of bytes here, and every token a range of it.
+        """
+        a, b = self.encoded_a(segments), self.b.encode(segments, num_threads=1)
+        raw = [(" " + s).encode() for s in segments]
+        if not all(b"".join(map(t.__getitem__, chain.from_iterable(ids))) == b"".join(raw) for t, ids in ((self.bytes_a, a), (self.bytes_b, b))):
+            for k, r in enumerate(raw):
+                if any(b"".join(map(t.__getitem__, ids[k])) != r for t, ids in ((self.bytes_a, a), (self.bytes_b, b))):
+                    a[k], b[k], raw[k] = [], [], b""
+        ids_a, ids_b = (np.fromiter(chain.from_iterable(ids), np.int64) for ids in (a, b))
+        sizes_a, sizes_b = self.sizes_a[ids_a], self.sizes_b[ids_b]
+        ends_a, ends_b = np.cumsum(sizes_a), np.cumsum(sizes_b)
+        # groups end where tokens of both do
+        ends, at_a, at_b = np.intersect1d(ends_a, ends_b, assume_unique=True, return_indices=True)
+        names_a, names_b = [list(map(str, ids.tolist())) for ids in (ids_a, ids_b)]
+        groups, i, j = [], 0, 0
+        for p, q in zip((at_a + 1).tolist(), (at_b + 1).tolist()):
+            groups.append(",".join(names_a[i:p]) + "|" + ",".join(names_b[j:q]))
+            i, j = p, q
+        own = np.searchsorted(ends, np.cumsum([len(r) for r in raw]), side="right").tolist()
+        # the tokens of B that a token of A overlaps: from the one that holds its first byte to the one that holds its last
+        first = np.searchsorted(ends_b, ends_a - sizes_a, side="right")
+        count = np.searchsorted(ends_b, ends_a, side="left") - first + 1
+        other = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count - first, count)
+        links = np.repeat(ids_a, count) << 32 | ids_b[other]
+        bounds = np.concatenate([[0], np.cumsum(count)])[np.concatenate([[0], np.cumsum([len(x) for x in a])])]
+        return {
+            "n_a": pa.array([len(x) for x in a], pa.int32()), "groups": pa.array([";".join(groups[x:y]) for x, y in zip([0, *own], own)], pa.string()),
+            "links": pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(links)),
+        }
 
 
 _loaded: dict[tuple[str, str], Pair] = {}
@@ -144,24 +177,24 @@ def blocks(docs: DataFrame, path_a: str, path_b: str, id: str, text: str) -> Dat
     return docs.select(F.spark_partition_id().alias("_part"), F.col(id).alias("_id"), F.col(text).alias("_text")).mapInArrow(run, schema)
 
 
-ALIGNED = struct_type(segment=T.StringType(), n=T.LongType(), sid=T.LongType(), valid=T.BooleanType(), n_a=T.LongType(), n_b=T.LongType(), n_groups=T.LongType(), groups=T.StringType(), links=T.ArrayType(T.LongType()))
+ALIGNED = struct_type(segment=T.StringType(), n=T.LongType(), n_a=T.IntegerType(), groups=T.StringType(), links=T.ArrayType(T.LongType()))
 
 
 def align_segments(distinct: DataFrame, path_a: str, path_b: str) -> DataFrame:
-    """(segment, n, sid) with what both tokenizers make of each segment."""
+    """(segment, n) with what both tokenizers make of each segment."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         both = pair(path_a, path_b)
-        for batch in sliced(batches, 2000):
-            found = list(zip(*both.aligned(batch.column(0).to_pylist())))
-            yield pa.RecordBatch.from_arrays([*batch.columns, *[pa.array(v, to_arrow_type(f.dataType)) for v, f in zip(found, ALIGNED.fields[3:])]], names=ALIGNED.names)
+        for batch in sliced(batches, 5000):
+            found = both.aligned(batch.column(0).to_pylist())
+            yield pa.RecordBatch.from_arrays([*batch.columns, *found.values()], names=ALIGNED.names)
 
-    return distinct.select("segment", "n", "sid").mapInArrow(run, ALIGNED)
+    return distinct.select("segment", "n").mapInArrow(run, ALIGNED)
 
 
 def in_spoiled_texts(held: DataFrame, entries: DataFrame, aligned: DataFrame) -> DataFrame:
     """(segment, gone): how often segments occur in texts that hold a segment which a tokenizer does not give back."""
-    bad = aligned.where(~F.col("valid")).select("segment")
+    bad = aligned.where("groups = ''").select("segment")
     spots = entries.join(bad, "segment", "left_semi").groupBy("block").agg(F.collect_list("pos").alias("bad"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -180,35 +213,57 @@ def in_spoiled_texts(held: DataFrame, entries: DataFrame, aligned: DataFrame) ->
     return held.join(spots, "block").select("ends", "codes", "segments", "bad").mapInArrow(run, "segment string, gone long").groupBy("segment").agg(F.sum("gone").alias("gone"))
 
 
+def packed(told: DataFrame) -> DataFrame:
+    """(block, part): the rows (block, pos, n_a, groups, n_best, count_sum) of each block in a partition as one compressed Arrow
+    batch, so that what goes back to the blocks is a few values for each rather than a row for each segment."""
+    schema = struct_type(block=T.LongType(), part=T.BinaryType())
+    names = ["pos", "n_a", "groups", "n_best", "count_sum"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            of = batch.column(0).to_numpy(zero_copy_only=False)
+            begins = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]])) if len(of) else of
+            parts = []
+            for begin, end in zip(begins.tolist(), [*begins[1:].tolist(), len(of)]):
+                some = pa.RecordBatch.from_arrays([c.slice(begin, end - begin) for c in batch.columns[1:]], names=names)
+                some = some.take(pc.sort_indices(some.column(0)))
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, some.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                    out.write_batch(some)
+                parts.append(sink.getvalue().to_pybytes())
+            yield pa.RecordBatch.from_arrays([pa.array(of[begins], pa.int64()), pa.array(parts, pa.binary())], names=schema.names)
+
+    return told.select("block", *names).sortWithinPartitions("block").mapInArrow(run, schema)
+
+
 COLUMNS = struct_type(n_a=T.LongType(), n_b=T.LongType(), n_groups=T.LongType(), n_links=T.LongType(), n_best=T.LongType(), count_sum=T.LongType(), groups_sha256=T.StringType())
 
 
 def compose(found: DataFrame, id: str, id_type: T.DataType) -> DataFrame:
-    """Rows of documents from (ids, ends, codes, known): the sums over their segments and the hash of their groups in order."""
+    """Rows of documents from (ids, ends, codes, known), known being packed(): the sums over their segments and the hash of their groups in order."""
     schema = T.StructType([T.StructField(id, id_type), *COLUMNS])
-    names = ["n_a", "n_b", "n_groups", "n_best", "count_sum"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(batch.num_rows):
                 ends, codes = batch.column(1)[row].values.to_numpy(zero_copy_only=False), np.frombuffer(batch.column(2)[row].as_py(), np.int32)
-                bounds = np.concatenate([[0], ends])
-                sums, hashes = {c: np.zeros(len(ends), np.int64) for c in names}, [""] * len(ends)
+                bounds, sums, hashes = np.concatenate([[0], ends]), np.zeros((6, len(ends)), np.int64), [""] * len(ends)
                 if len(codes):
-                    known = batch.column(3)[row].values
-                    place = np.argsort(known.field("pos").to_numpy(zero_copy_only=False))
-                    bad = np.concatenate([[0], np.cumsum(~known.field("valid").to_numpy(zero_copy_only=False)[place][codes])])
-                    whole = (bad[bounds[1:]] == bad[bounds[:-1]]) & (bounds[1:] > bounds[:-1])
-                    for c in names:
-                        total = np.concatenate([[0], np.cumsum(known.field(c).to_numpy(zero_copy_only=False)[place][codes])])
-                        sums[c] = (total[bounds[1:]] - total[bounds[:-1]]) * whole
-                    groups = [g.encode() for g in known.field("groups").take(pa.array(place)).to_pylist()]
+                    known = pa.concat_tables(pa.ipc.open_stream(part.as_buffer()).read_all() for part in batch.column(3)[row].values)
+                    known = known.take(pc.sort_indices(known.column("pos"))).combine_chunks()
+                    n_a, groups, n_best, count_sum = (known.column(c).chunk(0) for c in ("n_a", "groups", "n_best", "count_sum"))
+                    bad = pc.equal(groups, "").to_numpy(zero_copy_only=False)
+                    n_a = n_a.to_numpy(zero_copy_only=False).astype(np.int64)
+                    n_groups = (pc.count_substring(groups, ";").to_numpy() + ~bad).astype(np.int64)
+                    n_links = pc.count_substring(groups, ",").to_numpy() + n_groups  # in a group, each link but the last ends one token
+                    each = [bad, n_a, n_links + n_groups - n_a, n_groups, n_links, n_best.to_numpy(zero_copy_only=False), count_sum.to_numpy(zero_copy_only=False)]
+                    total = np.array([np.diff(np.concatenate([[0], np.cumsum(x[codes], dtype=np.int64)])[bounds]) for x in each])
+                    whole = (total[0] == 0) & (bounds[1:] > bounds[:-1])
+                    sums = total[1:] * whole
+                    text = list(map(str.encode, groups.to_pylist()))
                     for k in np.flatnonzero(whole).tolist():
-                        hashes[k] = sha256(b";".join(map(groups.__getitem__, codes[bounds[k] : bounds[k + 1]].tolist()))).hexdigest()
-                # in a group, each link but the last ends one token
-                links = sums["n_a"] + sums["n_b"] - sums["n_groups"]
-                numbers = [sums["n_a"], sums["n_b"], sums["n_groups"], links, sums["n_best"], sums["count_sum"]]
-                yield pa.RecordBatch.from_arrays([batch.column(0)[row].values, *map(pa.array, numbers), pa.array(hashes, pa.string())], names=schema.names)
+                        hashes[k] = sha256(b";".join(map(text.__getitem__, codes[bounds[k] : bounds[k + 1]].tolist()))).hexdigest()
+                yield pa.RecordBatch.from_arrays([batch.column(0)[row].values, *map(pa.array, sums), pa.array(hashes, pa.string())], names=schema.names)
 
     return found.select("ids", "ends", "codes", "known").mapInArrow(run, schema)
 
@@ -223,18 +278,15 @@ def align(docs: DataFrame, path_a: str, path_b: str, id: str = "doc_id", text: s
     """
     held = stored(blocks(docs, path_a, path_b, id, text))
     entries = held.select("block", F.posexplode(F.arrays_zip("segments", "counts")).alias("pos", "s")).select("block", "pos", F.col("s.segments").alias("segment"), F.col("s.counts").alias("count"))
-    distinct = entries.groupBy("segment").agg(F.sum("count").alias("n")).withColumn("sid", F.monotonically_increasing_id())
-    aligned = stored(align_segments(distinct, path_a, path_b))
-    used = aligned.where("valid")
-    if not aligned.where(~F.col("valid")).isEmpty():
+    aligned = stored(align_segments(entries.groupBy("segment").agg(F.sum("count").alias("n")), path_a, path_b))
+    used = aligned.where("groups <> ''")
+    if not aligned.where("groups = ''").isEmpty():
         used = used.join(in_spoiled_texts(held, entries, aligned), "segment", "left").withColumn("n", F.col("n") - F.coalesce("gone", F.lit(0)))
-    links = used.select("sid", "n", F.explode("links").alias("link"))
-    counts = links.groupBy("link").agg(F.sum("n").alias("count"))
+    counts = used.select("n", F.explode("links").alias("link")).groupBy("link").agg(F.sum("n").alias("count"))
     of_b = F.col("link").bitwiseAND(0xFFFFFFFF)
-    best = counts.groupBy(of_b.alias("b")).agg(F.max("count").alias("most"))
-    ranked = cut(counts.join(best, of_b == F.col("b")).select("link", "count", (F.col("count") == F.col("most")).cast("long").alias("is_best")))
-    scored = links.select("sid", "link").join(broadcast_small(ranked), "link").groupBy("sid").agg(F.sum("is_best").alias("n_best"), F.sum("count").alias("count_sum"))
-    told = aligned.select("segment", "sid", "valid", "n_a", "n_b", "n_groups", "groups").join(scored, "sid", "left")
-    entry = F.struct("pos", "valid", "n_a", "n_b", "n_groups", "groups", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("n_best", "count_sum")])
-    known = entries.select("block", "pos", "segment").join(told, "segment").groupBy("block").agg(F.collect_list(entry).alias("known"))
+    ranked = cut(counts.withColumn("is_best", (F.col("count") == F.max("count").over(Window.partitionBy(of_b))).cast("int")))  # an id of B has at most as many rows as A has ids
+    scored = used.select("segment", F.explode("links").alias("link")).join(broadcast_small(ranked), "link").groupBy("segment").agg(F.sum("is_best").cast("int").alias("n_best"), F.sum("count").alias("count_sum"))
+    told = aligned.select("segment", "n_a", "groups").join(scored, "segment", "left")
+    found = entries.select("block", "pos", "segment").join(told, "segment").select("block", "pos", "n_a", "groups", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("n_best", "count_sum")])
+    known = packed(found).groupBy("block").agg(F.collect_list("part").alias("known"))
     return compose(held.select("block", "ids", "ends", "codes").join(known, "block", "left"), id, docs.schema[id].dataType)

@@ -99,3 +99,12 @@ def test_query(spark, both):
     assert sorted((tuple(r) for r in token_alignment.align(df, *PATHS).collect()), key=repr) == plain(both, docs)
     got = queries()["op12_token_alignment"](spark, SF)
     assert got.count() == len(rows) and dict(got.dtypes)["count_sum"] == "bigint"
+
+
+def test_ranks_are_the_tokenizer(both):
+    """The encoder by ranks gives the ids of the tokenizer's own library."""
+    draw = random.Random(2)
+    signs = [chr(c) for c in [*range(32, 127), 9, 10, 13, 0x1C, 0x85, 0xA0, 0xE9, 0x301, 0x3000, 0x65E5, 0x1F642, 0x0660, 0x2160, 0x200B, 0xFEFF]] + ["'s", "'ll", " the", "ing", "12"]
+    texts = ODD + ["".join(draw.choices(signs, k=draw.randrange(60))) for _ in range(3000)]
+    assert both.ranked is not None
+    assert both.encoded_a(texts) == [both.a.encode(" " + t, add_special_tokens=False).ids for t in texts]
