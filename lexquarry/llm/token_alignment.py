@@ -142,6 +142,15 @@ def pair(path_a: str, path_b: str) -> Pair:
     return _loaded[path_a, path_b]
 
 
+def shrunk(codes: np.ndarray) -> bytes:
+    """32-bit numbers, the bytes of one place together, compressed."""
+    return pa.compress(codes.astype("<i4").view(np.uint8).reshape(-1, 4).T.tobytes(), "zstd", asbytes=True)
+
+
+def grown(data: bytes, count: int) -> np.ndarray:
+    return np.frombuffer(pa.decompress(data, 4 * count, "zstd", asbytes=True), np.uint8).reshape(4, -1).T.copy().view("<i4").ravel()
+
+
 def blocks(docs: DataFrame, path_a: str, path_b: str, id: str, text: str) -> DataFrame:
     """(block, ids, ends, codes, segments, counts): texts in blocks, as numbers of the block's distinct segments.
 
@@ -157,7 +166,7 @@ def blocks(docs: DataFrame, path_a: str, path_b: str, id: str, text: str) -> Dat
 
         def block() -> pa.RecordBatch:
             flat = np.concatenate(codes)
-            row = [part << 32 | made, ids, ends[1:], flat.tobytes(), list(known), np.bincount(flat, minlength=len(known)).tolist()]
+            row = [part << 32 | made, ids, ends[1:], shrunk(flat), list(known), np.bincount(flat, minlength=len(known)).tolist()]
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, types)], names=schema.names)
 
         for batch in batches:
@@ -200,7 +209,7 @@ def in_spoiled_texts(held: DataFrame, entries: DataFrame, aligned: DataFrame) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for ends, raw, segments, bad in zip(*(batch.column(k).to_pylist() for k in range(4))):
-                codes, spoiled = np.frombuffer(raw, np.int32), np.zeros(len(segments), bool)
+                codes, spoiled = grown(raw, ends[-1]), np.zeros(len(segments), bool)
                 spoiled[bad] = True
                 begins = [0, *ends[:-1]]
                 gone = np.zeros(len(segments), np.int64)
@@ -246,7 +255,8 @@ def compose(found: DataFrame, id: str, id_type: T.DataType) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(batch.num_rows):
-                ends, codes = batch.column(1)[row].values.to_numpy(zero_copy_only=False), np.frombuffer(batch.column(2)[row].as_py(), np.int32)
+                ends = batch.column(1)[row].values.to_numpy(zero_copy_only=False)
+                codes = grown(batch.column(2)[row].as_py(), int(ends[-1]))
                 bounds, sums, hashes = np.concatenate([[0], ends]), np.zeros((6, len(ends)), np.int64), [""] * len(ends)
                 if len(codes):
                     known = pa.concat_tables(pa.ipc.open_stream(part.as_buffer()).read_all() for part in batch.column(3)[row].values)
