@@ -1,9 +1,12 @@
-"""Text algebra as Column expressions; everything here stays in the JVM."""
+"""Text algebra as Column expressions; all but Unicode normalisation of non-ASCII texts stays in the JVM."""
 
 from __future__ import annotations
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Words that carry no meaning of their own for ranking.
 STOPWORDS = ["a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "in", "into", "is", "it", "its", "of", "on", "or", "that", "the", "this", "to", "with"]
@@ -64,8 +67,18 @@ def ngrams(parts: Column, n: int = 3) -> Column:
     return F.when(F.size(parts) >= n, F.array_distinct(runs)).otherwise(F.array().cast("array<string>"))
 
 
+@F.arrow_udf(T.StringType())
+def _nfkc(texts: pa.Array) -> pa.Array:
+    return pc.utf8_normalize(texts, form="NFKC")
+
+
+def nfkc(text: Column) -> Column:
+    """The text with compatible signs (ligatures, full-width digits) as plain ones. Only texts beyond ASCII leave the JVM."""
+    return F.coalesce(_nfkc(F.when(text.rlike(r"[^\x00-\x7f]"), text)), text)
+
+
 def normal_words(text: Column) -> Column:
-    """Lower-cased words of a text whose quotes and dashes are made plain. The text is taken as normalised (NFKC) already."""
+    """Lower-cased words of a text (by nfkc(), where it may hold signs beyond ASCII) whose quotes and dashes are made plain."""
     return words(F.lower(F.translate(text, "“”„‘’–—‑ ", "\"\"\"''--- ")))
 
 
@@ -75,6 +88,18 @@ def citations(text: Column) -> Column:
     return F.array_distinct(F.flatten(F.transform(groups, lambda g: F.split(g, r"\s*[,;]\s*"))))
 
 
+#: Fixed value: text in a pair of straight or curly marks, at most 600 characters on one line, and the 80 characters after it.
+QUOTED = r'"([^"\n]{1,600})"(?=([\s\S]{0,80}))|“([^”\n]{1,600})”(?=([\s\S]{0,80}))'
+
+
+def quoted_spans(text: Column) -> Column:
+    """Quotes in order as structs (quote, after): their text without blanks at its ends, and the 80 characters that follow. Marks
+    pair from the left, so that a short phrase does not open the quote after it."""
+    found = [F.regexp_extract_all(text, F.lit(QUOTED), i) for i in (1, 2, 3, 4)]
+    pairs = F.arrays_zip(*[f.alias(n) for f, n in zip(found, ("straight", "after", "curly", "then"))])
+    return F.transform(pairs, lambda p: F.struct(strip(F.concat(p["straight"], p["curly"])).alias("quote"), F.concat(p["after"], p["then"]).alias("after")))
+
+
 def title(text: Column, most: int = 60) -> Column:
     line = squeeze(text)
     return F.when(F.length(line) <= most, line).otherwise(F.concat(F.regexp_replace(F.substring(line, 1, most - 3), f"{BLANK}+$", ""), F.lit("...")))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexquarry.functions import text as X
@@ -10,68 +10,75 @@ from lexquarry.functions import text as X
 VERIFIED, PARTIAL = 0.9, 0.6
 
 
-def prepared(sources: DataFrame, source: str = "source_id", text: str = "text") -> DataFrame:
-    """(source_id, joined): a source's normal words, joined and padded with spaces."""
-    return sources.select(F.col(source).alias("source_id"), F.concat(F.lit(" "), F.array_join(X.normal_words(F.col(text)), " "), F.lit(" ")).alias("joined"))
+def _runs(words: Column, sizes: tuple[int, ...]) -> Column:
+    """Structs (i, gram): every run of so many neighbouring words with the place of its first."""
 
+    def of(n: int) -> Column:
+        run = lambda i: F.struct(i.alias("i"), F.concat_ws(" ", *[F.get(words, i + k) for k in range(n)]).alias("gram"))
+        return F.when(F.size(words) >= n, F.transform(F.sequence(F.lit(0), F.size(words) - n), run)).otherwise(F.array().cast("array<struct<i:int,gram:string>>"))
+
+    return F.flatten(F.array(*map(of, sizes)))
 
-def exact(quotes: DataFrame, sources: DataFrame) -> DataFrame:
-    """(quote_id, source_id): the first source that holds a quote's words in a row.
 
-    A quote of three words or more shares its first three with any source that holds it, so candidates come from an
-    equality join on them, and only those are searched; a shorter quote is looked up as its own key.
+def found(quotes: DataFrame, sources: DataFrame, scope: list[str] = []) -> DataFrame:
+    """(*scope, quote_id, source_id, exact, coverage): the sources that share a run of three words with a quote (or hold one of
+    fewer words), whether they hold its words in a row, and which share of its distinct runs they hold.
+
+    Quotes (quote_id, quote) meet sources (source_id, text) of the same scope only. Sources are read once: runs that no quote
+    has go before anything is shuffled, the others meet quotes by equality, and a quote is held in a row where all its runs are
+    at places that differ from theirs by one number. Work grows with the shared runs, not with the pairs.
     """
-    asked = quotes.select("quote_id", X.normal_words(F.col("quote")).alias("w")).where(F.size("w") > 0)
-    asked = asked.select("quote_id", F.concat(F.lit(" "), F.array_join("w", " "), F.lit(" ")).alias("needle"), F.array_join(F.slice("w", 1, F.least(F.size("w"), F.lit(3))), " ").alias("gram"))
-    grams = _grams(sources, wanted=asked.select("gram").distinct())
-    pairs = asked.join(grams, "gram").join(prepared(sources), "source_id").where(F.col("joined").contains(F.col("needle")))
-    return pairs.groupBy("quote_id").agg(F.min("source_id").alias("source_id"))
+    w = F.col("w")
+    asked = quotes.select(*scope, "quote_id", X.normal_words(X.nfkc(F.col("quote"))).alias("w")).where(F.size(w) > 0)
+    short = F.array(F.struct(F.lit(0).alias("i"), F.array_join(w, " ").alias("gram")))
+    asked = asked.select(*scope, "quote_id", F.when(F.size(w) >= 3, _runs(w, (3,))).otherwise(short).alias("runs"))
+    distinct = F.size(F.array_distinct(F.transform("runs", lambda r: r["gram"])))
+    asked = asked.select(*scope, "quote_id", F.size("runs").alias("places"), distinct.alias("total"), F.inline("runs").alias("i", "gram"))
+    held = sources.select(*scope, "source_id", X.normal_words(X.nfkc(F.col("text"))).alias("w")).select(*scope, "source_id", F.inline(_runs(w, (1, 2, 3))).alias("at", "gram"))
+    held = held.join(asked.select(*scope, "gram").distinct(), [*scope, "gram"], "left_semi")
+    key = [*scope, "quote_id", "source_id", "places", "total"]
+    shifted = asked.join(held, [*scope, "gram"]).groupBy(*key, (F.col("at") - F.col("i")).alias("shift")).agg(F.count("*").alias("n"), F.collect_set("gram").alias("grams"))
+    met = shifted.groupBy(*key).agg(F.max("n").alias("n"), F.size(F.array_distinct(F.flatten(F.collect_list("grams")))).alias("shared"))
+    return met.select(*scope, "quote_id", "source_id", (F.col("n") == F.col("places")).alias("exact"), (F.col("shared") / F.col("total")).alias("coverage"))
 
 
-def _grams(sources: DataFrame, wanted: DataFrame, sizes: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
-    """(source_id, gram) for the wanted runs of words; a source's other runs are dropped before anything is shuffled."""
-    parts = sources.select("source_id", X.normal_words(F.col("text")).alias("w"))
-    runs = F.flatten(F.array(*[X.ngrams(F.col("w"), n) for n in sizes]))
-    return parts.select("source_id", F.explode(runs).alias("gram")).join(wanted, "gram", "left_semi")
+def exact(quotes: DataFrame, sources: DataFrame) -> DataFrame:
+    """(quote_id, source_id): the first source that holds a quote's words in a row."""
+    return found(quotes, sources).where("exact").groupBy("quote_id").agg(F.min("source_id").alias("source_id"))
 
 
 def coverage(quotes: DataFrame, sources: DataFrame) -> DataFrame:
-    """(quote_id, source_id, coverage): for each quote the source that holds the largest share of its distinct three-word
-    runs, the first of equals. Quotes that share none are missing. Work grows with the shared runs, not with the pairs."""
-    asked = quotes.select("quote_id", X.ngrams(X.normal_words(F.col("quote"))).alias("g"))
-    asked = asked.select("quote_id", F.size("g").alias("total"), F.explode("g").alias("gram"))
-    grams = _grams(sources, asked.select("gram").distinct(), (3,))
-    shared = asked.join(grams, "gram").groupBy("quote_id", "source_id", "total").agg(F.count("*").alias("n"))
-    share = F.col("n") / F.col("total")
-    return shared.groupBy("quote_id").agg(F.min(F.struct((-share).alias("c"), "source_id")).alias("m")).select("quote_id", "m.source_id", (-F.col("m.c")).alias("coverage"))
+    """(quote_id, source_id, coverage): for each quote of three words or more the source that holds the largest share of its
+    distinct three-word runs, the first of equals. Quotes that share none are missing."""
+    long = quotes.where(F.size(X.normal_words(X.nfkc(F.col("quote")))) >= 3)
+    best = F.min(F.struct((-F.col("coverage")).alias("c"), "source_id")).alias("m")
+    return found(long, sources).groupBy("quote_id").agg(best).select("quote_id", "m.source_id", (-F.col("m.c")).alias("coverage"))
 
 
 def status(share: Column) -> Column:
     return F.when(share >= VERIFIED, "verified").when(share >= PARTIAL, "partial").otherwise("unverified")
 
 
-def check(quotes: DataFrame, sources: DataFrame) -> DataFrame:
-    """(quote_id, status, coverage, source_id) for each row of quotes (quote_id, quote) against sources (source_id, text)."""
-    found = exact(quotes, sources).withColumnRenamed("source_id", "exact_id")
-    rest = quotes.join(found, "quote_id", "left_anti")
-    shares = coverage(rest, sources)
-    rows = quotes.join(found, "quote_id", "left").join(shares, "quote_id", "left")
-    share = F.when(F.col("exact_id").isNotNull(), 1.0).otherwise(F.coalesce("coverage", F.lit(0.0)))
+def check(quotes: DataFrame, sources: DataFrame, scope: list[str] = []) -> DataFrame:
+    """(*scope, quote_id, status, coverage, source_id) for each row of quotes (quote_id, quote) against the sources (source_id,
+    text) of its scope. The source is the first that holds the quote in a row, else the first of those with the best share."""
+    best = F.min(F.struct((~F.col("exact")).alias("apart"), (-F.col("coverage")).alias("c"), "source_id")).alias("m")
+    met = found(quotes, sources, scope).groupBy(*scope, "quote_id").agg(best)
+    share = F.when(~F.col("m.apart"), 1.0).otherwise(F.coalesce(-F.col("m.c"), F.lit(0.0)))
     empty = F.size(X.normal_words(F.col("quote"))) == 0
-    out = rows.withColumn("share", share).withColumn("status", F.when(empty, "none").otherwise(status(F.col("share"))))
-    named = F.coalesce("exact_id", F.when(F.col("status").isin("verified", "partial"), F.col("source_id")))
-    return out.select("quote_id", "status", F.when(empty, 0.0).otherwise(F.bround("share", 2)).alias("coverage"), named.alias("source_id"))
+    out = quotes.join(met, [*scope, "quote_id"], "left").withColumn("share", share).withColumn("status", F.when(empty, "none").otherwise(status(F.col("share"))))
+    named = F.when(F.col("status").isin("verified", "partial"), F.col("m.source_id"))
+    return out.select(*scope, "quote_id", "status", F.when(empty, 0.0).otherwise(F.bround("share", 2)).alias("coverage"), named.alias("source_id"))
 
 
-def check_elided(quotes: DataFrame, sources: DataFrame) -> DataFrame:
+def check_elided(quotes: DataFrame, sources: DataFrame, scope: list[str] = []) -> DataFrame:
     """As check(), but a quote with an ellipsis between runs of three words or more counts as the worst of these."""
     parts = F.filter(F.split("quote", r"\.{3,}|\[\.\.\.\]|…"), lambda p: F.size(X.normal_words(p)) >= 3)
-    pieces = quotes.select("quote_id", F.posexplode(F.when(F.size(parts) >= 2, parts).otherwise(F.array("quote"))).alias("no", "part"))
-    keyed = pieces.select(F.struct("quote_id", "no").alias("k"), "part").select(F.to_json("k").alias("quote_id"), F.col("k.quote_id").alias("whole"), F.col("k.no").alias("no"), F.col("part").alias("quote"))
-    checked = keyed.select("quote_id", "whole", "no").join(check(keyed.select("quote_id", "quote"), sources), "quote_id")
+    pieces = quotes.select(*scope, "quote_id", F.posexplode(F.when(F.size(parts) >= 2, parts).otherwise(F.array("quote"))).alias("no", "quote"))
+    checked = check(pieces.select(*scope, F.struct("quote_id", "no").alias("quote_id"), "quote"), sources, scope)
     rank = F.when(F.col("status") == "unverified", 0).when(F.col("status") == "partial", 1).when(F.col("status") == "verified", 2).otherwise(3)
-    worst = F.min(F.struct(rank.alias("r"), F.col("coverage").alias("coverage"), F.col("no").alias("no"), F.col("status").alias("status"), F.col("source_id").alias("source_id")))
-    return checked.groupBy(F.col("whole").alias("quote_id")).agg(worst.alias("w")).select("quote_id", "w.status", "w.coverage", "w.source_id")
+    worst = F.min(F.struct(rank.alias("r"), F.col("coverage").alias("coverage"), F.col("quote_id.no").alias("no"), F.col("status").alias("status"), F.col("source_id").alias("source_id")))
+    return checked.groupBy(*scope, F.col("quote_id.quote_id").alias("quote_id")).agg(worst.alias("w")).select(*scope, "quote_id", "w.status", "w.coverage", "w.source_id")
 
 
 def verdict(cited: Column, invalid: Column, statuses: Column) -> Column:
@@ -82,3 +89,42 @@ def verdict(cited: Column, invalid: Column, statuses: Column) -> Column:
         .when(F.array_contains(statuses, "partial"), "partially_grounded")
         .otherwise("grounded")
     )
+
+
+def answer_quotes(answers: DataFrame, sources: DataFrame, most: int = 12, least_words: int = 4) -> DataFrame:
+    """(answer_id, n, quote, status, coverage, source_id): the quotes of each answer that must hold up, in order.
+
+    A quote counts if it has enough words and a source of the answer is cited in the 80 characters after it, or if it is found in
+    one. The scan of an answer ends with its `most`-th quote that counts; what follows is not judged. sources (answer_id,
+    source_id, text) number each answer's sources 1, 2, ..., which answers (answer_id, answer) cite as S1, S2, ...
+    """
+    spans = answers.select("answer_id", F.posexplode(X.quoted_spans(F.col("answer"))).alias("at", "s")).select("answer_id", "at", "s.quote", X.citations(F.col("s.after")).alias("near"))
+    spans = spans.where(F.size(F.filter(F.split("quote", f"{X.BLANK}+"), lambda w: w != "")) >= least_words)
+    checked = check_elided(spans.select("answer_id", F.col("at").alias("quote_id"), "quote"), sources, ["answer_id"]).withColumnRenamed("quote_id", "at")
+    judged = spans.join(_known(sources), "answer_id", "left").join(checked, ["answer_id", "at"])
+    counts = judged.where(F.coalesce(F.arrays_overlap("near", "known"), F.lit(False)) | (F.col("status") == "verified"))
+    n = F.row_number().over(Window.partitionBy("answer_id").orderBy("at"))
+    return counts.withColumn("n", n).where(F.col("n") <= most).select("answer_id", "n", "quote", "status", "coverage", "source_id")
+
+
+def _known(sources: DataFrame) -> DataFrame:
+    return sources.groupBy("answer_id").agg(F.collect_set(F.concat(F.lit("S"), F.col("source_id").cast("string"))).alias("known"))
+
+
+def report(answers: DataFrame, sources: DataFrame, most: int = 12) -> DataFrame:
+    """A row for each answer: cited and invalid source ids, how many quotes are verified, partial and unverified, their total, the
+    badge (verified/total), its tone (the worst status), the quotes not found, and the verdict."""
+    count = lambda s: F.coalesce(F.count_if(F.col("status") == s), F.lit(0)).alias(s)
+    quotes = answer_quotes(answers, sources, most).groupBy("answer_id").agg(
+        F.collect_list("status").alias("statuses"), *map(count, ("verified", "partial", "unverified")),
+        F.transform(F.array_sort(F.collect_list(F.when(F.col("status") == "unverified", F.struct("n", "quote")))), lambda q: q["quote"]).alias("unmatched"),
+    )
+    none = lambda c, kind: F.coalesce(c, F.array().cast(f"array<{kind}>"))
+    rows = answers.select("answer_id", X.citations(F.coalesce("answer", F.lit(""))).alias("cited")).join(_known(sources), "answer_id", "left").join(quotes, "answer_id", "left")
+    rows = rows.withColumn("invalid", F.array_except("cited", none(F.col("known"), "string"))).withColumn("statuses", none(F.col("statuses"), "string")).withColumn("total", F.size("statuses"))
+    tone = F.when(F.col("unverified") > 0, "unverified").when(F.col("partial") > 0, "partial").when(F.col("total") > 0, "verified").otherwise("none")
+    badge = F.concat(F.coalesce("verified", F.lit(0)).cast("string"), F.lit("/"), F.col("total").cast("string"))
+    return rows.select(
+        "answer_id", "cited", "invalid", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("verified", "partial", "unverified")], "total", badge.alias("badge"), tone.alias("tone"),
+        none(F.col("unmatched"), "string").alias("unmatched"), verdict(F.col("cited"), F.col("invalid"), F.col("statuses")).alias("verdict"),
+    )

@@ -157,3 +157,65 @@ def grounding_verdict(spark, sf_dir):
     cited = X.citations(F.concat(F.lit("By [S"), (F.col("quote_id") % 3 + 1).cast("string"), F.lit(", S2] and [S"), (F.col("quote_id") % 7).cast("string"), F.lit("]; see [S2].")))
     known = F.array(*[F.lit(f"S{i}") for i in range(1, 6)])
     return G.check(quotes, sources).select("quote_id", G.verdict(cited, F.array_except(cited, known), F.array("status")).alias("verdict"))
+
+
+#: Answers to every assistant turn, each with three documents as its sources S1 to S3: quotes taken from them word by word, one
+#: with its last words changed, a short one, one that is in none, and citations near, far and of no source.
+ANSWER_SOURCES_SQL = """
+ n AS (SELECT count(*) AS docs FROM documents), turns AS (SELECT conv_id, turn, conv_id * 1000 + turn AS answer_id, text FROM conversations WHERE role = 'assistant'),
+ src AS (SELECT answer_id, no AS source_id, d.text FROM turns, n, (SELECT unnest([1, 2, 3]) AS no) JOIN documents d ON d.doc_id = (conv_id * 31 + turn * 7 + no * 13) % docs),
+ w AS (SELECT answer_id, source_id, string_split(regexp_replace(text, '["“”\\s]+', ' ', 'g'), ' ') AS w FROM src),
+ ans AS (SELECT answer_id, text || ' It says "' || coalesce(array_to_string(w1.w[3:12], ' '), '') || '" [S1]. And “' || coalesce(array_to_string(w2.w[2:14], ' '), '') || ' never ever” (see [S2, S7]); "'
+   || coalesce(array_to_string(w1.w[2:4], ' '), '') || '" "' || coalesce(array_to_string(w3.w[5:10], ' '), '') || '" or "words that nobody has written anywhere" ' || CASE WHEN answer_id % 3 = 0 THEN '[S1]' ELSE 'as they say' END AS answer
+  FROM turns LEFT JOIN w w1 USING (answer_id) LEFT JOIN w w2 USING (answer_id) LEFT JOIN w w3 USING (answer_id) WHERE coalesce(w1.source_id, 1) = 1 AND coalesce(w2.source_id, 2) = 2 AND coalesce(w3.source_id, 3) = 3)"""
+
+
+def _answers(spark, sf_dir):
+    docs, said = table(spark, sf_dir, "documents"), table(spark, sf_dir, "conversations").where(F.col("role") == "assistant")
+    turns = said.select((F.col("conv_id") * 1000 + F.col("turn")).alias("answer_id"), "conv_id", "turn", "text")
+    wanted = turns.select("answer_id", "conv_id", "turn", F.explode(F.array(*map(F.lit, (1, 2, 3)))).alias("source_id")).crossJoin(docs.agg(F.count("*").alias("docs")))  # one row
+    wanted = wanted.select("answer_id", "source_id", ((F.col("conv_id") * 31 + F.col("turn") * 7 + F.col("source_id") * 13) % F.col("docs")).alias("doc_id"))
+    sources = wanted.join(docs.select("doc_id", "text"), "doc_id").select("answer_id", "source_id", "text")
+    words = F.split(F.regexp_replace("text", r'["“”\s]+', " "), " ")
+    parts = sources.groupBy("answer_id").agg(*[F.max(F.when(F.col("source_id") == no, F.array_join(F.slice(words, a, n), " "))).alias(name) for no, a, n, name in ((1, 3, 10, "q1"), (2, 2, 13, "q2"), (1, 2, 3, "q3"), (3, 5, 6, "q4"))])
+    q = [F.coalesce(c, F.lit("")) for c in ("q1", "q2", "q3", "q4")]
+    end = F.when(F.col("answer_id") % 3 == 0, "[S1]").otherwise("as they say")
+    answer = F.concat("text", F.lit(' It says "'), q[0], F.lit('" [S1]. And “'), q[1], F.lit(' never ever” (see [S2, S7]); "'), q[2], F.lit('" "'), q[3], F.lit('" or "words that nobody has written anywhere" '), end)
+    return turns.join(parts, "answer_id", "left").select("answer_id", answer.alias("answer")), sources
+
+
+#: The scan of an answer for quotes: each is the leftmost after the one before, so its place is the first of its text there.
+SPANS_SQL = """
+ found AS (SELECT answer_id, answer, regexp_extract_all(answer, '"[^"\n]{1,600}"|“[^”\n]{1,600}”') AS s FROM ans),
+ scan(answer_id, k, quote, rest) AS (SELECT answer_id, 0, '', answer FROM found
+  UNION ALL SELECT f.answer_id, k + 1, f.s[k + 1], substr(rest, instr(rest, f.s[k + 1]) + length(f.s[k + 1])) FROM scan JOIN found f USING (answer_id) WHERE k < len(f.s)),
+ sp AS (SELECT answer_id, k, trim(substr(quote, 2, length(quote) - 2)) AS quote, left(rest, 80) AS after FROM scan WHERE k > 0),
+ sq AS (SELECT *, list_transform(regexp_extract_all(after, '\\[\\s*S\\d+(?:\\s*[,;]\\s*S\\d+)*\\s*\\]'), lambda c: regexp_extract_all(c, 'S\\d+')) AS near FROM sp WHERE len(list_filter(string_split(quote, ' '), lambda x: x <> '')) >= 4),
+ qw AS (SELECT *, regexp_extract_all(lower(quote), '[\\p{L}\\p{N}\\p{M}_]+') AS w FROM sq), sw AS (SELECT answer_id, source_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}\\p{M}_]+') AS w FROM src),
+ qg AS (SELECT *, list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS g FROM qw),
+ sg AS (SELECT *, list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS g FROM sw),
+ ck AS (SELECT qg.answer_id, k, any_value(quote) AS quote, any_value(near) AS near, max(CASE WHEN contains(' ' || array_to_string(sg.w, ' ') || ' ', ' ' || array_to_string(qg.w, ' ') || ' ') THEN 1.0::DOUBLE WHEN len(qg.g) > 0 THEN len(list_intersect(qg.g, sg.g))::DOUBLE / len(qg.g) ELSE 0 END) AS share
+   FROM qg LEFT JOIN sg USING (answer_id) GROUP BY qg.answer_id, k),
+ kn AS (SELECT answer_id, list(DISTINCT 'S' || source_id) AS known FROM src GROUP BY answer_id),
+ st AS (SELECT *, CASE WHEN coalesce(share, 0) >= 0.9 THEN 'verified' WHEN share >= 0.6 THEN 'partial' ELSE 'unverified' END AS status FROM ck LEFT JOIN kn USING (answer_id)),
+ kp AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY answer_id ORDER BY k) AS n FROM st WHERE status = 'verified' OR coalesce(len(list_intersect(flatten(near), known)), 0) > 0) WHERE n <= 12),
+ ct AS (SELECT answer_id, list_filter(c, lambda x, i: list_position(c, x) = i) AS cited FROM (SELECT answer_id, flatten(list_transform(regexp_extract_all(answer, '\\[\\s*S\\d+(?:\\s*[,;]\\s*S\\d+)*\\s*\\]'), lambda c: regexp_extract_all(c, 'S\\d+'))) AS c FROM ans)),
+ ag AS (SELECT answer_id, count(*) FILTER (status = 'verified') AS verified, count(*) FILTER (status = 'partial') AS partial, count(*) FILTER (status = 'unverified') AS unverified, string_agg(quote, '|' ORDER BY n) FILTER (status = 'unverified') AS unmatched FROM kp GROUP BY answer_id),
+ rp AS (SELECT answer_id, cited, list_filter(cited, lambda c: NOT list_contains(coalesce(known, []), c)) AS invalid, coalesce(verified, 0) AS verified, coalesce(partial, 0) AS partial, coalesce(unverified, 0) AS unverified, coalesce(unmatched, '') AS unmatched
+   FROM ct LEFT JOIN kn USING (answer_id) LEFT JOIN ag USING (answer_id))"""
+
+
+@query(f"""WITH RECURSIVE {ANSWER_SOURCES_SQL}, {SPANS_SQL}
+ SELECT answer_id, array_to_string(cited, ',') AS cited, array_to_string(invalid, ',') AS invalid, verified, partial, unverified, verified || '/' || (verified + partial + unverified) AS badge,
+  CASE WHEN unverified > 0 THEN 'unverified' WHEN partial > 0 THEN 'partial' WHEN verified > 0 THEN 'verified' ELSE 'none' END AS tone, unmatched,
+  CASE WHEN len(cited) = 0 AND verified + partial + unverified = 0 THEN 'general_knowledge' WHEN len(invalid) > 0 OR unverified > 0 THEN 'unverified' WHEN partial > 0 THEN 'partially_grounded' ELSE 'grounded' END AS verdict FROM rp""")
+def answer_reports(spark, sf_dir):
+    """Grounding reports of answers to every assistant turn, each against its own three documents."""
+    rows = G.report(*_answers(spark, sf_dir))
+    return rows.select("answer_id", F.array_join("cited", ",").alias("cited"), F.array_join("invalid", ",").alias("invalid"), "verified", "partial", "unverified", "badge", "tone", F.array_join("unmatched", "|").alias("unmatched"), "verdict")
+
+
+@query(f"WITH RECURSIVE {ANSWER_SOURCES_SQL}, {SPANS_SQL} SELECT answer_id, n, quote, status, round_even(coalesce(share, 0), 2) AS coverage FROM kp")
+def answer_quotes(spark, sf_dir):
+    """The quotes of those answers that must hold up, in order, with what they were found to be."""
+    return G.answer_quotes(*_answers(spark, sf_dir)).select("answer_id", F.col("n").cast("long").alias("n"), "quote", "status", "coverage")
