@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lexquarry.functions import text as X
 
@@ -70,11 +76,79 @@ def hash_embedding(text: Column, width: int = 64) -> Column:
     return normalised(counts)
 
 
-def dense(items: DataFrame, queries: DataFrame, item: str = "item", vector: str = "vector") -> DataFrame:
-    """(query_id, item, score): dot products of unit vectors. The query set is small and stated, so it is broadcast."""
-    asked = queries.select("query_id", normalised(F.col("query_vector")).alias("_q"))
-    known = items.select(F.col(item).alias("item"), normalised(F.col(vector)).alias("_v"))
-    return known.crossJoin(F.broadcast(asked)).select("query_id", "item", dot(F.col("_q"), F.col("_v")).alias("score"))
+def embedding_text(name: Column, section: Column, text: Column) -> Column:
+    """What of a chunk is indexed: its document's name and section, then the text."""
+    return F.concat(name, F.when(F.coalesce(section, F.lit("")) != "", F.concat(F.lit(" / "), section)).otherwise(""), F.lit("\n"), text)
+
+
+def _blocks(rows: DataFrame, id: str, vector: str, width: int, size: int) -> DataFrame:
+    """(no, ids, data): up to `size` rows as one, their unit vectors as a matrix; a row without a vector of that width is zero."""
+    id_type = rows.schema[id].dataType
+    schema = T.StructType([T.StructField("no", T.LongType()), T.StructField("ids", T.ArrayType(id_type)), T.StructField("data", T.BinaryType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made = 0
+        for batch in batches:
+            for at in range(0, batch.num_rows, size):
+                part, ids, vectors = (c.slice(at, size) for c in batch.columns)
+                fits = pc.fill_null(pc.equal(pc.list_value_length(vectors), width), False).to_numpy(zero_copy_only=False)
+                matrix = np.zeros((len(ids), width))
+                matrix[fits] = pc.fill_null(vectors.filter(pa.array(fits)).flatten(), 0.0).to_numpy(zero_copy_only=False).reshape(-1, width)
+                norms = np.sqrt((matrix * matrix).sum(axis=1, keepdims=True))
+                matrix /= np.where(norms == 0, 1, norms)
+                own = pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids)
+                yield pa.RecordBatch.from_arrays([pa.array([part[0].as_py() << 32 | made], pa.int64()), own, pa.array([matrix.tobytes()], pa.binary())], names=schema.names)
+                made += 1
+
+    return rows.select(F.spark_partition_id().cast("long"), F.col(id), F.col(vector).cast("array<double>")).mapInArrow(run, schema)
+
+
+def _best_of_blocks(width: int, most: int, digits: int):
+    """From rows (ids, data, asked, questions): the best items of each question in each pair of blocks, ties by item."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                ids, asked = batch.column(0)[row].values, batch.column(2)[row].values
+                fields = pa.RecordBatch.from_struct_array(ids) if pa.types.is_struct(ids.type) else pa.RecordBatch.from_arrays([ids], names=["id"])
+                place = pc.sort_indices(fields, sort_keys=[(name, "ascending") for name in fields.schema.names])
+                items, questions = (np.frombuffer(batch.column(k)[row].as_py()).reshape(-1, width) for k in (1, 3))
+                scores = questions @ items[place.to_numpy()].T
+                rounded = scores.round(digits)
+                keep = min(most, len(ids))
+                least = -np.partition(-rounded, keep - 1, axis=1)[:, keep - 1 : keep]
+                above, equal = rounded > least, rounded == least
+                chosen = above | (equal & (np.cumsum(equal, axis=1) <= keep - above.sum(axis=1, keepdims=True)))
+                q, i = np.nonzero(chosen)
+                yield pa.RecordBatch.from_arrays([asked.take(pa.array(q)), ids.take(place.take(pa.array(i))), pa.array(scores[q, i])], names=["query_id", "item", "score"])
+
+    return run
+
+
+def dense(items: DataFrame, queries: DataFrame, most: int = 40, item: str = "item", vector: str = "vector", block: int = 4096, spread: int = 8, digits: int = 9) -> DataFrame:
+    """(query_id, item, score): dot products of unit vectors, for each query with a vector its best items of every block.
+
+    Items and queries (query_id, query_vector) of any number are packed into blocks of rows, each block of queries is given to
+    `spread` shares of the items' blocks, and the blocks of a share meet by equality as products of two matrices. Of each
+    product only the best `most` rows of a query go on (ties by item, scores rounded to `digits`), so a task holds two blocks
+    and their product, and what is merged is `most` rows a query and block. Items without a vector, or of another width than
+    most of them have, count as zero; without any vector there are no rows.
+    """
+    widths = items.where(F.size(vector) > 0).groupBy(F.size(vector).alias("w")).count().orderBy(F.desc("count"), "w").limit(1).collect()
+    schema = T.StructType([queries.schema["query_id"], T.StructField("item", items.schema[item].dataType), T.StructField("score", T.DoubleType())])
+    if not widths:
+        return items.sparkSession.createDataFrame([], schema)
+    width = widths[0]["w"]
+    asked = _blocks(queries.where(F.size("query_vector") == width), "query_id", "query_vector", width, block // 4)
+    asked = asked.select(F.col("ids").alias("asked"), F.col("data").alias("questions"), F.explode(F.sequence(F.lit(0), F.lit(spread - 1))).alias("share"))
+    held = _blocks(items, item, vector, width, block).select("ids", "data", F.pmod(F.xxhash64("no"), F.lit(spread)).cast("int").alias("share"))
+    pairs = held.join(asked, "share").select("ids", "data", "asked", "questions")
+    return pairs.mapInArrow(_best_of_blocks(width, most, digits), schema)
+
+
+def with_vectors(items: DataFrame, vectors: DataFrame, key: str, vector: str) -> DataFrame:
+    """items, each with its vector, null where it has none."""
+    return items.join(vectors.select(key, vector), key, "left")
 
 
 def fuse(rankings: list[DataFrame], k: int = RRF_K) -> DataFrame:
@@ -97,6 +171,26 @@ def select(fused: DataFrame, top_k: int = 8, document: str | None = None) -> Dat
     return inside.where((F.col("rank") <= top_k) | (F.col("in_doc") == 1)).drop("in_doc")
 
 
+def search(items: DataFrame, questions: DataFrame, top_k: int = 8, candidates: int = 40, document: str | None = None) -> DataFrame:
+    """(query_id, item, score, source, place, rank[, document]): the best items of each question by both legs, ranks fused.
+
+    items: (item, text, vector[, document]); questions: (query_id, question, query_vector). The lexical leg takes items that
+    share a term with the question, the dense leg those nearest to its vector, if it has one. A question that neither answers
+    gets the first top_k items in order, with score 0. With document, every document among the candidates has an item.
+    """
+    lexical = best(bm25(items, questions).where("score > 0"), candidates, "item")
+    near = best(dense(items, questions, candidates), candidates, "item")
+    fused = fuse([lexical, near])
+    first = items.select("item").orderBy("item").limit(top_k)  # top_k rows, so they may go to every question without an answer
+    place = F.row_number().over(Window.orderBy("item")) - 1
+    silent = questions.select("query_id").join(fused.select("query_id").distinct(), "query_id", "left_anti")
+    rest = silent.withColumn("_one", F.lit(1)).join(F.broadcast(first.withColumn("place", place).withColumn("_one", F.lit(1))), "_one")
+    rows = fused.unionByName(rest.select("query_id", "item", F.lit(0.0).alias("score"), F.lit(0).alias("source"), "place"))
+    if document is None:
+        return select(rows, top_k)
+    return select(rows.join(items.select("item", document), "item"), top_k, document)
+
+
 def numbered(chosen: DataFrame, *reading_order: str) -> DataFrame:
     """The chosen rows as sources S1, S2, ... in reading order."""
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(*reading_order))

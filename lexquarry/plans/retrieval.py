@@ -10,16 +10,19 @@ from lexquarry.operators import retrieval as R
 from lexquarry.plans.documents import tokens_sql
 from lexquarry.plans.registry import query, table
 
-QUESTIONS = [(0, "What about the thanedble attion and eriner?"), (1, "heinst keit und einheit der verung"), (2, "la ention de réeux"), (3, "osga que ciónas del idiot")]
-VALUES = ", ".join(f"({i}, '{q}')" for i, q in QUESTIONS)
+#: The questions are eight words of every document whose id is divisible by 20, from its third on; of every third such document they
+#: are a word that nobody wrote.
+QUESTION_SQL = r"SELECT doc_id AS query_id, CASE WHEN doc_id % 60 = 40 THEN 'qzxw' || doc_id ELSE array_to_string(string_split(regexp_replace(text, '\s+', ' ', 'g'), ' ')[3:10], ' ') END AS question FROM documents WHERE doc_id % 20 = 0"
 
 
-def questions(spark):
-    return spark.createDataFrame(QUESTIONS, "query_id int, question string")
+def questions(spark, sf_dir):
+    words = F.split(F.regexp_replace("text", r"\s+", " "), " ")
+    asked = F.when(F.col("doc_id") % 60 == 40, F.concat(F.lit("qzxw"), F.col("doc_id").cast("string"))).otherwise(F.array_join(F.slice(words, 3, 8), " "))
+    return table(spark, sf_dir, "documents").where("doc_id % 20 = 0").select(F.col("doc_id").alias("query_id"), asked.alias("question"))
 
 
 INDEX_SQL = f"""
- q(query_id, question) AS (VALUES {VALUES}), qt AS (SELECT DISTINCT query_id, unnest({tokens_sql('question')}) AS term FROM q),
+ q AS ({QUESTION_SQL}), qt AS (SELECT DISTINCT query_id, unnest({tokens_sql('question')}) AS term FROM q),
  t AS (SELECT doc_id AS item, {tokens_sql('text')} AS tokens FROM documents), st AS (SELECT count(*) AS n, avg(len(tokens)) AS mean FROM t),
  p AS (SELECT item, len(tokens) AS length, unnest(tokens) AS term FROM t), posts AS (SELECT term, item, length, count(*) AS tf FROM p GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM posts GROUP BY term),
  scored AS (SELECT query_id, item, sum(ln(1.0::DOUBLE + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf * 2.5::DOUBLE / (tf + 1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * length / mean))) AS score
@@ -37,7 +40,7 @@ def bm25_stats(spark, sf_dir):
  SELECT query_id, item AS doc_id, round(score, 6) AS score, CAST(rank AS INT) AS rank, 'S' || row_number() OVER (PARTITION BY query_id ORDER BY item) AS source_id FROM r WHERE rank < 8""")
 def bm25_topk(spark, sf_dir):
     """The flagship: questions over the whole corpus, the best eight passages of each as numbered sources."""
-    scores = R.bm25(table(spark, sf_dir, "documents"), questions(spark), "doc_id")
+    scores = R.bm25(table(spark, sf_dir, "documents"), questions(spark, sf_dir), "doc_id")
     top = R.numbered(R.best(scores, 8, "item"), "item")
     return top.select("query_id", F.col("item").alias("doc_id"), F.round("score", 6).alias("score"), "rank", "source_id")
 
@@ -49,7 +52,7 @@ def dense_topk(spark, sf_dir):
     """The best eight vectors for each query, which are those with ids divisible by 20."""
     vectors = table(spark, sf_dir, "embeddings")
     asked = vectors.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
-    return R.best(R.dense(vectors, asked, "vec_id", "embedding"), 8, "item").select("query_id", "item", F.round("score", 6).alias("score"), "rank")
+    return R.best(R.dense(vectors, asked, 8, "vec_id", "embedding"), 8, "item").select("query_id", "item", F.round("score", 6).alias("score"), "rank")
 
 
 EMBED_SQL = "CAST('0x' || right(md5({}), 2) AS INT) % 64"
@@ -66,32 +69,40 @@ def hash_embedding(spark, sf_dir):
     return counted.select("doc_id", "bucket", F.round(F.col("n") / norm, 6).alias("weight"))
 
 
-FUSED_SQL = f"""{INDEX_SQL}, l AS (SELECT query_id, item, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, item) - 1 AS rank FROM scored),
- c AS (SELECT query_id, item, row_number() OVER (PARTITION BY query_id ORDER BY count(*) DESC, item) - 1 AS rank FROM posts JOIN qt USING (term) GROUP BY query_id, item),
+#: The index of embedding texts: name (here the source) and section (the language) before the text; vectors by the document's id.
+HYBRID_SQL = INDEX_SQL.replace(tokens_sql("text") + " AS tokens FROM documents", tokens_sql("source || CASE WHEN coalesce(lang, '') <> '' THEN ' / ' || lang ELSE '' END || chr(10) || text") + " AS tokens FROM documents")
+FUSED_SQL = f"""{HYBRID_SQL}, v AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), u AS (SELECT vec_id, list_transform(v, lambda x: x / CASE WHEN list_dot_product(v, v) = 0 THEN 1 ELSE sqrt(list_dot_product(v, v)) END) AS v FROM v),
+ l AS (SELECT query_id, item, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, item) - 1 AS rank FROM scored),
+ c AS (SELECT q.query_id, d.doc_id AS item, row_number() OVER (PARTITION BY q.query_id ORDER BY round(coalesce(list_dot_product(a.v, b.v), 0), 9) DESC, d.doc_id) - 1 AS rank FROM q JOIN u a ON a.vec_id = q.query_id, documents d LEFT JOIN u b ON b.vec_id = d.doc_id),
  a AS (SELECT query_id, item, 0 AS source, rank FROM l WHERE rank < 40 UNION ALL SELECT query_id, item, 1, rank FROM c WHERE rank < 40),
  f AS (SELECT query_id, item, sum(1.0::DOUBLE / (60 + rank + 1)) AS score, min(source * 1000 + rank) AS place FROM a GROUP BY query_id, item)"""
 
 
-def _fused(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
-    lexical = R.best(R.bm25(docs, questions(spark), "doc_id"), 40, "item")
-    asked = questions(spark).select("query_id", F.explode(F.array_distinct(X.tokenize(F.col("question")))).alias("term"))
-    shared = docs.select(F.col("doc_id").alias("item"), F.explode(F.array_distinct(X.tokenize(F.col("text")))).alias("term")).join(asked, "term").groupBy("query_id", "item").agg(F.count("*").cast("double").alias("score"))
-    return R.fuse([lexical, R.best(shared, 40, "item")])
+def _hybrid(spark, sf_dir):
+    """Documents as items with their vectors, and the questions with theirs; some have none."""
+    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vector"))
+    docs = R.with_vectors(table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text"), vectors, "doc_id", "vector")
+    items = docs.select(F.col("doc_id").alias("item"), R.embedding_text(F.col("source"), F.col("lang"), F.col("text")).alias("text"), "vector", F.col("source").alias("document"))
+    asked = questions(spark, sf_dir)
+    return items, R.with_vectors(asked, vectors.select(F.col("doc_id").alias("query_id"), F.col("vector").alias("query_vector")), "query_id", "query_vector")
 
 
 @query(f"WITH {FUSED_SQL} SELECT query_id, item, round(score, 6) AS score FROM f")
 def rrf_fusion(spark, sf_dir):
-    return _fused(spark, sf_dir).select("query_id", "item", F.round("score", 6).alias("score"))
+    """Ranks by BM25 and by vectors, fused."""
+    items, asked = _hybrid(spark, sf_dir)
+    legs = [R.best(R.bm25(items, asked), 40, "item"), R.best(R.dense(items, asked, 40), 40, "item")]
+    return R.fuse(legs).select("query_id", "item", F.round("score", 6).alias("score"))
 
 
-@query(f"""WITH {FUSED_SQL}, r AS (SELECT f.*, d.source AS document, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, place) AS rank FROM f JOIN documents d ON d.doc_id = f.item),
+@query(f"""WITH {FUSED_SQL}, o AS (SELECT query_id, item, score, place FROM f UNION ALL SELECT q.query_id, d.doc_id, 0, d.place FROM q, (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS place FROM documents ORDER BY doc_id LIMIT 8) d WHERE q.query_id NOT IN (SELECT query_id FROM f)),
+ r AS (SELECT o.*, d.source AS document, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, place) AS rank FROM o JOIN documents d ON d.doc_id = o.item),
  i AS (SELECT *, row_number() OVER (PARTITION BY query_id, document ORDER BY rank) AS in_doc FROM r), s AS (SELECT * FROM i WHERE rank <= 8 OR in_doc = 1)
- SELECT query_id, item, document, CAST(rank AS INT) AS rank, 'S' || row_number() OVER (PARTITION BY query_id ORDER BY document, item) AS source_id FROM s""")
+ SELECT query_id, item, document, CAST(rank AS INT) AS rank, round(score, 6) AS score, 'S' || row_number() OVER (PARTITION BY query_id ORDER BY document, item) AS source_id FROM s""")
 def hybrid_diversified(spark, sf_dir):
-    named = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("item"), F.col("source").alias("document"))
-    chosen = R.select(_fused(spark, sf_dir).join(named, "item"), 8, "document")
-    return R.numbered(chosen, "document", "item").select("query_id", "item", "document", "rank", "source_id")
+    """The whole search: both legs over embedding texts, fused, a fallback for questions without an answer, every source served."""
+    chosen = R.search(*_hybrid(spark, sf_dir), 8, 40, "document")
+    return R.numbered(chosen, "document", "item").select("query_id", "item", "document", "rank", F.round("score", 6).alias("score"), "source_id")
 
 
 WORDS_SQL = r"regexp_extract_all(lower({}), '[\p{{L}}\p{{N}}\p{{M}}_]+')"
