@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lexquarry.functions import text as X
+from lexquarry.operators import analysis
 from lexquarry.operators import grounding as G
 from lexquarry.operators import retrieval as R
 from lexquarry.plans.documents import tokens_sql
@@ -230,3 +231,28 @@ def answer_reports(spark, sf_dir):
 def answer_quotes(spark, sf_dir):
     """The quotes of those answers that must hold up, in order, with what they were found to be."""
     return G.answer_quotes(*_answers(spark, sf_dir)).select("answer_id", F.col("n").cast("long").alias("n"), "quote", "status", "coverage")
+
+
+#: A result for every document, with quotes taken from it at two depths: as they are, lengthened, blank, and of nobody.
+FINDINGS_SQL = """
+ t AS (SELECT doc_id, string_split(regexp_replace(text, '\\s+', ' ', 'g'), ' ') AS p, regexp_extract_all(lower(text), '[\\p{L}\\p{N}\\p{M}_]+') AS w FROM documents),
+ f AS (SELECT doc_id, w, unnest([0, 1, 2, 3]) AS no, unnest([array_to_string(p[3:12], ' '), array_to_string(p[2:11], ' ') || ' never ever', array_to_string(p[5:14], ' '), 'words nobody has written']) AS quote FROM t),
+ g AS (SELECT *, regexp_extract_all(lower(quote), '[\\p{L}\\p{N}\\p{M}_]+') AS q FROM f),
+ h AS (SELECT *, list_distinct(list_transform(range(1, len(q) - 1), lambda i: q[i] || ' ' || q[i + 1] || ' ' || q[i + 2])) AS qg, list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS wg FROM g),
+ i AS (SELECT *, CASE WHEN contains(' ' || array_to_string(w, ' ') || ' ', ' ' || array_to_string(q, ' ') || ' ') THEN 1.0::DOUBLE WHEN len(qg) > 0 THEN len(list_intersect(qg, wg))::DOUBLE / len(qg) ELSE 0 END AS share FROM h),
+ k AS (SELECT doc_id, no, CASE WHEN len(q) = 0 THEN 'none' WHEN share >= 0.9 THEN 'verified' WHEN share >= 0.6 THEN 'partial' ELSE 'unverified' END AS status FROM i)"""
+
+
+@query(f"""WITH {FINDINGS_SQL} SELECT doc_id, count(*) FILTER (status = 'verified') AS verified, count(*) FILTER (status = 'partial') AS partial, count(*) FILTER (status = 'unverified') AS unverified,
+ max(CASE WHEN no = 0 THEN status END) AS first_status, max(CASE WHEN no = 1 THEN status END) AS longer_status, 'none' AS blank_status, max(CASE WHEN no = 2 THEN status END) AS nested_status FROM k GROUP BY doc_id""")
+def finding_statuses(spark, sf_dir):
+    """Results of an analysis of every document, as JSON, with each of their quotes marked in place."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    part = F.split(F.regexp_replace("text", r"\s+", " "), " ")
+    words = lambda a, n: F.array_join(F.slice(part, a, n), " ")
+    clause = lambda quote: F.struct(quote.alias("quote"))
+    pair = F.struct(words(5, 10).alias("quote"), F.lit("words nobody has written").alias("conflicting_quote"))
+    result = F.struct(F.array(clause(words(3, 10)), clause(F.concat(words(2, 10), F.lit(" never ever"))), clause(F.lit(" "))).alias("clauses"), F.struct(F.array(pair).alias("inconsistencies")).alias("more"))
+    rows = analysis.annotated(docs.select("doc_id", F.to_json(result).alias("result")), docs.withColumn("source_id", F.col("doc_id")), "doc_id", "result")
+    paths = {"first_status": "$.clauses[0].quote_status", "longer_status": "$.clauses[1].quote_status", "blank_status": "$.clauses[2].quote_status", "nested_status": "$.more.inconsistencies[0].quote_status"}
+    return rows.select("doc_id", *analysis.COUNTED, *[F.get_json_object("result", path).alias(name) for name, path in paths.items()])

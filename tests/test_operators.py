@@ -96,8 +96,9 @@ def test_analysis(spark, sources):
     report = '{"overall_risk":"high","risk_score":80,"verdict":"v","clauses":[{"title":"t","risk":"low","quote":"refundable security deposit"},{"title":"u","risk":"high","quote":"no such words at all here"}],"red_flags":[{"issue":"i","quote":""}]}'
     df = analysis.parsed(spark.createDataFrame([(1, report), (2, "no json")], "id int, report string"))
     assert [r.valid for r in df.orderBy("id").collect()] == [True, False]
-    got = analysis.annotated(df, sources, "id").first()
-    assert (got.verified, got.partial, got.unverified) == (1, 0, 1)
+    held = sources.crossJoin(df.select("id"))
+    got = {r.id: r for r in analysis.annotated(df, held, "id", "report").collect()}
+    assert (got[1].verified, got[1].partial, got[1].unverified) == (1, 0, 1) and got[2].result is None
     assert df.where("valid").select(analysis.score_fits(F.col("parsed.risk_score"), F.col("parsed.overall_risk"))).first()[0]
     text = df.where("valid").select(analysis.risk_markdown(F.col("parsed"))).first()[0]
     assert text.index("**u**") < text.index("**t**")
