@@ -37,16 +37,17 @@ def analysis_prompt(task: Column, situation: Column, documents: Column) -> Colum
     return F.concat_ws("\n\n", task, wrapped, F.when(F.size(documents) == 0, NO_DOCUMENTS).otherwise(F.array_join(documents, "\n\n")))
 
 
-def marked_text(segments: Column, limit: int) -> Column:
+def marked_text(segments: Column, limit: int | Column) -> Column:
     """(text, truncated): segments (location, text) with their places as marks, up to a budget of characters; the first that
     does not fit is cut if over 200 characters of it remain."""
+    limit = limit if isinstance(limit, Column) else F.lit(limit)
     start = F.struct(F.lit("").alias("text"), F.lit(0).alias("used"), F.lit(False).alias("truncated"))
 
     def step(done: Column, s: Column) -> Column:
         block = F.concat(F.lit("["), s["location"], F.lit("]\n"), s["text"])
         joined = lambda b: F.when(done["text"] == "", b).otherwise(F.concat(done["text"], F.lit("\n\n"), b))
         fits = done["used"] + F.length(block) <= limit
-        left = F.lit(limit) - done["used"]
+        left = limit - done["used"]
         cut = F.struct(F.when(left > 200, joined(F.substr(block, F.lit(1), left))).otherwise(done["text"]).alias("text"), done["used"].alias("used"), F.lit(True).alias("truncated"))
         more = F.struct(joined(block).alias("text"), (done["used"] + F.length(block) + 2).alias("used"), F.lit(False).alias("truncated"))
         return F.when(done["truncated"], done).when(fits, more).otherwise(cut)
