@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 
 from lexquarry.functions import text as X
 from lexquarry.operators import chat, fold
-from lexquarry.operators.machines import RateLimit, VoiceActivity, configured
+from lexquarry.operators.machines import RateLimit, SessionTouch, VoiceActivity, configured
 from lexquarry.plans.registry import query, table
 
 
@@ -106,13 +106,42 @@ def _hits(spark, sf_dir):
     return table(spark, sf_dir, "events").select("user_id", "event_id", F.unix_seconds(F.col("ts").cast("timestamp")).cast("double").alias("at"))
 
 
-@query()
+#: Each user's events in order, for rules that need the decision before: a user's n-th event meets what the first n - 1 left.
+EVENTS_SQL = "e AS (SELECT user_id, event_id, floor(epoch(ts))::DOUBLE AS sec, row_number() OVER (PARTITION BY user_id ORDER BY floor(epoch(ts)), event_id) AS n FROM events)"
+
+
+@query(f"""WITH RECURSIVE {EVENTS_SQL}, f AS (SELECT user_id, event_id, n, sec AS a, NULL::DOUBLE AS b, true AS allowed, NULL::DOUBLE AS wait FROM e WHERE n = 1
+ UNION ALL SELECT user_id, event_id, n, CASE WHEN a IS NULL THEN coalesce(b, sec) ELSE a END, CASE WHEN a IS NULL THEN CASE WHEN b IS NOT NULL THEN sec END ELSE coalesce(b, sec) END, a IS NULL OR b IS NULL, CASE WHEN a IS NOT NULL AND b IS NOT NULL THEN greatest(1, ceil(21600 - (sec - a))) END
+  FROM (SELECT e.*, CASE WHEN f.a > e.sec - 21600 THEN f.a END AS a, CASE WHEN f.b > e.sec - 21600 THEN f.b END AS b FROM f JOIN e ON e.user_id = f.user_id AND e.n = f.n + 1))
+ SELECT user_id, event_id, allowed, wait::BIGINT AS wait FROM f""")
 def rate_limit_decisions(spark, sf_dir):
     """A sliding limit of two hits in six hours for each user; denied hits do not count."""
     added = T.StructType([T.StructField("allowed", T.BooleanType()), T.StructField("wait", T.LongType())])
     return fold.ordered_fold(_hits(spark, sf_dir), "user_id", ["at", "event_id"], added, fold.each(configured(RateLimit, limit=2, window=6 * 3600.0), (None, None))).select("user_id", "event_id", "allowed", "wait")
 
 
+@query(f"""WITH RECURSIVE {EVENTS_SQL}, f AS (SELECT user_id, event_id, n, sec AS seen, 'missing' AS outcome FROM e WHERE n = 1
+ UNION ALL SELECT e.user_id, e.event_id, e.n, CASE WHEN e.sec - f.seen < 43200 THEN f.seen ELSE e.sec END, CASE WHEN f.seen < e.sec - 259200 THEN 'missing' WHEN e.sec - f.seen < 43200 THEN 'fresh' ELSE 'refreshed' END FROM f JOIN e ON e.user_id = f.user_id AND e.n = f.n + 1)
+ SELECT user_id, event_id, outcome FROM f""")
+def session_touches(spark, sf_dir):
+    """Each touch of a session that lives three days: missing, fresh within half a day of the last one written, or refreshed."""
+    added = T.StructType([T.StructField("outcome", T.StringType())])
+    touch = configured(SessionTouch, ttl=259200.0, interval=43200.0)
+    return fold.ordered_fold(_hits(spark, sf_dir), "user_id", ["at", "event_id"], added, fold.each(touch, (None,))).select("user_id", "event_id", "outcome")
+
+
+@query("""WITH e AS (SELECT user_id, floor(epoch(ts))::DOUBLE + event_id / 1e7 AS sec, CASE WHEN value < 50 THEN event_type ELSE '' END AS fin, CASE WHEN value >= 50 THEN event_type ELSE '' END AS interim FROM events),
+ d AS (SELECT *, sec + 21600 + CASE WHEN interim <> '' THEN 14400 ELSE 0 END AS due FROM e), g AS (SELECT *, CASE WHEN sec >= lag(due) OVER (PARTITION BY user_id ORDER BY sec) THEN 1 ELSE 0 END AS b FROM d),
+ u AS (SELECT *, sum(b) OVER (PARTITION BY user_id ORDER BY sec) AS u FROM g)
+ SELECT user_id, round(arg_max(due, sec), 3) AS due, trim(string_agg(CASE WHEN fin <> '' THEN fin || ' ' ELSE '' END, '' ORDER BY sec) || arg_max(interim, sec)) AS text FROM u GROUP BY user_id, u""")
+def utterances(spark, sf_dir):
+    """Events as results of recognition, whose text stays or may change by their value; a pause of six hours ends an utterance, of
+    ten while its text may change."""
+    at = F.unix_seconds(F.col("ts").cast("timestamp")).cast("double") + F.col("event_id") / 1e7
+    results = table(spark, sf_dir, "events").select("user_id", at.alias("at"), F.when(F.col("value") < 50, F.col("event_type")).alias("final"), F.when(F.col("value") >= 50, F.col("event_type")).alias("interim"))
+    return chat.utterances(results, "user_id", "at", "final", "interim", 21600.0, 14400.0).select("user_id", F.round("due", 3).alias("due"), "text")
+
+
 @query("""SELECT event_id, user_id, n, n > 2 AS unstable FROM (SELECT event_id, user_id, count(*) OVER (PARTITION BY user_id ORDER BY CAST(floor(epoch(ts)) AS BIGINT) RANGE BETWEEN 43200 PRECEDING AND CURRENT ROW) AS n FROM events)""")
 def restart_storm(spark, sf_dir):
     hits = table(spark, sf_dir, "events").select("event_id", "user_id", F.unix_seconds(F.col("ts").cast("timestamp")).alias("at"))
