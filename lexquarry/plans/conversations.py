@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lexquarry.functions import audio
 from lexquarry.functions import text as X
 from lexquarry.operators import chat, fold
 from lexquarry.operators.machines import RateLimit, SessionTouch, VoiceActivity, configured
@@ -149,12 +150,39 @@ def restart_storm(spark, sf_dir):
     return hits.withColumn("n", n).select("event_id", "user_id", "n", (F.col("n") > 2).alias("unstable"))
 
 
-@query()
+#: Voice activity over events as loudness frames: in each step what a frame does to the state, then what the state signals.
+VAD_SQL = """ e AS (SELECT user_id, event_id, value / 1000 AS level, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+ f(user_id, event_id, n, noise, ripe, quiet, latest, signal) AS (SELECT DISTINCT user_id, NULL::BIGINT, 0::BIGINT, 0.005::DOUBLE, NULL::BIGINT, NULL::BIGINT, NULL::BIGINT, NULL::VARCHAR FROM events
+ UNION ALL SELECT user_id, event_id, n, noise, CASE WHEN signal = 'end' THEN NULL ELSE ripe END, CASE WHEN signal = 'start' THEN ms + 900 ELSE quiet END, CASE signal WHEN 'start' THEN ripe - 180 + 30000 WHEN 'end' THEN NULL ELSE latest END, signal FROM (
+  SELECT *, CASE WHEN latest IS NULL AND ripe IS NOT NULL AND ms >= ripe THEN 'start' WHEN latest IS NOT NULL AND ms >= least(quiet, latest) THEN 'end' END AS signal FROM (
+   SELECT user_id, event_id, n, ms, CASE WHEN NOT loud AND latest IS NULL THEN least(0.2::DOUBLE, noise + 0.05::DOUBLE * (level - noise)) ELSE noise END AS noise,
+    CASE WHEN loud AND latest IS NULL THEN coalesce(ripe, ms + 180) WHEN NOT loud AND latest IS NULL THEN NULL ELSE ripe END AS ripe, CASE WHEN loud AND latest IS NOT NULL THEN ms + 900 ELSE quiet END AS quiet, latest FROM (
+    SELECT e.*, e.n * 500 AS ms, f.noise, f.ripe, f.quiet, f.latest, e.level > 0.012::DOUBLE AND e.level > 2.5::DOUBLE * f.noise AS loud FROM f JOIN e ON e.user_id = f.user_id AND e.n = f.n + 1))))"""
+
+
+def _frames(spark, sf_dir):
+    n = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
+    frames = table(spark, sf_dir, "events").select("user_id", "event_id", (F.col("value") / 1000).alias("level"), n.cast("long").alias("n")).withColumn("ms", F.col("n") * 500)
+    added = T.StructType([T.StructField("signal", T.StringType())])
+    return frames, fold.ordered_fold(frames, "user_id", ["ms"], added, fold.each(VoiceActivity, (None,))).where("signal IS NOT NULL")
+
+
+@query(f"WITH RECURSIVE {VAD_SQL} SELECT user_id, event_id, n * 500 AS ms, signal FROM f WHERE signal IS NOT NULL")
 def vad_sessions(spark, sf_dir):
     """Speech starts and ends over events taken as loudness frames, half a second apart."""
-    frames = table(spark, sf_dir, "events").select("user_id", "event_id", (F.col("value") / 1000).alias("level"), (F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")) * 500).alias("ms"))
-    added = T.StructType([T.StructField("signal", T.StringType())])
-    return fold.ordered_fold(frames, "user_id", ["ms"], added, fold.each(VoiceActivity, (None,))).where("signal IS NOT NULL").select("user_id", "event_id", "ms", "signal")
+    return _frames(spark, sf_dir)[1].select("user_id", "event_id", "ms", "signal")
+
+
+@query(f"""WITH RECURSIVE {VAD_SQL}, s AS (SELECT user_id, n, signal, lead(signal) OVER w AS then_, lead(n) OVER w AS last FROM f WHERE signal IS NOT NULL WINDOW w AS (PARTITION BY user_id ORDER BY n)),
+ u AS (SELECT s.user_id, s.n AS began, s.last AS ended, count(*) AS frames, round(sum(e.level), 6) AS loudness, string_agg(CAST(e.event_id AS VARCHAR), ',' ORDER BY e.n) AS events FROM s JOIN e ON e.user_id = s.user_id AND e.n BETWEEN s.n - 9 AND s.last WHERE s.signal = 'start' AND s.then_ = 'end' GROUP BY ALL)
+ SELECT user_id, began, ended, frames, loudness, 44 + 2 * 2 * frames AS wav_bytes FROM u WHERE frames >= 12""")
+def speech_utterances(spark, sf_dir):
+    """Utterances of at least six seconds with their pre-roll, from frames of two samples, as WAV files."""
+    frames, signals = _frames(spark, sf_dir)
+    pairs = frames.withColumn("samples", F.array("level", F.lit(0.0)))
+    said = audio.spoken(pairs, signals.select("user_id", "n", "signal"), "user_id", "n", "samples", rate=4, least=6.0)
+    size = F.octet_length(audio.wav(F.col("samples"), F.lit(4))).cast("long")
+    return said.select("user_id", F.col("start").alias("began"), F.col("end").alias("ended"), F.floor(F.size("samples") / 2).alias("frames"), F.round(F.aggregate("samples", F.lit(0.0), lambda a, x: a + x), 6).alias("loudness"), size.alias("wav_bytes"))
 
 
 @query("""WITH g AS (SELECT user_id, ts, lag(ts) OVER (PARTITION BY user_id ORDER BY ts) AS p FROM events), s AS (SELECT user_id, ts, sum(CASE WHEN p IS NULL OR ts - p >= INTERVAL 1 HOUR THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS i FROM g)
