@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lexquarry.functions import text as X
-from lexquarry.operators.chunking import chunks, heading, pieces
+from lexquarry.operators.chunking import chunk_documents, chunks, line_headings, pieces
 
 
 def one(spark, column, value):
@@ -27,7 +27,7 @@ def test_citations(spark, text, want):
 @pytest.mark.parametrize("line,want", [("4. SECURITY DEPOSIT", True), ("Section 12 Termination", True), ("TERMINATION", True), ("(a) rent", True), ("This is a plain sentence that ends here.", False), ("30 days notice", True), ("", False), ("A, B,", False), ("AB", False), ("x" * 91, False)])
 def test_headings(spark, line, want):
     assert one(spark, X.is_heading, line) is want
-    assert (heading(line) is not None) is want
+    assert one(spark, line_headings, f"before, and after,\n{line}\n")[1] == (" ".join(line.split()) if want else None)
 
 
 def test_clean_and_title(spark):
@@ -40,7 +40,8 @@ def test_clean_and_title(spark):
 
 def test_chunks_keep_section_and_overlap():
     lines = "\n".join(f"The deposit line number {i} is here" for i in range(60))
-    got = chunks(["4. SECURITY DEPOSIT\n" + lines, "5. TERMINATION\nShort."], 400, 80)
+    segments = ["4. SECURITY DEPOSIT\n" + lines, "5. TERMINATION\nShort."]
+    got = chunks(segments, [[line if line[0] in "45" else None for line in s.split("\n")] for s in segments], 400, 80)
     first = [c for c in got if c[0] == 0]
     assert len(first) > 1 and all(c[1] == "4. SECURITY DEPOSIT" and len(c[2]) <= 480 for c in first)
     assert first[1][2].split("\n")[0] in first[0][2]
@@ -48,6 +49,12 @@ def test_chunks_keep_section_and_overlap():
     assert all(len(p) <= 50 for p in pieces("One two three. " * 20 + "x" * 120, 50))
 
 
+def test_chunk_documents(spark):
+    df = spark.createDataFrame([(1, "PETS\n\n  No   cats.\n1. RENT\nIt is due."), (2, None), (3, ""), (4, "plain text, without any")], "doc_id int, text string")
+    got = [tuple(r) for r in chunk_documents(df).orderBy("doc_id", "index").collect()]
+    assert got == [(1, 0, "PETS", "PETS\nNo   cats.\n1. RENT\nIt is due."), (4, 0, "", "plain text, without any")]
+
+
 def test_marked_text(spark):
     df = spark.createDataFrame([([("Page 1", "x" * 500), ("Page 2", "y" * 500)],), ([("Page 1", "x" * 700), ("Page 2", "y" * 500)],), ([],)], "s array<struct<location:string,text:string>>")
     from lexquarry.functions import prompts as P
