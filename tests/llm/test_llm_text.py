@@ -205,6 +205,24 @@ def test_licenses(spark, odd, none):
     assert license_scan.scan(odd).count() == 0 and license_scan.scan(none).count() == 0
 
 
+def test_license_siblings_and_notices_inside_lines(spark):
+    grant = "This program is free software; you can redistribute it and/or modify\nit under the terms of the GNU {} General Public License as published by\nthe Free Software Foundation; either version {} of the License, or\n(at your option) any later version."
+    texts = {
+        "GPL-2.0": grant.format("", "2"), "GPL-3.0": grant.format("", "3").replace(";", ","), "LGPL-2.1": grant.format("Lesser", "2.1").replace("program", "library"), "AGPL-3.0": grant.format("Affero", "3"),
+        "MIT": "Copyright 2020 Foo. Licensed under the MIT License.", "MIT 2": "Distributed under the MIT License", "Apache-2.0": "This file is licensed under the Apache License, Version 2.0 by someone",
+        "MIT 3": "Some words first. Released under the MIT License. And some after it! Read on.", "none": "The MIT building is under the license of nobody. All is well.",
+    }
+    rows = license_scan.scan(spark.createDataFrame(list(texts.items()), "doc_id string, text string")).collect()
+    assert {r.doc_id: r.license for r in rows if r.unit in ("paragraph", "sentence", "line")} == {k: k.split(" ")[0] for k in texts if k != "none"}
+    assert {(r.doc_id, r.unit, r.unit_no, r.dice) for r in rows if r.doc_id in ("MIT", "MIT 3")} == {("MIT", "sentence", 1, 1.0), ("MIT 3", "sentence", 1, 1.0)}
+    paragraphs = [t for n, t in license_scan.TEMPLATES if n == "MIT"]
+    full = "MIT License\n\nCopyright (c) 2024 Someone Else\n\n" + "\n\n".join(next(t for t in reversed(paragraphs) if t.startswith(b)) for b in ("Permission", "The above", "THE SOFTWARE"))
+    found = license_scan.scan(spark.createDataFrame([(1, full)], "doc_id int, text string")).where("unit = 'document'").collect()
+    assert [(r.license, r.dice > 0.95) for r in found] == [("MIT", True)]
+    twins = license_scan.scan(spark.createDataFrame([(1, "one two three four")], "doc_id int, text string"), templates=[("A", "one two three four"), ("C", "one two three four"), ("B", "one two three four"), ("A", "one two three four")]).collect()
+    assert [(r.license, r.also) for r in twins] == [("A", "B,C")]
+
+
 def test_quality_classifier(spark, odd):
     draw = random.Random(7)
     good = [" ".join("".join(draw.choice("abcdefghij") for _ in range(5)) for _ in range(90)) for _ in range(60)]
