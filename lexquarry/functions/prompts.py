@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexquarry.functions.text import attribute, escape_tags, squeeze, strip
@@ -91,3 +91,29 @@ def highlights(text: Column, quotes: Column) -> Column:
     none = F.array().cast("array<struct<start:int,length:int>>")
     end = lambda done: F.when(F.size(done) == 0, 0).otherwise(F.element_at(done, -1)["start"] + F.element_at(done, -1)["length"])
     return F.aggregate(found, none, lambda done, s: F.when(s["start"] >= end(done), F.array_append(done, s)).otherwise(done))
+
+
+def preview(segments: Column, limit: int = 200_000) -> Column:
+    """(segments, truncated): the first segments (location, text) whole, as many as a budget of characters holds."""
+    start = F.struct(F.lit(0).cast("long").alias("upto"), F.lit(0).alias("n"))
+    step = lambda a, s: F.struct((a["upto"] + F.length(s["text"])).alias("upto"), F.when(a["upto"] + F.length(s["text"]) <= limit, a["n"] + 1).otherwise(a["n"]).alias("n"))
+    fits = F.aggregate(segments, start, step)["n"]
+    return F.struct(F.slice(segments, 1, fits).alias("segments"), (fits < F.size(segments)).alias("truncated"))
+
+
+def escape_html(text: Column) -> Column:
+    """The five signs that HTML gives a meaning, as entities."""
+    for sign, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#39;")):
+        text = F.replace(text, F.lit(sign), F.lit(entity))
+    return text
+
+
+def web_sources(cited: DataFrame, answer: str, place: str, most: int = 8) -> DataFrame:
+    """(answer, rank, uri, title): the first addresses of each answer by first appearance. Rows have uri, title and domain; an
+    address keeps its first title, or else its domain, or else "Source"."""
+    blank = lambda c: F.nullif(F.trim(c), F.lit(""))
+    first = cited.groupBy(answer, "uri").agg(F.min(place).alias("_at"), F.min_by("title", place).alias("title"), F.min_by("domain", place).alias("domain"))
+    rank = F.row_number().over(Window.partitionBy(answer).orderBy("_at"))
+    # the filter is on the number itself, so that Spark limits each answer's rows before the shuffle
+    ranked = first.withColumn("rank", rank).where(F.col("rank") <= most)
+    return ranked.select(answer, F.col("rank").cast("long").alias("rank"), "uri", F.coalesce(blank(F.col("title")), blank(F.col("domain")), F.lit("Source")).alias("title"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -144,3 +144,16 @@ def size_label(count: Column) -> Column:
 def hash_bucket(token: Column, width: int = 64) -> Column:
     """md5 modulo width, for widths that divide 256."""
     return F.conv(F.right(F.md5(token), F.lit(2)), 16, 10).cast("int") % width
+
+
+def row_groups(rows: DataFrame, sheet: str, row: str, line: str, size: int = 50) -> DataFrame:
+    """(sheet, b, location, n_rows, text): numbered lines of sheets in segments of `size` rows. The first line that is not empty is
+    a sheet's header, told again in every segment but the first; empty lines are left out but counted, as are segments of them."""
+    held = rows.select(sheet, F.col(row).alias("_i"), F.col(line).alias("_line"), F.floor((F.col(row) - 1) / size).alias("b"))
+    headers = held.where("_line <> ''").groupBy(F.col(sheet).alias("_sheet")).agg(F.min_by("_line", "_i").alias("_header"))
+    told = F.array_sort(F.collect_list(F.when(F.col("_line") != "", F.struct("_i", "_line"))))
+    groups = held.groupBy(sheet, "b").agg(F.count("*").alias("_n"), told.alias("g")).where(F.size("g") > 0).join(headers, F.col(sheet) == F.col("_sheet"))
+    first, last = (F.col("b") * size + 1).cast("string"), (F.col("b") * size + F.col("_n")).cast("string")
+    body = F.array_join(F.transform("g", lambda s: s["_line"]), "\n")
+    text = F.when(F.col("b") > 0, F.concat(F.lit("(Columns: "), "_header", F.lit(")\n"), body)).otherwise(body)
+    return groups.select(sheet, "b", F.concat(F.lit("Sheet '"), F.col(sheet), F.lit("' rows "), first, F.lit("-"), last).alias("location"), F.size("g").cast("long").alias("n_rows"), text.alias("text"))

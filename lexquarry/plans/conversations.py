@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 
 from lexquarry.functions import audio
 from lexquarry.functions import text as X
-from lexquarry.operators import chat, fold
+from lexquarry.operators import chat, fold, store
 from lexquarry.operators.machines import RateLimit, SessionTouch, VoiceActivity, configured
 from lexquarry.plans.registry import query, table
 
@@ -191,3 +191,30 @@ def session_windows(spark, sf_dir):
     events = table(spark, sf_dir, "events").select("user_id", F.col("ts").cast("timestamp").alias("ts"))
     found = events.groupBy("user_id", F.session_window("ts", "1 hour").alias("w")).agg(F.count("*").alias("n"))
     return found.select("user_id", F.unix_micros("w.start").alias("began"), "n")
+
+
+#: The log of a store: each user's events are operations on their own conversations, some of other sessions, in order of ids.
+LOG_SQL = """
+ lg AS (SELECT event_id AS seq, CASE WHEN event_id % 13 = 0 THEN 'u0' ELSE 'u' || user_id END AS session, CASE WHEN event_type = 'error' AND value > 250 THEN NULL ELSE 'c' || user_id || '-' || (event_id % 7) END AS conv,
+  CASE event_type WHEN 'signup' THEN 'create' WHEN 'view' THEN 'message' WHEN 'click' THEN 'message' WHEN 'purchase' THEN 'rename' ELSE CASE WHEN value > 250 THEN 'clear' ELSE 'delete' END END AS op,
+  CASE event_type WHEN 'view' THEN 'user' WHEN 'click' THEN 'assistant' END AS role, repeat(event_type || ' ' || event_id || ' ', 6) AS text FROM events WHERE NOT (event_type = 'error' AND value BETWEEN 60 AND 250))"""
+
+
+@query(f"""WITH {LOG_SQL}, cr AS (SELECT conv, min(seq) AS since, arg_min(session, seq) AS owner FROM lg WHERE op = 'create' GROUP BY conv),
+ ow AS (SELECT lg.*, since FROM lg JOIN cr ON cr.conv = lg.conv AND session = owner AND seq > since WHERE op NOT IN ('create', 'clear')),
+ lf AS (SELECT * FROM cr WHERE conv NOT IN (SELECT conv FROM ow WHERE op = 'delete') AND NOT EXISTS (SELECT 1 FROM lg WHERE op = 'clear' AND session = owner AND seq > since)),
+ kn AS (SELECT conv, count(*) FILTER (op = 'message') AS n_messages, max(seq) AS last_seq, arg_max(text, seq) FILTER (op = 'rename') AS named, trim(arg_min(text, seq) FILTER (op = 'message' AND role = 'user')) AS opening,
+  string_agg(seq || role, ',' ORDER BY seq) FILTER (op = 'message') AS said FROM ow GROUP BY conv)
+ SELECT conv, owner AS session, coalesce(named, CASE WHEN length(opening) <= 60 THEN opening ELSE rtrim(substr(opening, 1, 57)) || '...' END, '') AS title, coalesce(n_messages, 0) AS n_messages, coalesce(last_seq, since) AS updated, coalesce(said, '') AS said FROM lf LEFT JOIN kn USING (conv)""")
+def conversation_store(spark, sf_dir):
+    """What is left of conversations after a log of creations, messages, renamings and deletions by their sessions and others."""
+    kind, value, number = F.col("event_type"), F.col("value"), F.col("event_id").cast("string")
+    events = table(spark, sf_dir, "events").where(~((kind == "error") & value.between(60, 250)))
+    user = F.concat(F.lit("u"), F.col("user_id").cast("string"))
+    log = events.select(
+        F.col("event_id").alias("seq"), F.when(F.col("event_id") % 13 == 0, "u0").otherwise(user).alias("session"), F.when((kind == "error") & (value > 250), None).otherwise(F.concat(F.lit("c"), F.col("user_id").cast("string"), F.lit("-"), (F.col("event_id") % 7).cast("string"))).alias("conv"),
+        F.when(kind == "signup", "create").when(kind.isin("view", "click"), "message").when(kind == "purchase", "rename").when(value > 250, "clear").otherwise("delete").alias("op"),
+        F.when(kind == "view", "user").when(kind == "click", "assistant").alias("role"), F.repeat(F.concat(kind, F.lit(" "), number, F.lit(" ")), F.lit(6)).alias("text"),
+    )
+    said = F.coalesce(F.array_join(F.transform("messages", lambda m: F.concat(m["seq"].cast("string"), m["role"])), ","), F.lit(""))
+    return store.conversations_after(log).select("conv", "session", "title", "n_messages", "updated", said.alias("said"))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lexquarry.functions import audio
@@ -26,13 +25,17 @@ def display_labels(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", X.size_label(F.col("n_chars")).alias("size"), P.time_label(F.col("n_chars")).alias("ago"), P.context_label(F.col("lang"), F.lit("  "), F.col("source")).alias("label"))
 
 
-@query("""SELECT page_id, rank, url FROM (SELECT page_id % 10 AS page_id, url, row_number() OVER (PARTITION BY page_id % 10 ORDER BY min(page_id)) AS rank FROM pages GROUP BY page_id % 10, url) WHERE rank <= 8""")
+@query(r"""WITH p AS (SELECT page_id, regexp_extract(html, '<html lang="([a-z]+)"', 1) AS answer, regexp_replace(url, '[?#].*$', '') AS uri, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, regexp_extract(url, '^https?://([^/?#]+)', 1) AS domain FROM pages),
+ f AS (SELECT answer, uri, min(page_id) AS place, coalesce(nullif(trim(arg_min(title, page_id)), ''), nullif(arg_min(domain, page_id), ''), 'Source') AS title FROM p GROUP BY answer, uri)
+ SELECT answer, rank, uri, title FROM (SELECT *, row_number() OVER (PARTITION BY answer ORDER BY place) AS rank FROM f) WHERE rank <= 8""")
 def web_sources(spark, sf_dir):
-    """The first eight distinct addresses of each answer, by first appearance."""
-    pages = table(spark, sf_dir, "pages").select((F.col("page_id") % 10).alias("answer"), "page_id", "url")
-    first = pages.groupBy("answer", "url").agg(F.min("page_id").alias("at"))
-    ranked = first.withColumn("rank", F.row_number().over(Window.partitionBy("answer").orderBy("at")).cast("long")).where("rank <= 8")
-    return ranked.select(F.col("answer").alias("page_id"), "rank", "url")
+    """The first eight distinct addresses that the answers in each language cite, with the title that came first, else their host."""
+    html, url = F.col("html"), F.col("url")
+    pages = table(spark, sf_dir, "pages").select(
+        "page_id", F.regexp_extract(html, '<html lang="([a-z]+)"', 1).alias("answer"), F.regexp_replace(url, "[?#].*$", "").alias("uri"),
+        F.regexp_extract(html, "<title>([^<]*)</title>", 1).alias("title"), F.regexp_extract(url, "^https?://([^/?#]+)", 1).alias("domain"),
+    )
+    return P.web_sources(pages, "answer", "page_id").select("answer", "rank", "uri", "title")
 
 
 @query("""SELECT event_id, CASE WHEN CAST(value AS INT) % 600 = 429 THEN 'busy' WHEN CAST(value AS INT) % 600 >= 500 THEN 'unavailable' WHEN CAST(value AS INT) % 600 IN (401, 403) THEN 'denied' WHEN CAST(value AS INT) % 600 = 400 THEN 'rejected' ELSE 'failed' END AS kind,

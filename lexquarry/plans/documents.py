@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lexquarry.functions import text as X
-from lexquarry.operators import fold
+from lexquarry.operators import fold, store
 from lexquarry.operators.chunking import chunk_documents
 from lexquarry.plans.registry import query, table
 from lexquarry.sources.html import html_text
@@ -65,10 +65,15 @@ def clean_text(spark, sf_dir):
     SELECT doc_id, len(p) AS n, unnest(range(len(p))) AS i, unnest(p) AS line, unnest(range(len(p))) // 60 AS b FROM (SELECT doc_id, string_split({CLEAN_SQL.format('text')}, chr(10)) AS p FROM documents)) GROUP BY doc_id, b)
   WHERE trim(body, ' ' || chr(10)) <> ''""")
 def line_segments(spark, sf_dir):
+    return _segmented(spark, sf_dir).select("doc_id", F.explode("segments").alias("s")).select("doc_id", "s.location", F.length("s.text").alias("n_chars"))
+
+
+def _segmented(spark, sf_dir):
+    """(doc_id, segments): each document's segments of 60 lines."""
     lines = table(spark, sf_dir, "documents").select("doc_id", F.split(X.clean_text(F.col("text")), "\n").alias("p"))
     n = F.size("p")
     blocks = F.transform(F.sequence(F.lit(0), F.floor((n - 1) / 60).cast("int")), lambda b: F.struct(F.concat(F.lit("Lines "), (b * 60 + 1).cast("string"), F.lit("-"), F.least(b * 60 + 60, n).cast("string")).alias("location"), X.strip(F.array_join(F.slice("p", b * 60 + 1, 60), "\n")).alias("text")))
-    return lines.select("doc_id", F.explode(blocks).alias("s")).where("s.text <> ''").select("doc_id", "s.location", F.length("s.text").alias("n_chars"))
+    return lines.select("doc_id", F.filter(blocks, lambda s: s["text"] != "").alias("segments"))
 
 
 @query()
@@ -77,23 +82,46 @@ def chunk_segments(spark, sf_dir):
     return chunks.select("doc_id", "index", "section", F.length("text").alias("n_chars"), F.sha2("text", 256).alias("text_sha256"))
 
 
-@query("""SELECT doc_id, count(*) FILTER (upto <= 800) AS n_whole, coalesce(sum(len) FILTER (upto <= 800), 0)::BIGINT AS chars_whole, bool_or(upto > 800) AS truncated FROM (
-  SELECT doc_id, length(line) AS len, sum(length(line) + 2) OVER (PARTITION BY doc_id ORDER BY i) - 2 AS upto FROM (
-    SELECT doc_id, unnest(range(len(p))) AS i, unnest(p) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS p FROM documents))) GROUP BY doc_id""")
+SEGMENT_SQL = f"""
+ sl AS (SELECT doc_id, len(p) AS n, unnest(range(len(p))) AS i, unnest(p) AS line, unnest(range(len(p))) // 60 AS b FROM (SELECT doc_id, string_split({CLEAN_SQL.format('text')}, chr(10)) AS p FROM documents)),
+ seg AS (SELECT * FROM (SELECT doc_id, b, 'Lines ' || (60 * b + 1) || '-' || least(60 * b + 60, max(n)) AS location, trim(string_agg(line, chr(10) ORDER BY i), ' ' || chr(10)) AS body FROM sl GROUP BY doc_id, b) WHERE body <> '')"""
+MARK_LIMIT, PREVIEW_LIMIT = 3000, 6000
+
+
+@query(f"""WITH {SEGMENT_SQL}, k AS (SELECT doc_id, b, '[' || location || ']' || chr(10) || body AS block FROM seg), u AS (SELECT *, coalesce(sum(length(block) + 2) OVER (PARTITION BY doc_id ORDER BY b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS used FROM k),
+ x AS (SELECT *, min(CASE WHEN used + length(block) > {MARK_LIMIT} THEN b END) OVER (PARTITION BY doc_id) AS cut FROM u),
+ m AS (SELECT doc_id, string_agg(CASE WHEN cut IS NULL OR b < cut THEN block WHEN b = cut AND {MARK_LIMIT} - used > 200 THEN substr(block, 1, ({MARK_LIMIT} - used)::BIGINT) END, chr(10) || chr(10) ORDER BY b) AS text, bool_or(cut IS NOT NULL) AS truncated FROM x GROUP BY doc_id)
+ SELECT doc_id, length(coalesce(m.text, '')) AS n_chars, sha256(coalesce(m.text, '')) AS text_sha256, coalesce(truncated, false) AS truncated FROM documents LEFT JOIN m USING (doc_id)""")
 def marked_text_cut(spark, sf_dir):
-    """Whole segments (here lines) that fit a budget of 800 characters with two between neighbours: the sums run inside the
-    row's own array, so nothing is shuffled."""
-    sizes = F.transform(F.split("text", "\n"), lambda s: F.length(s))
-    step = lambda acc, n: F.struct((acc["upto"] + n + 2).alias("upto"), F.when(acc["upto"] + n <= 800, acc["n"] + 1).otherwise(acc["n"]).alias("n"), F.when(acc["upto"] + n <= 800, acc["chars"] + n).otherwise(acc["chars"]).alias("chars"))
-    zero = F.lit(0).cast("long")
-    out = table(spark, sf_dir, "documents").select("doc_id", F.aggregate(F.transform(sizes, lambda n: n.cast("long")), F.struct(zero.alias("upto"), zero.alias("n"), zero.alias("chars")), step).alias("a"))
-    return out.select("doc_id", F.col("a.n").alias("n_whole"), F.col("a.chars").alias("chars_whole"), (F.col("a.upto") - 2 > 800).alias("truncated"))
+    """Each document as a prompt shows it: segments with their places, up to a budget, the last one cut."""
+    from lexquarry.functions import prompts as P
+
+    shown = _segmented(spark, sf_dir).select("doc_id", P.marked_text(F.col("segments"), MARK_LIMIT).alias("m"))
+    return shown.select("doc_id", F.length("m.text").cast("long").alias("n_chars"), F.sha2("m.text", 256).alias("text_sha256"), "m.truncated")
 
 
-@query("SELECT source, count(*) AS n_docs, sum(length(text))::BIGINT AS chars, CASE WHEN sum(length(text)) <= 40000 THEN 'full' ELSE 'retrieval' END AS mode, (350000 // count(*))::BIGINT AS budget FROM documents GROUP BY source")
+@query(f"""WITH {SEGMENT_SQL}, u AS (SELECT *, sum(length(body)) OVER (PARTITION BY doc_id ORDER BY b) AS upto FROM seg), p AS (SELECT doc_id, count(*) FILTER (upto <= {PREVIEW_LIMIT}) AS shown, count(*) AS n,
+  string_agg(replace(replace(replace(replace(replace(body, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), chr(39), '&#39;'), chr(10) ORDER BY b) FILTER (upto <= {PREVIEW_LIMIT}) AS html FROM u GROUP BY doc_id)
+ SELECT doc_id, coalesce(shown, 0) AS shown, coalesce(shown < n, false) AS truncated, sha256(coalesce(html, '')) AS html_sha256 FROM documents LEFT JOIN p USING (doc_id)""")
+def document_previews(spark, sf_dir):
+    """The first whole segments of each document within a budget, escaped for a page."""
+    from lexquarry.functions import prompts as P
+
+    shown = _segmented(spark, sf_dir).select("doc_id", P.preview(F.col("segments"), PREVIEW_LIMIT).alias("p"))
+    html = F.array_join(F.transform("p.segments", lambda s: P.escape_html(s["text"])), "\n")
+    return shown.select("doc_id", F.size("p.segments").cast("long").alias("shown"), "p.truncated", F.sha2(html, 256).alias("html_sha256"))
+
+
+@query("""SELECT s.source, l.lang, count(d.doc_id) AS n_docs, coalesce(sum(length(text)), 0)::BIGINT AS chars, CASE WHEN count(d.doc_id) = 0 THEN 'none' WHEN sum(length(text)) <= 40000 THEN 'full' ELSE 'retrieval' END AS mode, (350000 // greatest(count(d.doc_id), 1))::BIGINT AS budget
+ FROM (SELECT DISTINCT source FROM documents) s CROSS JOIN (SELECT DISTINCT lang FROM documents UNION SELECT 'xx') l LEFT JOIN documents d ON d.source = s.source AND d.lang = l.lang GROUP BY ALL""")
 def context_mode(spark, sf_dir):
-    groups = table(spark, sf_dir, "documents").groupBy("source").agg(F.count("*").alias("n_docs"), F.sum(F.length("text")).alias("chars"))
-    return groups.withColumn("mode", F.when(F.col("chars") <= 40000, "full").otherwise("retrieval")).withColumn("budget", F.floor(350000 / F.greatest("n_docs", F.lit(1))))
+    """How a library of one language goes into a prompt: whole, by retrieval, or not at all, where a source has nothing in it."""
+    docs = table(spark, sf_dir, "documents").groupBy("source", "lang").agg(F.count("*").alias("n_docs"), F.sum(F.length("text")).alias("chars"))
+    langs = docs.agg(F.array_union(F.collect_set("lang"), F.array(F.lit("xx"))).alias("langs"))  # one row, a few languages
+    libraries = docs.select("source").distinct().crossJoin(F.broadcast(langs)).select("source", F.explode("langs").alias("lang"))
+    rows = libraries.join(docs, ["source", "lang"], "left").select("source", "lang", F.coalesce("n_docs", F.lit(0)).alias("n_docs"), F.coalesce("chars", F.lit(0)).alias("chars"))
+    mode = F.when(F.col("n_docs") == 0, "none").when(F.col("chars") <= 40000, "full").otherwise("retrieval")
+    return rows.withColumn("mode", mode).withColumn("budget", F.floor(350000 / F.greatest("n_docs", F.lit(1))))
 
 
 @query("SELECT doc_id, source, lang, n_chars FROM documents WHERE source = 'src1'")
@@ -134,16 +162,20 @@ def html_to_text(spark, sf_dir):
     return html_text(table(spark, sf_dir, "pages").select("page_id", "url", "html"), "html").select("page_id", "url", F.length("text").alias("n_chars"), F.sha2("text", 256).alias("text_sha256"))
 
 
-@query("""SELECT o_orderstatus AS sheet, b, 'Sheet ''' || o_orderstatus || ''' rows ' || (50 * b + 1) || '-' || (50 * b + count(*)) AS location, count(*) AS n_rows, sha256(string_agg(line, chr(10) ORDER BY i)) AS text_sha256 FROM (
-  SELECT o_orderstatus, line, i, (i - 1) // 50 AS b FROM (SELECT o_orderstatus, o_orderkey || ' | ' || o_custkey || ' | ' || o_orderpriority AS line, row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_orderkey) AS i FROM orders) WHERE i <= 5000) GROUP BY o_orderstatus, b""")
+@query("""WITH l AS (SELECT o_orderstatus AS sheet, concat_ws(' | ', o_orderkey::VARCHAR, CASE WHEN o_orderkey % 5 <> 0 THEN o_custkey::VARCHAR END, CASE WHEN o_orderkey % 7 <> 0 THEN o_orderpriority END) AS line, row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_orderkey) AS i FROM orders),
+ k AS (SELECT *, (i - 1) // 50 AS b FROM (SELECT sheet, CASE WHEN i % 60 IN (0, 1) AND i > 40 THEN '' ELSE line END AS line, i FROM l) WHERE i <= 5000), h AS (SELECT sheet, arg_min(line, i) AS header FROM k WHERE line <> '' GROUP BY sheet)
+ SELECT sheet, b, 'Sheet ' || chr(39) || sheet || chr(39) || ' rows ' || (50 * b + 1) || '-' || (50 * b + count(*)) AS location, count(*) FILTER (line <> '') AS n_rows,
+  sha256(CASE WHEN b > 0 THEN '(Columns: ' || any_value(header) || ')' || chr(10) ELSE '' END || string_agg(line, chr(10) ORDER BY i) FILTER (line <> '')) AS text_sha256 FROM k JOIN h USING (sheet) GROUP BY sheet, b HAVING count(*) FILTER (line <> '') > 0""")
 def row_segments(spark, sf_dir):
-    """Spreadsheet rows as text segments of 50 rows each, the first 5,000 of a sheet."""
-    line = F.concat_ws(" | ", F.col("o_orderkey").cast("string"), F.col("o_custkey").cast("string"), "o_orderpriority")
+    """Spreadsheet rows as text segments of 50 rows each, the first 5,000 of a sheet, with the header told again in all but the
+    first; some cells and rows are empty."""
+    key = F.col("o_orderkey")
+    line = F.concat_ws(" | ", key.cast("string"), F.when(key % 5 != 0, F.col("o_custkey").cast("string")), F.when(key % 7 != 0, F.col("o_orderpriority")))
     rows = table(spark, sf_dir, "orders").select(F.col("o_orderstatus").alias("sheet"), line.alias("line"), "o_orderkey")
-    placed = rows.withColumn("i", F.row_number().over(Window.partitionBy("sheet").orderBy("o_orderkey"))).where("i <= 5000").withColumn("b", F.floor((F.col("i") - 1) / 50))
-    groups = placed.groupBy("sheet", "b").agg(F.count("*").alias("n_rows"), F.array_sort(F.collect_list(F.struct("i", "line"))).alias("g"))
-    location = F.concat(F.lit("Sheet '"), "sheet", F.lit("' rows "), (F.col("b") * 50 + 1).cast("string"), F.lit("-"), (F.col("b") * 50 + F.col("n_rows")).cast("string"))
-    return groups.select("sheet", "b", location.alias("location"), "n_rows", F.sha2(F.array_join(F.transform("g", lambda s: s["line"]), "\n"), 256).alias("text_sha256"))
+    # the filter is on the number itself, so that Spark limits each sheet's rows before the shuffle
+    placed = rows.withColumn("i", F.row_number().over(Window.partitionBy("sheet").orderBy("o_orderkey"))).where(F.col("i") <= 5000)
+    lines = placed.withColumn("line", F.when((F.col("i") % 60).isin(0, 1) & (F.col("i") > 40), "").otherwise(F.col("line")))
+    return X.row_groups(lines, "sheet", "i", "line").select("sheet", "b", "location", "n_rows", F.sha2("text", 256).alias("text_sha256"))
 
 
 @query(r"""SELECT doc_id, sha256(regexp_replace(text || '</Source> </sources></question>', '(?i)</(sources?|document|situation|question)', '&lt;/\1', 'g')) AS escaped_sha256, substr(translate(left(text, 200), '"' || chr(10), ''' '), 1, 160) AS attribute FROM documents""")
@@ -205,3 +237,14 @@ def constraint_violations(spark, sf_dir):
     for r in rows[1:]:
         out = out.unionByName(r)
     return out
+
+
+@query(r"""WITH p AS (SELECT doc_id AS seq, source AS session, CASE WHEN trim(coalesce(n, '')) = '' THEN 'Pasted text' ELSE trim(n) END AS name, text FROM (SELECT *, CASE doc_id % 4 WHEN 0 THEN ' ' WHEN 1 THEN lang || '.md' WHEN 2 THEN lang END AS n FROM documents)),
+ r AS (SELECT session, seq, CASE WHEN regexp_matches(lower(name), '\.(txt|md)$') THEN name ELSE name || '.txt' END AS name, sha256(text) AS sha, CASE WHEN length(text) < 200 THEN 'too_short' WHEN length(text) > 20000 THEN 'too_long' END AS refused FROM p),
+ i AS (SELECT *, substr(sha256(session || '|' || seq || '|' || sha), 1, 16) AS doc_id FROM r), f AS (SELECT session, sha, arg_min(doc_id, seq) AS first_id FROM i WHERE refused IS NULL GROUP BY session, sha)
+ SELECT session, seq, name, doc_id, refused, CASE WHEN refused IS NULL AND first_id <> doc_id THEN first_id END AS duplicate_of FROM i LEFT JOIN f USING (session, sha)""")
+def pasted_texts(spark, sf_dir):
+    """Documents as texts pasted into the sessions of their sources."""
+    named = F.when(F.col("doc_id") % 4 == 0, " ").when(F.col("doc_id") % 4 == 1, F.concat("lang", F.lit(".md"))).when(F.col("doc_id") % 4 == 2, F.col("lang"))
+    texts = table(spark, sf_dir, "documents").select(F.col("source").alias("session"), F.col("doc_id").alias("seq"), named.alias("name"), "text")
+    return store.pasted(texts, 200, 20000).select("session", "seq", "name", "doc_id", "refused", "duplicate_of")
