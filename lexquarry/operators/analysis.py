@@ -115,12 +115,3 @@ def upsert(cache: DataFrame, new: DataFrame, key: str, at: str) -> DataFrame:
     both = cache.withColumn("_new", F.lit(0)).unionByName(new.withColumn("_new", F.lit(1)))
     rows = F.struct(*[c for c in cache.columns])
     return both.groupBy(key).agg(F.max_by(rows, F.struct(at, "_new")).alias("r")).select("r.*")
-
-
-def risk_markdown(parsed_report: Column) -> Column:
-    """A risk report as Markdown: clauses by falling risk, sections without content left out."""
-    place = lambda c: F.when(c["risk"] == "high", 0).when(c["risk"] == "medium", 1).otherwise(2)
-    ordered = F.array_sort(F.transform(parsed_report["clauses"], lambda c, i: F.struct(place(c).alias("p"), i.alias("i"), c.alias("c"))))
-    lines = F.transform(ordered, lambda x: F.concat(F.lit("- **"), x["c"]["title"], F.lit("** ("), x["c"]["risk"], F.lit("): "), F.coalesce(x["c"]["quote"], F.lit(""))))
-    section = F.when(F.size(lines) > 0, F.concat(F.lit("## Clauses\n"), F.array_join(lines, "\n")))
-    return F.concat_ws("\n\n", F.concat(F.lit("# Risk: "), parsed_report["overall_risk"]), parsed_report["verdict"], section)

@@ -248,3 +248,24 @@ def pasted_texts(spark, sf_dir):
     named = F.when(F.col("doc_id") % 4 == 0, " ").when(F.col("doc_id") % 4 == 1, F.concat("lang", F.lit(".md"))).when(F.col("doc_id") % 4 == 2, F.col("lang"))
     texts = table(spark, sf_dir, "documents").select(F.col("source").alias("session"), F.col("doc_id").alias("seq"), named.alias("name"), "text")
     return store.pasted(texts, 200, 20000).select("session", "seq", "name", "doc_id", "refused", "duplicate_of")
+
+
+@query(r"""WITH p AS (SELECT doc_id, lang, source, string_split(regexp_replace(text, '\s+', ' ', 'g'), ' ') AS w FROM documents),
+ k AS (SELECT *, w[1:3 + doc_id % 3] AS facts, CASE WHEN doc_id % 2 = 0 THEN w[5:6] ELSE [] END AS issues, array_to_string(w[7:9], ' ') AS question, array_to_string(w[10:11], ' ') AS why FROM p)
+ SELECT doc_id, sha256('## Case summary' || chr(10) || chr(10) || source || chr(10) || chr(10) || '**Goal:** ' || coalesce(lang, '') || chr(10) || chr(10) || '## Timeline' || chr(10) || chr(10) || '- **' || doc_id || '**: ' || source || chr(10) || chr(10)
+  || '## Key facts' || chr(10) || chr(10) || array_to_string(list_transform(facts, lambda x: '- ' || x), chr(10)) || chr(10) || chr(10)
+  || CASE WHEN len(issues) > 0 THEN '## Legal issues' || chr(10) || chr(10) || array_to_string(list_transform(issues, lambda x: '- ' || x), chr(10)) || chr(10) ELSE '' END || chr(10)
+  || '## Questions to ask' || chr(10) || chr(10) || '1. **' || question || '** (' || why || ')' || chr(10) || '2. **why?** ()' || chr(10) || chr(10) || chr(10)) AS report_sha256 FROM k""")
+def brief_reports(spark, sf_dir):
+    """A brief for each document, made of its words, as Markdown with its empty sections left out."""
+    from lexquarry.functions import reports
+
+    w = F.split(F.regexp_replace("text", r"\s+", " "), " ")
+    empty = F.array().cast("array<string>")
+    asked = F.array(F.struct(F.array_join(F.slice(w, 7, 3), " ").alias("question"), F.array_join(F.slice(w, 10, 2), " ").alias("why")), F.struct(F.lit("why?").alias("question"), F.lit(None).cast("string").alias("why")))
+    result = F.struct(
+        F.col("source").alias("case_summary"), F.col("lang").alias("goal"), F.array(F.struct(F.col("doc_id").alias("date"), F.col("source").alias("event"))).alias("timeline"), F.slice(w, F.lit(1), (F.col("doc_id") % 3 + 3).cast("int")).alias("key_facts"),
+        F.when(F.col("doc_id") % 2 == 0, F.slice(w, 5, 2)).otherwise(empty).alias("legal_issues"), asked.alias("questions_to_ask"), empty.alias("documents_to_bring"), empty.alias("open_points"),
+    )
+    rows = table(spark, sf_dir, "documents").select("doc_id", result.alias("r"))
+    return rows.select("doc_id", F.sha2(reports.report("lawyer_brief", F.col("r")), 256).alias("report_sha256"))

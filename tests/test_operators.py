@@ -100,8 +100,6 @@ def test_analysis(spark, sources):
     got = {r.id: r for r in analysis.annotated(df, held, "id", "report").collect()}
     assert (got[1].verified, got[1].partial, got[1].unverified) == (1, 0, 1) and got[2].result is None
     assert df.where("valid").select(analysis.score_fits(F.col("parsed.risk_score"), F.col("parsed.overall_risk"))).first()[0]
-    text = df.where("valid").select(analysis.risk_markdown(F.col("parsed"))).first()[0]
-    assert text.index("**u**") < text.index("**t**")
     cache = spark.createDataFrame([("k", 1, "old")], "cache_key string, at int, payload string")
     new = spark.createDataFrame([("k", 2, "new"), ("l", 2, "x")], "cache_key string, at int, payload string")
     assert {(r.cache_key, r.payload) for r in analysis.upsert(cache, new, "cache_key", "at").collect()} == {("k", "new"), ("l", "x")}
