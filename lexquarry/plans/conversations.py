@@ -8,8 +8,8 @@ from pyspark.sql import types as T
 
 from lexquarry.functions import audio
 from lexquarry.functions import text as X
-from lexquarry.operators import chat, fold, store
-from lexquarry.operators.machines import RateLimit, SessionTouch, VoiceActivity, configured
+from lexquarry.operators import chat, fold, replies, store
+from lexquarry.operators.machines import BargeIn, RateLimit, SessionTouch, VoiceActivity, configured
 from lexquarry.plans.registry import query, table
 
 
@@ -151,20 +151,22 @@ def restart_storm(spark, sf_dir):
 
 
 #: Voice activity over events as loudness frames: in each step what a frame does to the state, then what the state signals.
-VAD_SQL = """ e AS (SELECT user_id, event_id, value / 1000 AS level, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+VAD_RULE = """ e AS (SELECT user_id, event_id, value / 1000 AS level, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
  f(user_id, event_id, n, noise, ripe, quiet, latest, signal) AS (SELECT DISTINCT user_id, NULL::BIGINT, 0::BIGINT, 0.005::DOUBLE, NULL::BIGINT, NULL::BIGINT, NULL::BIGINT, NULL::VARCHAR FROM events
- UNION ALL SELECT user_id, event_id, n, noise, CASE WHEN signal = 'end' THEN NULL ELSE ripe END, CASE WHEN signal = 'start' THEN ms + 900 ELSE quiet END, CASE signal WHEN 'start' THEN ripe - 180 + 30000 WHEN 'end' THEN NULL ELSE latest END, signal FROM (
+ UNION ALL SELECT user_id, event_id, n, noise, CASE WHEN signal = 'end' THEN NULL ELSE ripe END, CASE WHEN signal = 'start' THEN ms + {silence} ELSE quiet END, CASE signal WHEN 'start' THEN ripe - {start} + 30000 WHEN 'end' THEN NULL ELSE latest END, signal FROM (
   SELECT *, CASE WHEN latest IS NULL AND ripe IS NOT NULL AND ms >= ripe THEN 'start' WHEN latest IS NOT NULL AND ms >= least(quiet, latest) THEN 'end' END AS signal FROM (
-   SELECT user_id, event_id, n, ms, CASE WHEN NOT loud AND latest IS NULL THEN least(0.2::DOUBLE, noise + 0.05::DOUBLE * (level - noise)) ELSE noise END AS noise,
-    CASE WHEN loud AND latest IS NULL THEN coalesce(ripe, ms + 180) WHEN NOT loud AND latest IS NULL THEN NULL ELSE ripe END AS ripe, CASE WHEN loud AND latest IS NOT NULL THEN ms + 900 ELSE quiet END AS quiet, latest FROM (
-    SELECT e.*, e.n * 500 AS ms, f.noise, f.ripe, f.quiet, f.latest, e.level > 0.012::DOUBLE AND e.level > 2.5::DOUBLE * f.noise AS loud FROM f JOIN e ON e.user_id = f.user_id AND e.n = f.n + 1))))"""
+   SELECT user_id, event_id, n, ms, CASE WHEN ms < 500 + {warm} THEN greatest(noise, level) WHEN NOT loud AND latest IS NULL THEN least(0.2::DOUBLE, noise + 0.05::DOUBLE * (level - noise)) ELSE noise END AS noise,
+    CASE WHEN loud AND latest IS NULL THEN coalesce(ripe, ms + {start}) WHEN NOT loud AND latest IS NULL THEN NULL ELSE ripe END AS ripe, CASE WHEN loud AND latest IS NOT NULL THEN ms + {silence} ELSE quiet END AS quiet, latest FROM (
+    SELECT e.*, e.n * 500 AS ms, f.noise, f.ripe, f.quiet, f.latest, e.n * 500 >= 500 + {warm} AND e.level > {least}::DOUBLE AND e.level > {ratio}::DOUBLE * f.noise AS loud FROM f JOIN e ON e.user_id = f.user_id AND e.n = f.n + 1))))"""
+VAD_SQL = VAD_RULE.format(ratio=2.5, least=0.012, start=180, silence=900, warm=0)
+BARGE_SQL = VAD_RULE.format(ratio=3.2, least=0.03, start=320, silence=900, warm=700)
 
 
-def _frames(spark, sf_dir):
+def _frames(spark, sf_dir, kind=VoiceActivity):
     n = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
     frames = table(spark, sf_dir, "events").select("user_id", "event_id", (F.col("value") / 1000).alias("level"), n.cast("long").alias("n")).withColumn("ms", F.col("n") * 500)
     added = T.StructType([T.StructField("signal", T.StringType())])
-    return frames, fold.ordered_fold(frames, "user_id", ["ms"], added, fold.each(VoiceActivity, (None,))).where("signal IS NOT NULL")
+    return frames, fold.ordered_fold(frames, "user_id", ["ms"], added, fold.each(kind, (None,))).where("signal IS NOT NULL")
 
 
 @query(f"WITH RECURSIVE {VAD_SQL} SELECT user_id, event_id, n * 500 AS ms, signal FROM f WHERE signal IS NOT NULL")
@@ -173,6 +175,12 @@ def vad_sessions(spark, sf_dir):
     return _frames(spark, sf_dir)[1].select("user_id", "event_id", "ms", "signal")
 
 
+@query(f"WITH RECURSIVE {BARGE_SQL} SELECT user_id, event_id, n * 500 AS ms FROM f WHERE signal = 'start'")
+def barge_ins(spark, sf_dir):
+    """Where someone speaks over a voice, whose echo the first frames of a stream hold."""
+    return _frames(spark, sf_dir, BargeIn)[1].select("user_id", "event_id", "ms")
+
+
 @query(f"""WITH RECURSIVE {VAD_SQL}, s AS (SELECT user_id, n, signal, lead(signal) OVER w AS then_, lead(n) OVER w AS last FROM f WHERE signal IS NOT NULL WINDOW w AS (PARTITION BY user_id ORDER BY n)),
  u AS (SELECT s.user_id, s.n AS began, s.last AS ended, count(*) AS frames, round(sum(e.level), 6) AS loudness, string_agg(CAST(e.event_id AS VARCHAR), ',' ORDER BY e.n) AS events FROM s JOIN e ON e.user_id = s.user_id AND e.n BETWEEN s.n - 9 AND s.last WHERE s.signal = 'start' AND s.then_ = 'end' GROUP BY ALL)
  SELECT user_id, began, ended, frames, loudness, 44 + 2 * 2 * frames AS wav_bytes FROM u WHERE frames >= 12""")
@@ -218,3 +226,23 @@ def conversation_store(spark, sf_dir):
     )
     said = F.coalesce(F.array_join(F.transform("messages", lambda m: F.concat(m["seq"].cast("string"), m["role"])), ","), F.lit(""))
     return store.conversations_after(log).select("conv", "session", "title", "n_messages", "updated", said.alias("said"))
+
+
+@query(r"""WITH t AS (SELECT conv_id, turn, string_split(regexp_replace(text, '[\s"\\]+', ' ', 'g'), ' ') AS w FROM conversations WHERE role = 'assistant'),
+ c AS (SELECT conv_id, turn, array_to_string(w[1:4], ' ') || ' ' || array_to_string(w[5:8], ' ') AS text, list_filter(['https://a.example/' || (turn % 3), 'https://b.example/' || w[1], CASE WHEN turn % 2 = 0 THEN '' ELSE 'https://c.example/' END], lambda u: u <> '') AS uris FROM t),
+ u AS (SELECT conv_id, turn, unnest(uris) AS uri, unnest(range(len(uris))) AS pos FROM c), f AS (SELECT conv_id, uri, min(turn * 10 + pos) AS place FROM u GROUP BY conv_id, uri), r AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY place) AS n FROM f),
+ q AS (SELECT conv_id, 'what of ' || (turn % 7) AS query, min(turn) AS place FROM t GROUP BY ALL), p AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY place) AS n FROM q)
+ SELECT a.conv_id, sha256(answer) AS answer_sha256, sources, queries FROM (SELECT conv_id, string_agg(text, '' ORDER BY turn) AS answer FROM c GROUP BY conv_id) a
+  LEFT JOIN (SELECT conv_id, string_agg(uri, ' ' ORDER BY n) AS sources FROM r WHERE n <= 8 GROUP BY conv_id) USING (conv_id) LEFT JOIN (SELECT conv_id, string_agg(query, '|' ORDER BY n) AS queries FROM p WHERE n <= 5 GROUP BY conv_id) USING (conv_id)""")
+def streamed_answers(spark, sf_dir):
+    """Each conversation's assistant turns as chunks of one streamed reply, with thoughts, searches and web sources."""
+    w = F.split(F.regexp_replace("text", r'[\s"\\]+', " "), " ")
+    part = lambda text, thought: F.struct(text.alias("text"), F.lit(thought).alias("thought"))
+    parts = F.array(part(F.array_join(F.slice(w, 1, 4), " "), False), part(F.lit(" a thought "), True), part(F.concat(F.lit(" "), F.array_join(F.slice(w, 5, 4), " ")), False))
+    turn = F.col("turn")
+    uris = F.array(F.concat(F.lit("https://a.example/"), (turn % 3).cast("string")), F.concat(F.lit("https://b.example/"), F.get(w, F.lit(0))), F.when(turn % 2 != 0, "https://c.example/").otherwise(""))
+    found = F.struct(F.array(F.concat(F.lit("what of "), (turn % 7).cast("string"))).alias("web_search_queries"), F.transform(uris, lambda u: F.struct(F.struct(u.alias("uri")).alias("web"))).alias("grounding_chunks"))
+    chunk = F.to_json(F.struct(F.array(F.struct(F.struct(parts.alias("parts")).alias("content"), found.alias("grounding_metadata"))).alias("candidates")))
+    chunks = table(spark, sf_dir, "conversations").where("role = 'assistant'").select(F.col("conv_id").alias("answer_id"), turn.alias("seq"), chunk.alias("chunk"))
+    rows = replies.answers(chunks)
+    return rows.select(F.col("answer_id").alias("conv_id"), F.sha2("answer", 256).alias("answer_sha256"), F.array_join(F.transform("web_sources", lambda s: s["uri"]), " ").alias("sources"), F.array_join("search_queries", "|").alias("queries"))

@@ -1,3 +1,5 @@
+import json
+
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -5,7 +7,7 @@ from pyspark.sql import types as T
 from lexquarry.operators import analysis, chat, fold, store
 from lexquarry.operators import grounding as G
 from lexquarry.operators import retrieval as R
-from lexquarry.operators.machines import EventParser, RateLimit, Sentences, SessionTouch, VoiceActivity, configured
+from lexquarry.operators.machines import BargeIn, EventParser, RateLimit, Sentences, SessionTouch, VoiceActivity, configured
 
 CLAUSE = "The tenant shall pay a refundable security deposit of Rs. 50,000 before moving in. Either party may terminate with 30 days written notice."
 
@@ -76,6 +78,32 @@ def test_voice_activity():
     assert [s for _, s in out] == ["start", "end"] and out[0][0] == 700
 
 
+def test_barge_in():
+    """Levels up to the echo's do not count; one clearly above it for long enough does."""
+    machine, out = BargeIn(), []
+    for t in range(0, 3000, 50):
+        level = 0.05 if t < 700 else 0.12 if t < 1500 else 0.4
+        out += [(t, s) for (s,) in machine.take({"ms": t, "level": level})]
+    assert out == [(1850, "start")]
+
+
+def test_replies(spark):
+    from lexquarry.operators import replies
+
+    def chunk(parts, queries=None, web=None):
+        meta = {"web_search_queries": queries, "grounding_chunks": [{"web": w} for w in web] if web is not None else None} if queries or web else None
+        return json.dumps({"candidates": [{"content": {"parts": parts}, "grounding_metadata": meta}]})
+
+    u = lambda uri, title=None, domain=None: {"uri": uri, "title": title, "domain": domain}
+    rows = [
+        (1, 2, chunk([{"text": " world"}], ["b", "a"], [u("x", "later"), u("y", None, "y.org"), u("", "none"), None])), (1, 1, chunk([{"text": "thinking", "thought": True}, {"text": "Hello", "thought": False}, {}], ["a"], [u("x", "X")])),
+        (1, 3, "no json"), (1, 4, None), (1, 5, '{"candidates": null}'), (1, 6, '{"candidates": [{"content": null}]}'), (2, 1, chunk([], [f"q{i % 8}" for i in range(20)], [u(f"u{i}") for i in range(20)])),
+    ]
+    got = {r.answer_id: r for r in replies.answers(spark.createDataFrame(rows, "answer_id int, seq int, chunk string")).collect()}
+    assert got[1].answer == "Hello world" and got[1].search_queries == ["a", "b"] and [tuple(s) for s in got[1].web_sources] == [("X", "x"), ("y.org", "y")]
+    assert got[2].answer == "" and got[2].search_queries == [f"q{i}" for i in range(5)] and [tuple(s) for s in got[2].web_sources] == [("Source", f"u{i}") for i in range(8)]
+
+
 def test_stream_parsers():
     parser = EventParser()
     assert parser.take({"piece": "event: delta\r\ndata: {\"a\""}) == []
