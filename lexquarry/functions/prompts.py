@@ -117,3 +117,20 @@ def web_sources(cited: DataFrame, answer: str, place: str, most: int = 8) -> Dat
     # the filter is on the number itself, so that Spark limits each answer's rows before the shuffle
     ranked = first.withColumn("rank", rank).where(F.col("rank") <= most)
     return ranked.select(answer, F.col("rank").cast("long").alias("rank"), "uri", F.coalesce(blank(F.col("title")), blank(F.col("domain")), F.lit("Source")).alias("title"))
+
+
+#: Languages that can be asked for, with the tags of their speech, and jurisdictions.
+LANGUAGES = {
+    "English": "en-IN", "Hindi": "hi-IN", "Tamil": "ta-IN", "Telugu": "te-IN", "Kannada": "kn-IN", "Malayalam": "ml-IN", "Bengali": "bn-IN", "Marathi": "mr-IN", "Gujarati": "gu-IN", "Punjabi": "pa-IN", "Urdu": "ur-IN", "Odia": "or-IN",
+    "Spanish": "es-ES", "French": "fr-FR", "German": "de-DE", "Portuguese": "pt-BR", "Arabic": "ar-SA", "Chinese (Simplified)": "zh-CN", "Japanese": "ja-JP",
+}
+JURISDICTIONS = ["Auto-detect", "India", "United States", "United Kingdom", "European Union", "Canada", "Australia", "Singapore", "United Arab Emirates", "Other / International"]
+
+
+def options(language: Column, jurisdiction: Column, role: Column) -> Column:
+    """(language, tag, jurisdiction, role, problem) of a request: what is not given gets its default, blanks of a role are collapsed,
+    and problem says what is not known or too long."""
+    language, jurisdiction, role = F.coalesce(language, F.lit("English")), F.coalesce(jurisdiction, F.lit("Auto-detect")), F.coalesce(role, F.lit(""))
+    problem = F.when(~language.isin(*LANGUAGES), "unsupported language").when(~jurisdiction.isin(*JURISDICTIONS), "unsupported jurisdiction").when(F.length(role) > 80, "role too long")
+    tag = F.get(F.filter(F.array(*[F.struct(F.lit(k).alias("name"), F.lit(v).alias("tag")) for k, v in LANGUAGES.items()]), lambda x: x["name"] == language), F.lit(0))["tag"]
+    return F.struct(language.alias("language"), tag.alias("tag"), jurisdiction.alias("jurisdiction"), squeeze(role).alias("role"), problem.alias("problem"))

@@ -141,7 +141,17 @@ def quote_check(spark, sf_dir):
     return G.check(*_quotes(spark, sf_dir))
 
 
-@query()
+#: The fragments of each shortened passage in the place of the passages, numbered within them.
+ELIDED_SQL = CHECK_SQL.replace(
+    f"b AS (SELECT item_id AS quote_id, {WORDS_SQL.format('text')} AS w FROM benchmark)",
+    f"""z AS (SELECT item_id, array_to_string(p[1:8], ' ') || ' ... ' || array_to_string(p[greatest(len(p) - 7, 1):greatest(len(p) - 7, 1) + 7], ' ') AS quote FROM (SELECT item_id, string_split(text, ' ') AS p FROM benchmark)),
+ y AS (SELECT item_id, quote, list_filter(string_split_regex(quote, '\\.{{3,}}|\\[\\.\\.\\.\\]|…'), lambda x: len({WORDS_SQL.format('x')}) >= 3) AS parts FROM z),
+ x AS (SELECT item_id, CASE WHEN len(parts) >= 2 THEN parts ELSE [quote] END AS parts FROM y), b AS (SELECT item_id * 1000 + no AS quote_id, {WORDS_SQL.format('part')} AS w FROM (SELECT item_id, unnest(range(len(parts))) AS no, unnest(parts) AS part FROM x))""",
+)
+
+
+@query(f"""WITH {ELIDED_SQL}, rk AS (SELECT quote_id // 1000 AS quote_id, row_number() OVER (PARTITION BY quote_id // 1000 ORDER BY CASE status WHEN 'unverified' THEN 0 WHEN 'partial' THEN 1 ELSE 2 END, coverage, st.quote_id) AS n, status, coverage, source_id FROM st)
+ SELECT quote_id, status, coverage, source_id FROM rk WHERE n = 1""")
 def elided_quote(spark, sf_dir):
     """Benchmark passages with their middle left out: each must hold fragment by fragment."""
     quotes, sources = _quotes(spark, sf_dir)

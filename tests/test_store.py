@@ -52,3 +52,11 @@ def test_web_sources(spark):
     got = P.web_sources(spark.createDataFrame(rows, "answer int, place int, uri string, title string, domain string"), "answer", "place").orderBy("answer", "rank").collect()
     assert [(r.rank, r.uri, r.title) for r in got if r.answer == 1] == [(1, "u1", "First"), (2, "u2", "host"), (3, "u3", "Source")]
     assert [r.title for r in got if r.answer == 2] == ["Source"] and len([r for r in got if r.answer == 3]) == 8
+
+
+def test_options(spark):
+    rows = [(None, None, None), ("Hindi", "India", "  tenant \n of  a flat "), ("Klingon", "India", ""), ("English", "Mars", ""), ("English", "Canada", "x" * 81), ("english", "Canada", "")]
+    df = spark.createDataFrame(rows, "l string, j string, r string")
+    got = [r[0] for r in df.select(P.options(F.col("l"), F.col("j"), F.col("r"))).collect()]
+    assert [(g.language, g.tag, g.jurisdiction, g.role, g.problem) for g in got[:2]] == [("English", "en-IN", "Auto-detect", "", None), ("Hindi", "hi-IN", "India", "tenant of a flat", None)]
+    assert [g.problem for g in got[2:]] == ["unsupported language", "unsupported jurisdiction", "role too long", "unsupported language"]
