@@ -25,17 +25,23 @@ def found(quotes: DataFrame, sources: DataFrame, scope: list[str] = []) -> DataF
     fewer words), whether they hold its words in a row, and which share of its distinct runs they hold.
 
     Quotes (quote_id, quote) meet sources (source_id, text) of the same scope only. Sources are read once: runs that no quote
-    has go before anything is shuffled, the others meet quotes by equality, and a quote is held in a row where all its runs are
+    has go before runs are shuffled, the others meet quotes by equality, and a quote is held in a row where all its runs are
     at places that differ from theirs by one number. Work grows with the shared runs, not with the pairs.
     """
     w = F.col("w")
     asked = quotes.select(*scope, "quote_id", X.normal_words(X.nfkc(F.col("quote"))).alias("w")).where(F.size(w) > 0)
     short = F.array(F.struct(F.lit(0).alias("i"), F.array_join(w, " ").alias("gram")))
-    asked = asked.select(*scope, "quote_id", F.when(F.size(w) >= 3, _runs(w, (3,))).otherwise(short).alias("runs"))
+    asked = asked.select(*scope, "quote_id", F.size(w).alias("words"), F.when(F.size(w) >= 3, _runs(w, (3,))).otherwise(short).alias("runs"))
     distinct = F.size(F.array_distinct(F.transform("runs", lambda r: r["gram"])))
-    asked = asked.select(*scope, "quote_id", F.size("runs").alias("places"), distinct.alias("total"), F.inline("runs").alias("i", "gram"))
-    held = sources.select(*scope, "source_id", X.normal_words(X.nfkc(F.col("text"))).alias("w")).select(*scope, "source_id", F.inline(_runs(w, (1, 2, 3))).alias("at", "gram"))
-    held = held.join(asked.select(*scope, "gram").distinct(), [*scope, "gram"], "left_semi")
+    asked = asked.select(*scope, "quote_id", "words", F.size("runs").alias("places"), distinct.alias("total"), F.inline("runs").alias("i", "gram"))
+    words = X.normal_words(X.nfkc(F.col("text"))).alias("w")
+    if scope:  # a source meets the few runs of its scope in its own row, so texts are shuffled, not their runs
+        wanted = asked.groupBy(*scope).agg(F.collect_set(F.xxhash64("gram")).alias("wanted"), F.bool_or(F.col("words") < 3).alias("short"))
+        rows = sources.join(wanted, scope).select(*scope, "source_id", "wanted", "short", words)
+        runs = F.when(F.col("short"), _runs(w, (1, 2, 3))).otherwise(_runs(w, (3,)))
+        held = rows.select(*scope, "source_id", F.inline(F.filter(runs, lambda r: F.array_contains("wanted", F.xxhash64(r["gram"])))).alias("at", "gram"))
+    else:
+        held = sources.select("source_id", words).select("source_id", F.inline(_runs(w, (1, 2, 3))).alias("at", "gram")).join(asked.select("gram").distinct(), "gram", "left_semi")
     key = [*scope, "quote_id", "source_id", "places", "total"]
     shifted = asked.join(held, [*scope, "gram"]).groupBy(*key, (F.col("at") - F.col("i")).alias("shift")).agg(F.count("*").alias("n"), F.collect_set("gram").alias("grams"))
     met = shifted.groupBy(*key).agg(F.max("n").alias("n"), F.size(F.array_distinct(F.flatten(F.collect_list("grams")))).alias("shared"))
