@@ -62,7 +62,9 @@ def context_label(*parts: Column) -> Column:
 def retry_after(message: Column) -> Column:
     """Seconds to wait that an error tells, between 5 and 3,600, or 60."""
     told = F.regexp_extract(message, r"(?i)retry(?:delay|\s+(?:after|in))\D{0,4}(\d+)", 1)
-    return F.greatest(F.lit(5), F.least(F.lit(3600), F.coalesce(F.try_to_number(told, F.lit("999999")).cast("int"), F.lit(60))))
+    digits = F.regexp_replace(told, "^0+(?=.)", "")
+    # a number of any length: one of five digits or more is over the most
+    return F.greatest(F.lit(5), F.when(F.coalesce(told, F.lit("")) == "", 60).when(F.length(digits) > 4, 3600).otherwise(F.least(F.lit(3600), digits.try_cast("int"))))
 
 
 def error_class(status: Column) -> Column:

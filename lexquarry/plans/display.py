@@ -41,7 +41,7 @@ def web_sources(spark, sf_dir):
 @query("""SELECT event_id, CASE WHEN CAST(value AS INT) % 600 = 429 THEN 'busy' WHEN CAST(value AS INT) % 600 >= 500 THEN 'unavailable' WHEN CAST(value AS INT) % 600 IN (401, 403) THEN 'denied' WHEN CAST(value AS INT) % 600 = 400 THEN 'rejected' ELSE 'failed' END AS kind,
  greatest(5, least(3600, event_id))::INT AS wait FROM events""")
 def error_envelopes(spark, sf_dir):
-    events = table(spark, sf_dir, "events").select("event_id", (F.round("value", 0).cast("int") % 600).alias("status"))
+    events = table(spark, sf_dir, "events").select("event_id", (F.rint("value").cast("int") % 600).alias("status"))
     told = F.concat(F.lit("quota: please retry in "), F.col("event_id").cast("string"), F.lit("s"))
     return events.select("event_id", P.error_class(F.col("status")).alias("kind"), P.retry_after(told).alias("wait"))
 

@@ -74,6 +74,21 @@ def test_prompts_and_labels(spark):
     assert [(m.start, m.length) for m in marks] == [(5, 4), (13, 3)]
 
 
+@pytest.mark.parametrize("told,wait", [("999999", 3600), ("1000000", 3600), ("9" * 60, 3600), ("0000012", 12), ("000", 5), ("3599", 3599), ("10000", 3600)])
+def test_retry_after_any_length(spark, told, wait):
+    from lexquarry.functions import prompts as P
+
+    assert one(spark, lambda c: P.retry_after(c), f"quota: please retry in {told}s") == wait
+
+
+def test_statuses_round_half_to_even(spark, tmp_path):
+    """As DuckDB casts doubles to integers."""
+    from lexquarry.plans import display
+
+    spark.createDataFrame([(1, 428.5), (2, 429.5), (3, 400.5), (4, 499.5)], "event_id long, value double").write.parquet(str(tmp_path / "events.parquet"))
+    assert [r.kind for r in display.error_envelopes(spark, str(tmp_path)).orderBy("event_id").collect()] == ["failed", "failed", "rejected", "unavailable"]
+
+
 def test_pcm16(spark):
     from pyspark.sql import functions as F
 
