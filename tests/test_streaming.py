@@ -75,6 +75,27 @@ def test_utterances_batch_equals_stream(spark, tmp_path):
     assert sorted((r.key, round(r.due, 6), r.text) for r in got) == sorted((r.key, round(r.due, 6), r.text) for r in batch) == want
 
 
+def test_results_of_one_time(spark):
+    """They are taken in the order of the column that tells them apart, and the last one says what is open and how long."""
+    rows = [("s", 2, 10.0, "click", None), ("s", 1, 10.0, "view", None), ("t", 1, 10.0, None, "un"), ("t", 2, 10.0, "done", None), ("u", 2, 10.0, None, "un"), ("u", 1, 10.0, "done", None)]
+    results = spark.createDataFrame(rows, "key string, n int, at double, final string, interim string").repartition(3)
+    got = chat.utterances(results, "key", "at", "final", "interim", tie="n").collect()
+    assert sorted((r.key, round(r.due, 6), r.text) for r in got) == [("s", 11.1, "view click"), ("t", 11.1, "done"), ("u", 11.8, "done un")]
+
+
+def test_utterances_are_rounded_as_in_sql(spark, tmp_path):
+    """A time a hair below a half, as a double holds it, is a half once it is scaled."""
+    import duckdb
+
+    from lexquarry.plans import catalog
+
+    spark.sql("SELECT 500 * id + 4 - id % 9 AS event_id, timestamp_ntz'2024-01-02 08:26:07' AS ts, id AS user_id, 'view' AS event_type, 1.0D AS value FROM range(20000)").coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    got = sorted(map(tuple, catalog.queries()["utterances"](spark, str(tmp_path)).collect()))
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    assert got == sorted(con.sql(catalog.oracle_sql()["utterances"]).fetchall())
+
+
 def test_event_sessions(spark, tmp_path):
     spark.sql("SELECT 'u' AS user_id, timestamp_ntz'2024-01-01 00:00:00' AS ts UNION ALL SELECT 'u', timestamp_ntz'2024-01-01 00:30:00' UNION ALL SELECT 'u', timestamp_ntz'2024-01-01 05:00:00'").coalesce(1).write.parquet(str(tmp_path / "e"))
     stream = spark.readStream.schema("user_id string, ts timestamp_ntz").parquet(str(tmp_path / "e"))
