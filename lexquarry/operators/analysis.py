@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lexquarry.operators import grounding as G
+from lexquarry.operators.kept import stored
 
 #: The part of a risk report that its queries use.
 RISK_REPORT = "overall_risk string, risk_score int, verdict string, clauses array<struct<category string, title string, risk string, quote string, location string>>, red_flags array<struct<issue string, quote string>>"
@@ -86,11 +87,13 @@ def annotated(results: DataFrame, sources: DataFrame, id: str, json: str, rules:
     """(id, result, verified, partial, unverified): each JSON result with the status of every quote beside it, and their counts.
 
     sources: (id, source_id, text[, side]) are those of each result. A blank quote has status none and is not counted; a field of
-    a quote's name that holds no string is looked into as any other. A text that is no JSON has no result and zeros.
+    a quote's name that holds no string is looked into as any other. A text that is no JSON has no result and zeros. Results and
+    their quotes are each made once and kept in the shared folder, as several steps read them.
     """
+    results = stored(results.select(id, json))
     held = sources if "side" in sources.columns else sources.withColumn("side", F.lit(ANY_SIDE))
     held = held.select(id, "source_id", "text", F.explode(F.array_distinct(F.array("side", F.lit(ANY_SIDE)))).alias("side"))
-    quotes = quotes_of(results, id, json, rules, depth).withColumnRenamed("path", "quote_id")
+    quotes = stored(quotes_of(results, id, json, rules, depth).withColumnRenamed("path", "quote_id"))
     checked = G.check_elided(quotes, held, [id, "side"]).groupBy(id).agg(
         F.collect_list("quote_id").alias("paths"), F.collect_list("status").alias("statuses"), *[F.count_if(F.col("status") == s).alias(s) for s in COUNTED]
     )

@@ -6,16 +6,25 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexquarry.functions import text as X
+from lexquarry.operators.kept import stored
 
 VERIFIED, PARTIAL = 0.9, 0.6
 
 
-def _runs(words: Column, sizes: tuple[int, ...]) -> Column:
-    """Structs (i, gram): every run of so many neighbouring words with the place of its first."""
+def _hash(words: Column, i: Column, n: int) -> Column:
+    """Of the n words from place i on; those that are not there count for nothing."""
+    return F.xxhash64(*[F.get(words, i + k) for k in range(n)])
+
+
+def _runs(words: Column, sizes: tuple[int, ...], wanted: Column | None = None) -> Column:
+    """Structs (i, gram): every run of so many neighbouring words with the place of its first, or only those whose hash is wanted."""
 
     def of(n: int) -> Column:
         run = lambda i: F.struct(i.alias("i"), F.concat_ws(" ", *[F.get(words, i + k) for k in range(n)]).alias("gram"))
-        return F.when(F.size(words) >= n, F.transform(F.sequence(F.lit(0), F.size(words) - n), run)).otherwise(F.array().cast("array<struct<i:int,gram:string>>"))
+        places = F.sequence(F.lit(0), F.size(words) - n)
+        if wanted is not None:  # most runs go before they are made
+            places = F.filter(places, lambda i: F.array_contains(wanted, _hash(words, i, n)))
+        return F.when(F.size(words) >= n, F.transform(places, run)).otherwise(F.array().cast("array<struct<i:int,gram:string>>"))
 
     return F.flatten(F.array(*map(of, sizes)))
 
@@ -33,13 +42,16 @@ def found(quotes: DataFrame, sources: DataFrame, scope: list[str] = []) -> DataF
     short = F.array(F.struct(F.lit(0).alias("i"), F.array_join(w, " ").alias("gram")))
     asked = asked.select(*scope, "quote_id", F.size(w).alias("words"), F.when(F.size(w) >= 3, _runs(w, (3,))).otherwise(short).alias("runs"))
     distinct = F.size(F.array_distinct(F.transform("runs", lambda r: r["gram"])))
-    asked = asked.select(*scope, "quote_id", "words", F.size("runs").alias("places"), distinct.alias("total"), F.inline("runs").alias("i", "gram"))
+    asked = asked.select(*scope, "quote_id", "words", F.size("runs").alias("places"), distinct.alias("total"), "runs")
+    if scope:  # every scope has quotes of its own, so they may be as many as the sources
+        asked = stored(asked)
+    asked = asked.select(*scope, "quote_id", "words", "places", "total", F.inline("runs").alias("i", "gram"))
     words = X.normal_words(X.nfkc(F.col("text"))).alias("w")
     if scope:  # a source meets the few runs of its scope in its own row, so texts are shuffled, not their runs
-        wanted = asked.groupBy(*scope).agg(F.collect_set(F.xxhash64("gram")).alias("wanted"), F.bool_or(F.col("words") < 3).alias("short"))
+        wanted = asked.groupBy(*scope).agg(F.collect_set(_hash(F.split("gram", " "), F.lit(0), 3)).alias("wanted"), F.bool_or(F.col("words") < 3).alias("short"))
         rows = sources.join(wanted, scope).select(*scope, "source_id", "wanted", "short", words)
-        runs = F.when(F.col("short"), _runs(w, (1, 2, 3))).otherwise(_runs(w, (3,)))
-        held = rows.select(*scope, "source_id", F.inline(F.filter(runs, lambda r: F.array_contains("wanted", F.xxhash64(r["gram"])))).alias("at", "gram"))
+        runs = F.when(F.col("short"), _runs(w, (1, 2, 3), F.col("wanted"))).otherwise(_runs(w, (3,), F.col("wanted")))
+        held = rows.select(*scope, "source_id", F.inline(runs).alias("at", "gram"))
     else:
         held = sources.select("source_id", words).select("source_id", F.inline(_runs(w, (1, 2, 3))).alias("at", "gram")).join(asked.select("gram").distinct(), "gram", "left_semi")
     key = [*scope, "quote_id", "source_id", "places", "total"]
@@ -79,8 +91,10 @@ def check(quotes: DataFrame, sources: DataFrame, scope: list[str] = []) -> DataF
 
 def check_elided(quotes: DataFrame, sources: DataFrame, scope: list[str] = []) -> DataFrame:
     """As check(), but a quote with an ellipsis between runs of three words or more counts as the worst of these."""
-    parts = F.filter(F.split("quote", r"\.{3,}|\[\.\.\.\]|…"), lambda p: F.size(X.normal_words(p)) >= 3)
-    pieces = quotes.select(*scope, "quote_id", F.posexplode(F.when(F.size(parts) >= 2, parts).otherwise(F.array("quote"))).alias("no", "quote"))
+    ellipsis = r"\.{3,}|\[\.\.\.\]|…"
+    parts = F.filter(F.split("quote", ellipsis), lambda p: F.size(X.normal_words(p)) >= 3)
+    cut = F.when(F.col("quote").rlike(ellipsis) & (F.size(parts) >= 2), parts).otherwise(F.array("quote"))
+    pieces = quotes.select(*scope, "quote_id", F.posexplode(cut).alias("no", "quote"))
     checked = check(pieces.select(*scope, F.struct("quote_id", "no").alias("quote_id"), "quote"), sources, scope)
     rank = F.when(F.col("status") == "unverified", 0).when(F.col("status") == "partial", 1).when(F.col("status") == "verified", 2).otherwise(3)
     worst = F.min(F.struct(rank.alias("r"), F.col("coverage").alias("coverage"), F.col("quote_id.no").alias("no"), F.col("status").alias("status"), F.col("source_id").alias("source_id")))

@@ -2,6 +2,8 @@
 
 import json
 
+from pyspark.sql import functions as F
+
 from lexquarry.operators import analysis
 
 LEASE = "The deposit shall be refunded within 30 days. Either party may end this lease with one month's written notice."
@@ -46,3 +48,17 @@ def test_compared_sides(spark):
 def test_nesting(spark):
     df = spark.createDataFrame([('{"a": [[{"b": 1}], {"c": "]] [[[[[ \\" [[["}]}',), ("[1, 2]",), ("bad [[[[[[",), (None,)], "body string")
     assert analysis.nesting(df, "body") == 4 and analysis.nesting(df.where("false"), "body") == 0
+
+
+def test_results_are_made_once(spark):
+    """However many steps read results and quotes, a row's result is made once."""
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def result(text):
+        made.add(1)
+        return '{"clauses": [{"quote": "' + text + '"}, {"quote": "of nobody at all"}]}'
+
+    docs = spark.createDataFrame([(i, f"the rent of flat {i} is due") for i in range(20)], "id long, text string")
+    rows = analysis.annotated(docs.select("id", result("text").alias("result")), docs.withColumn("source_id", F.col("id")), "id", "result").collect()
+    assert {(r.verified, r.partial, r.unverified) for r in rows} == {(1, 0, 1)} and len(rows) == 20 and made.value == 20
