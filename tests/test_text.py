@@ -89,6 +89,20 @@ def test_statuses_round_half_to_even(spark, tmp_path):
     assert [r.kind for r in display.error_envelopes(spark, str(tmp_path)).orderBy("event_id").collect()] == ["failed", "failed", "rejected", "unavailable"]
 
 
+def test_first_rows(spark):
+    """A window gets the rows it needs and few others, not a whole sheet."""
+    rows = spark.range(0, 40000, 2).select(F.when(F.col("id") % 20 == 0, None).when(F.col("id") % 3 == 0, "a").otherwise("b").alias("sheet"), (F.col("id") - 7000).alias("k"))
+    kept = {}
+    for r in X.first_rows(rows, "sheet", "k", 1500).collect():
+        kept.setdefault(r.sheet, []).append(r.k)
+    whole = {}
+    for r in rows.collect():
+        whole.setdefault(r.sheet, []).append(r.k)
+    for sheet, ks in whole.items():
+        assert set(sorted(ks)[:1500]) <= set(kept[sheet]) <= set(ks) and len(kept[sheet]) <= 1500 + 512
+    assert X.first_rows(rows.where("false"), "sheet", "k", 5).count() == 0
+
+
 def test_pcm16(spark):
     from pyspark.sql import functions as F
 
