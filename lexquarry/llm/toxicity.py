@@ -65,26 +65,45 @@ class SubsequenceKernel:
         return np.array([w.ljust(width, "\0") for w in words], dtype=f"<U{max(width, 1)}").view(np.uint32).reshape(len(words), -1) if width else np.zeros((len(words), 0), np.uint32)
 
     def _raw(self, codes: np.ndarray, other: str) -> np.ndarray:
-        """The kernel of each row with one word: Lodhi's recursion, for all rows at once."""
+        """The kernel of each row with one word: Lodhi's recursion, for all rows at once. Rows come by rising length; those
+        that have ended take no part in further steps."""
         rows, n, decay, width = len(codes), self.n, np.float32(self.decay), len(other)
         total = np.zeros(rows, np.float32)
         # part[i][j]: weights of the subsequences of i characters in what is read of the rows and in other[:j], up to their ends
         part = np.zeros((n, width + 1, rows), np.float32)
         part[0] = 1
-        for k in range(codes.shape[1]):
-            hits = [(codes[:, k] == ord(c)).astype(np.float32) for c in other]
+        lengths = (codes != 0).sum(axis=1)
+        run, more = np.empty(rows, np.float32), np.empty(rows, np.float32)
+        for k, first in enumerate(np.searchsorted(lengths, np.arange(codes.shape[1]), side="right").tolist()):
+            if first == rows:
+                break
+            now = codes[first:, k]
+            each = {c: (now == ord(c)).astype(np.float32) for c in set(other)}
+            hits = [each[c] for c in other]
+            here, sums, r, m = part[:, :, first:], total[first:], run[first:], more[first:]
             for j in range(n - 1, width):
-                total += hits[j] * part[n - 1, j]
-            for i in range(n - 1, 0, -1):
-                run = np.zeros(rows, np.float32)
-                for j in range(1, width + 1):
-                    run = decay * run + hits[j - 1] * part[i - 1, j - 1] if j > i - 1 else run
-                    part[i, j] = decay * part[i, j] + run
+                sums += np.multiply(hits[j], here[n - 1, j], out=m)
+            for i in range(min(n - 1, k + 1), 0, -1):  # no subsequence is longer than what is read
+                r.fill(0)
+                for j in range(i, width + 1):
+                    r *= decay
+                    r += np.multiply(hits[j - 1], here[i - 1, j - 1], out=m)
+                    at = here[i, j]
+                    at *= decay
+                    at += r
         return total
 
     def against(self, words: list[str], landmarks: list[str]) -> np.ndarray:
         """A row for each word, a column for each landmark. Words that lack over a third of its letters count as unlike: 0."""
         out = np.zeros((len(words), len(landmarks)), np.float32)
+        own = [Counter(mark) for mark in landmarks]
+        # a letter that occurs k times is held once for each number up to k, so what two words share is a matrix product
+        times = sorted({(c, k) for held in own for c, n in held.items() if c not in START + END for k in range(1, n + 1)})
+        wanted = np.array([[held[c] >= k for held in own] for c, k in times], np.float32).reshape(len(times), len(landmarks))
+        letters = {c: i for i, c in enumerate(sorted({c for c, _ in times}), 1)}
+        kind = np.zeros(max(map(ord, letters), default=0) + 2, np.int64)
+        kind[[ord(c) for c in letters]] = list(letters.values())
+        least = np.array([-(-2 * len(mark.strip(START + END)) // 3) for mark in landmarks])
         order = np.argsort(np.fromiter(map(len, words), np.int64, len(words)), kind="stable")
         for at in range(0, len(order), 8192):
             some = order[at : at + 8192]
@@ -93,10 +112,13 @@ class SubsequenceKernel:
                 continue
             sizes = np.fromiter((len(words[i]) for i in some), np.int64, len(some))
             scale = np.sqrt(self.own[np.minimum(sizes, self.level)])
-            counts = {c: (codes == ord(c)).sum(axis=1) for c in set("".join(landmarks)) - set(START + END)}
+            filled = codes != 0
+            each = kind[np.minimum(codes[filled], len(kind) - 1)] + np.repeat(np.arange(len(some)) * (len(letters) + 1), filled.sum(axis=1))
+            counts = np.bincount(each, minlength=len(some) * (len(letters) + 1)).reshape(len(some), -1)
+            held = np.array([counts[:, letters[c]] >= k for c, k in times], np.float32).reshape(len(times), len(some))
+            alike = held.T @ wanted >= least
             for j, mark in enumerate(landmarks):
-                shared = sum((np.minimum(counts[c], n) for c, n in Counter(mark).items() if c in counts), np.zeros(len(some), np.int64))
-                can = np.flatnonzero(shared >= -(-2 * len(mark.strip(START + END)) // 3))
+                can = np.flatnonzero(alike[:, j])
                 if len(can):
                     out[some[can], j] = self._raw(codes[can], mark) / (scale[can] * np.sqrt(self.own[min(len(mark), self.level)]))
         return out
@@ -308,17 +330,18 @@ def score(df: DataFrame, model: Model, text: str = "text", carry: list[str] | No
     at = df.columns.index(text)
 
     def start():
-        kernel, known = SubsequenceKernel(model.n, model.decay), {}
+        kernel, known, alike = SubsequenceKernel(model.n, model.decay), {}, {}  # alike: each pair of margins once
 
         def margins(texts: list[str]) -> list[list[float]]:
             lists = [words_of(t) for t in texts]
             new = {w for ws in lists for w in ws if w not in known}
             if len(known) + len(new) > most_known:
                 known.clear()
+                alike.clear()
                 new = {w for ws in lists for w in ws}
             bare = {letters(w) for w in new}
             bare = sorted(bare)
-            got = dict(zip(bare, zip(*(x.tolist() for x in model.margins(kernel, bare)))))
+            got = {w: alike.setdefault(m, m) for w, m in zip(bare, zip(*(x.tolist() for x in model.margins(kernel, bare))))}
             known.update((w, got[letters(w)]) for w in new)
             return [tops(map(known.__getitem__, set(ws))) for ws in lists]
 

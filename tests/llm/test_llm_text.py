@@ -1,6 +1,7 @@
 """Operators that take texts one by one, against plain Python."""
 
 import random
+import time
 import zlib
 from collections import defaultdict
 
@@ -283,3 +284,22 @@ def test_toxicity(spark, odd):
     assert toxicity.keep_clean(df, model).count() == 40
     assert len(toxicity.score(odd, model).collect()) == len(ODD) and toxicity.keep_clean(odd, model).columns == odd.columns
     assert toxicity.train(["a"], [0]).landmarks and toxicity.score(df, toxicity.train([], [])).where("toxicity >= 0.5").count() == 0
+
+
+def test_a_long_word_does_not_widen_the_others():
+    """The kernel's work goes with each word's own length, not with the longest word scored beside it; values stay the same."""
+    kernel, draw = toxicity.SubsequenceKernel(), random.Random(6)
+    short = ["^^" + "".join(draw.choice("loser") for _ in range(5)) + "$" for _ in range(6000)]
+    marks = ["^^loser$"]
+
+    def seconds(words):
+        took = []
+        for _ in range(7):
+            began = time.process_time()
+            rows = kernel.against(words, marks)
+            took.append(time.process_time() - began)
+        return min(took), rows
+
+    alone, rows = seconds(short)
+    beside, more = seconds(short + ["^^" + 28 * "x" + "$"])
+    assert beside < 1.6 * alone and (more[:-1] == rows).all()
