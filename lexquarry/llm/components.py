@@ -9,10 +9,10 @@ from lexquarry.llm.common import cut
 
 
 def _large(links: DataFrame) -> DataFrame:
-    """Each node's larger neighbours move to the least of the node and its neighbours."""
+    """Each node's larger neighbours move to the least of the node and its neighbours. Some rows may be repeated."""
     both = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-    return both.where("b > a").join(least, "a").select(F.col("b").alias("b"), F.col("m").alias("a")).where("a < b").distinct()
+    return both.where("b > a").join(least, "a").select(F.col("b").alias("b"), F.col("m").alias("a")).where("a < b")
 
 
 def _small(links: DataFrame) -> DataFrame:
@@ -22,18 +22,20 @@ def _small(links: DataFrame) -> DataFrame:
     return moved.union(least.select("b", F.col("m").alias("a"))).distinct()
 
 
-def components(links: DataFrame, rounds: int = 60) -> DataFrame:
+def components(links: DataFrame, rounds: int = 60, rows: int = 100_000) -> DataFrame:
     """(node, root) for every node that has a link: root is the least node of its component.
 
     links has a < b (any orderable type), without nulls or repeats. Rounds of large and small stars until nothing changes,
     about the logarithm of the longest chain; each keeps at most as many rows as it was given, aggregates before it
     shuffles, and joins on a node, which adaptive execution splits where one node has a large share. Each round is written
-    to the shared folder. An empty table gives an empty table.
+    to the shared folder, in as many parts as have about `rows` links each, so that few links leave few files. An empty table
+    gives an empty table.
     """
     links = cut(links.select("a", "b"))
-    seen = None
+    parts = links.count() // rows + 1
+    links, seen = links.coalesce(parts), None
     for _ in range(rounds):
-        links = cut(_small(_large(links)))
+        links = cut(_small(_large(links)).coalesce(parts))
         now = links.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == seen:
             return links.select(F.col("b").alias("node"), F.col("a").alias("root")).union(links.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct())

@@ -1,4 +1,5 @@
-"""Near copies by the Jaccard similarity of word shingles: candidates share a band of minhashes, and each is verified exactly."""
+"""Near copies by the Jaccard similarity of word shingles: candidates have SimHash fingerprints a few bits apart, or, further apart,
+share a band of minhashes; each is verified exactly."""
 
 from __future__ import annotations
 
@@ -10,7 +11,8 @@ from pyspark.sql import types as T
 
 from lexquarry.llm.common import add_columns, as_bytes, broadcast_small, cut, struct_type
 from lexquarry.llm.components import components
-from lexquarry.llm.simhash import LOWER
+from lexquarry.llm.simhash import LOWER, simhash
+from lexquarry.llm.simhash import links as close_prints
 
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -55,7 +57,8 @@ class Bands:
 
 
 def banded(df: DataFrame, text: str, shingle: int, bands: int, rows: int, carry: list[str]) -> DataFrame:
-    """carry, then node (a hash of the set of shingles), n (its size) and bands (its keys). No shuffle."""
+    """carry, then node (a hash of the set of shingles), n (its size), simhash (op9's fingerprint, of these shingles) and bands (its
+    keys). No shuffle."""
     at = df.columns.index(text)
 
     def start():
@@ -64,14 +67,16 @@ def banded(df: DataFrame, text: str, shingle: int, bands: int, rows: int, carry:
         keys = Bands(bands, rows)
 
         def work(batch: pa.RecordBatch) -> list[pa.Array]:
-            sets = [shingles(b, shingle) for b in as_bytes(batch.column(at))]
+            bodies = as_bytes(batch.column(at))
+            sets = [shingles(b, shingle) for b in bodies]
+            prints = np.array([simhash(b, shingle) for b in bodies], np.uint64).view(np.int64)
             node = np.array([xxh64_intdigest(s.tobytes(), 5) for s in sets], np.uint64).view(np.int64)
             flat = np.concatenate([keys.of(s) for s in sets]).view(np.int64)
-            return [pa.array(node), pa.array([len(s) for s in sets], pa.int64()), pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1) * bands, pa.int32()), pa.array(flat))]
+            return [pa.array(node), pa.array([len(s) for s in sets], pa.int64()), pa.array(prints), pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1) * bands, pa.int32()), pa.array(flat))]
 
         return work
 
-    return add_columns(df, struct_type(node=T.LongType(), n=T.LongType(), bands=T.ArrayType(T.LongType())), start, carry)
+    return add_columns(df, struct_type(node=T.LongType(), n=T.LongType(), simhash=T.LongType(), bands=T.ArrayType(T.LongType())), start, carry)
 
 
 def _like(threshold: float) -> Column:
@@ -85,6 +90,17 @@ def _pairs(left: DataFrame, right: DataFrame, allowed: Column) -> DataFrame:
     return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
+def _by_prints(heads: DataFrame) -> DataFrame:
+    """(a, b), a < b: candidates by op9's rule. Nodes of one fingerprint meet its least node; the least nodes of fingerprints that
+    differ in two bits or fewer, or of such a chain, meet along its links. At most a few rows for each node, whatever the groups."""
+    prints = heads.select("node", "simhash")
+    first = cut(prints.groupBy("simhash").agg(F.min("node").alias("first")))
+    same = prints.join(first, "simhash").where("node != first").select(F.col("first").alias("x"), F.col("node").alias("y"))
+    named = [first.select(F.col("simhash").alias(k), F.col("first").alias(v)) for k, v in (("a", "x"), ("b", "y"))]
+    near = close_prints(first.select("simhash")).join(named[0], "a").join(named[1], "b").select("x", "y")
+    return same.union(near).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+
+
 def _sets(asked: DataFrame, heads: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
     """(node, members): the sets of the nodes asked for, made anew from one text of each."""
     wanted = cut(heads.join(asked, "node", "left_semi").select("node", F.col("least.id").alias("_first_id"), F.col("least.text").alias("_first_text")))
@@ -173,7 +189,8 @@ def _beside_cores(placed: DataFrame, threshold: float) -> DataFrame:
 def linked(heads: DataFrame, texts: DataFrame, shingle: int, threshold: float, small: int) -> DataFrame:
     """(node, root) of the components of all candidate pairs that are as similar as the threshold.
 
-    Nodes that share a band key are candidates. A bucket of up to `small` nodes is paired. The nodes of larger ones (thousands of
+    Candidates are nodes that op9's rule links by their fingerprints (_by_prints), and, for those further apart, nodes that
+    share a band key. A bucket of up to `small` nodes is paired. The nodes of larger ones (thousands of
     near copies) form groups with a core; they are first compared with the node nearest to the core, then every node outside
     that one's component is compared with those nodes of other components that have enough of their differences from the core
     in common. Two nodes of a bucket are then compared, too unlike by these differences, or known to be in one component, so
@@ -184,7 +201,8 @@ def linked(heads: DataFrame, texts: DataFrame, shingle: int, threshold: float, s
     shared = cut(keyed.join(sizes, "key"))
     few, many = shared.where(F.col("size") <= small), shared.where(F.col("size") > small)
     y = [F.col("node").alias("y"), F.col("n").alias("m")]
-    pairs = cut(_pairs(few.select("key", F.col("node").alias("x"), "n"), few.select("key", *y), (F.col("x") < F.col("y")) & _like(threshold)))
+    banded = _pairs(few.select("key", F.col("node").alias("x"), "n"), few.select("key", *y), (F.col("x") < F.col("y")) & _like(threshold))
+    pairs = cut(_by_prints(heads).union(banded).distinct())
     held = cut(_hubs(many))
     asked = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(held.select("node")).distinct()
     sets = _sets(asked, heads, texts, shingle)
@@ -215,13 +233,14 @@ def keep_first(df: DataFrame, id: str = "doc_id", text: str = "text", shingle: i
 
     Texts are linked whose sets of shingles have at least the Jaccard similarity `threshold`; groups are the connected
     components. Equal sets are one node, so copies are never paired, whatever their number; texts without words are equal.
+    Candidates come from SimHash fingerprints of the same shingles at op9's two bits, and from bands for those further apart.
     With 32 bands of 4 minhashes a pair at 0.8 is missed with probability 5e-8, a nearer one less often; no pair below the
     threshold is linked. An empty table gives an empty one.
     """
     texts = df.select(F.col(id).alias("_id"), F.xxhash64(F.col(text)).alias("_text_hash"), F.col(text).alias("_text"))
     prints = cut(banded(texts, "_text", shingle, bands, rows, ["_id", "_text_hash"]))
     own = F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("id"), F.col("_text_hash").alias("text"))
-    heads = cut(prints.groupBy("node").agg(F.min(own).alias("least"), F.first("n").alias("n"), F.first("bands").alias("bands")))
+    heads = cut(prints.groupBy("node").agg(F.min(own).alias("least"), F.first("n").alias("n"), F.min("simhash").alias("simhash"), F.first("bands").alias("bands")))
     rooted = heads.select("node", "least").join(linked(heads, texts, shingle, threshold, small), "node", "left")
     first = cut(rooted.groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("least").alias("least")).select(F.col("least.id").alias("_first_id"), F.col("least.text").alias("_first_text")))
     rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row"), F.col(id).alias("_id"), F.xxhash64(F.col(text)).alias("_text_hash"))

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lexquarry.llm.common import as_texts
+from lexquarry.llm.common import as_texts, give_back, sliced
 
 
 class WordTokens:
@@ -105,7 +105,7 @@ def pack(df: DataFrame, tokenizer_path: str, id: str = "doc_id", text: str = "te
 
     def run(batches):
         tokens, end = word_tokens(tokenizer_path), np.array([end_id], dtype="<u4").tobytes()
-        for batch in batches:
+        for batch in sliced(batches, 1000):
             which, starts, lengths, sums, totals, pieces = [], [], [], [], [], []
             for row, b in enumerate(as_texts(batch.column(1))):
                 data = tokens.encode(b) + end
@@ -125,6 +125,7 @@ def pack(df: DataFrame, tokenizer_path: str, id: str = "doc_id", text: str = "te
                 flat = pa.array(np.frombuffer(b"".join(pieces), dtype="<u4").astype(np.int32))
                 columns.append(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lengths)]), pa.int32()), flat))
             yield pa.RecordBatch.from_arrays(columns, names=[f.name for f in schema])
+        give_back()
 
     packed = rows.mapInArrow(run, schema)
     return packed.select(id, "start", "length", "ids_crc32", "doc_tokens", F.monotonically_increasing_id().alias("sequence_id"), F.lit(0).cast("long").alias("offset"), *["ids"] * ids)

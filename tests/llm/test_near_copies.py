@@ -2,10 +2,13 @@
 
 import random
 
+import pyarrow as pa
 import pytest
+from pyspark.sql import types as T
 
 import corpus_pipeline
-from lexquarry.llm import near_copies
+from lexquarry.llm import near_copies, simhash
+from lexquarry.llm.common import add_columns, struct_type
 from tests.llm.test_llm_corpus import fingerprint, roots, words
 
 
@@ -85,3 +88,23 @@ def test_repeated_rows_leave_one(spark):
     text = "a b c d e f g h"
     df = spark.createDataFrame([(1, text), (1, text), (2, text + " i"), (3, "x")], "doc_id long, text string")
     assert got(near_copies.keep_first(df, threshold=0.8)) == [(False, 1), (False, 3)]
+
+
+def test_fingerprints_give_candidates(spark):
+    """What op9's rule links by five-word fingerprints is found without any band: edited copies, and many of one fingerprint."""
+    draw = random.Random(9)
+    docs = []
+    for i in range(30):
+        text = " ".join(f"w{draw.randrange(400)}" for _ in range(400))
+        docs += [(2 * i, text), (2 * i + 1, text + " end")]
+    near = [i for (i, a), (_, b) in zip(docs[::2], docs[1::2]) if (simhash.simhash(a.encode(), 5) ^ simhash.simhash(b.encode(), 5)).bit_count() <= 2]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    left = {i for _, i in got(near_copies.keep_first(df, bands=1, rows=3000))}
+    assert len(near) > 20 and not {i + 1 for i in near} & left and {i for i, _ in docs[::2]} <= left
+
+
+def test_batches_are_bounded(spark):
+    """An operator's Python code is given a bounded number of rows at a time, however large Spark's batches are."""
+    df = spark.range(2500).coalesce(1)
+    rows = add_columns(df, struct_type(n=T.LongType()), lambda: lambda batch: [pa.array([batch.num_rows] * batch.num_rows, pa.int64())]).collect()
+    assert sorted(r.id for r in rows) == list(range(2500)) and max(r.n for r in rows) <= 1000
