@@ -9,11 +9,24 @@ from array import array
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lexquarry.llm.common import as_texts, give_back, sliced
+from lexquarry.llm.common import BLANKS, as_texts, give_back, sliced
+
+
+#: What a byte of UTF-8 is to a tokenizer with word ends: a blank, of a run of letters, of a run of signs, or of a word that goes
+#: whole through the tokenizer. 0xFF, which UTF-8 does not have, ends a text.
+BLANK, LETTER, SIGN, ODD, END = range(5)
+KINDS = np.full(256, ODD, np.uint8)
+KINDS[list(BLANKS)] = BLANK
+KINDS[[0xC3, *range(0x80, 0xC0), *range(ord("A"), ord("Z") + 1), *range(ord("a"), ord("z") + 1)]] = LETTER
+KINDS[[b for b in range(33, 127) if re.match(r"[!-&(-/:-@\[-`{-~]", chr(b))]] = SIGN
+KINDS[0xFF] = END
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[ord("A") : ord("Z") + 1] += 32
 
 
 class WordTokens:
@@ -49,6 +62,7 @@ class WordTokens:
         self.tokenizer.encode_special_tokens = True
         self.model, self.most = self.tokenizer.model, most
         self.parts, self.words = self.Parts(self._part), self.Parts(self._word)
+        self.kept: dict[bytes, bytes] = {}
         visible = {*range(33, 127), *range(161, 173), *range(174, 256)}
         hidden = [b for b in range(256) if b not in visible]
         self.signs = {b: b if b in visible else 256 + hidden.index(b) for b in range(256)}
@@ -71,6 +85,66 @@ class WordTokens:
             return b"".join(map(self.parts.__getitem__, self.runs.findall(text.lower())))
         return b"".join([self.words[w.decode()] for w in text.encode().split()])
 
+    def encode_all(self, texts: list[bytes], end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts (UTF-8) with end_id after each, and where each text's ids end; as encode() gives them.
+
+        The texts are cut at once into runs of letters, signs or blanks and odd words, each of which is looked up once. What
+        occurs more than once is kept for the texts to come.
+        """
+        raw = b"\xff".join([*texts, b""])
+        if raw.count(b"\xff") != len(texts):
+            raise ValueError("a text is not UTF-8")
+        if not texts:
+            return np.zeros(0, "<u4"), np.zeros(0, np.int32)
+        data = np.frombuffer(raw, np.uint8)
+        kinds, lower = self._marked(data)
+        new = kinds[1:] != kinds[:-1]
+        new |= kinds[1:] == END
+        cuts = np.concatenate([[0], np.flatnonzero(new) + 1, [len(data)]]).astype(np.int32)
+        kinds = kinds[cuts[:-1]]
+        runs = pa.Array.from_buffers(pa.binary(), len(kinds), [None, pa.py_buffer(cuts), pa.py_buffer(lower)]).dictionary_encode()
+        codes, own = runs.indices.to_numpy(), runs.dictionary.to_numpy(zero_copy_only=False).tolist()
+        kind, again = np.zeros(len(own), np.uint8), (np.bincount(codes, minlength=len(own)) > 1).tolist()
+        kind[codes] = kinds
+        if len(self.kept) > 2 * self.most:
+            self.kept.clear()
+        ids = list(map(self.kept.get, own))
+        for i, what in enumerate(kind.tolist()):
+            if ids[i] is None:
+                if what in (LETTER, SIGN):
+                    ids[i] = self._part(own[i].decode())
+                elif what == ODD:
+                    ids[i] = array("I", self.tokenizer.encode(own[i].decode(), add_special_tokens=False).ids).tobytes()
+                else:
+                    ids[i] = b"" if what == BLANK else array("I", [end_id]).tobytes()
+                if again[i] and len(own[i]) <= 64 and what != END:
+                    self.kept[own[i]] = ids[i]
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        each = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(np.frombuffer(b"".join(ids), "<u4")))
+        found = pc.take(each, runs.indices)
+        return found.flatten().to_numpy(), found.offsets.to_numpy()[1:][kinds == END]
+
+    @staticmethod
+    def _marked(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The kind of each byte, and the bytes with the letters of all but odd words in lower case."""
+        kinds, lower = KINDS.take(data), LOWER.take(data)
+        second = np.flatnonzero(data == 0xC3) + 1  # of a sign from U+00C0 to U+00FF
+        after = data[second]
+        times = (after == 0x97) | (after == 0xB7)  # and the sign of division
+        lower[second[(after < 0x9F) & ~times]] += 0x20
+        kinds[second[times]] = ODD
+        odd = np.flatnonzero(kinds == ODD)
+        if len(odd):
+            borders = np.flatnonzero((kinds == BLANK) | (kinds == END))
+            word = np.searchsorted(borders, odd)
+            word = word[np.diff(word, prepend=-1) > 0]
+            change = np.zeros(len(data), np.int8)
+            change[np.where(word > 0, borders[word - 1] + 1, 0)] += 1
+            change[borders[word]] -= 1
+            inside = np.cumsum(change, dtype=np.int8).astype(bool)
+            kinds[inside], lower[inside] = ODD, data[inside]
+        return kinds, lower
+
 
 _loaded: dict[str, WordTokens] = {}
 

@@ -12,17 +12,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from lexquarry.llm import id_coder
-from lexquarry.llm.common import as_texts, broadcast_small, shared_dir, struct_type
+from lexquarry.llm.common import as_bytes, broadcast_small, shared_dir, struct_type
 from lexquarry.llm.packing import word_tokens
 
 #: Ids of a block, and blocks that a task codes side by side (8 million ids at most are held).
 BLOCK, LANES = 4096, 2048
+#: Bytes of texts that are tokenized at once; a longer text is alone.
+AT_ONCE = 8 << 20
 
 
 def block_type(id_type: T.DataType) -> T.StructType:
@@ -58,6 +61,15 @@ class Blocks:
         return out
 
 
+def by_size(batch: pa.RecordBatch, column: int, most: int) -> Iterator[pa.RecordBatch]:
+    """The rows of a batch in parts whose texts have so many bytes at most, or that are one row."""
+    ends, begin = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False), dtype=np.int64), 0
+    while begin < batch.num_rows:
+        end = max(begin + 1, int(np.searchsorted(ends, (ends[begin - 1] if begin else 0) + most, side="right")))
+        yield batch.slice(begin, end - begin)
+        begin = end
+
+
 def encode(docs: DataFrame, tokenizer_path: str, id: str = "doc_id", text: str = "text", end_id: int = 1, bits: int = 16) -> DataFrame:
     """The rows of a dataset's blocks. Ranges of ids come from one range shuffle; rows of one id, which may be many, are ordered
     and parted by their text. A task holds the ids of LANES blocks at most, whatever its range and the length of a text."""
@@ -68,7 +80,7 @@ def encode(docs: DataFrame, tokenizer_path: str, id: str = "doc_id", text: str =
     pieces = to_arrow_type(schema["docs"].dataType)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, end, blocks, part, written = word_tokens(tokenizer_path), np.array([end_id], dtype="<u4").tobytes(), Blocks(), None, 0
+        tokens, blocks, part, written = word_tokens(tokenizer_path), Blocks(), None, 0
 
         def coded() -> pa.RecordBatch:
             nonlocal written
@@ -83,13 +95,15 @@ def encode(docs: DataFrame, tokenizer_path: str, id: str = "doc_id", text: str =
             )
 
         for batch in batches:
-            for which, body in zip(batch.column(1).to_pylist(), as_texts(batch.column(2))):
-                blocks.add(which, np.frombuffer(tokens.encode(body) + end, dtype="<u4"))
-                if len(blocks.cut) >= LANES:
-                    part = batch.column(0)[0].as_py()
+            part = batch.column(0)[0].as_py() if batch.num_rows else part
+            for some in by_size(batch, 2, AT_ONCE):
+                ids, ends = tokens.encode_all(as_bytes(some.column(2)), end_id)
+                begin = 0
+                for which, end in zip(some.column(1).to_pylist(), ends.tolist()):
+                    blocks.add(which, ids[begin:end])
+                    begin = end
                     while len(blocks.cut) >= LANES:
                         yield coded()
-            part = batch.column(0)[0].as_py() if batch.num_rows else part
         blocks.close()
         while blocks.cut:
             yield coded()
