@@ -25,7 +25,7 @@ MAGIC = b"IDX2"
 
 PROB_BITS, PLACE_BITS = 12, 12
 TOTAL, ONE = 1 << PLACE_BITS, 1 << PROB_BITS
-CONTEXTS = 12  # bits of the table of order 2
+CONTEXTS = 10  # bits of the table of order 2
 SURE = 15  # the most that a context's id can be confirmed
 
 #: Logistic domain, in steps of 1/256: a chance of 12 bits to its log odds and back.
@@ -63,11 +63,12 @@ class Writer:
 
     def step(self, n: int, model: Model, first, part, ids):
         """Codes an id of each of the first n lanes, of which `first` is expected with its part of the range."""
-        hit = first == ids
-        own = model.own.take(model.ids_at[:n] + ids)
+        missed = first != ids
         narrow = np.floor(self.range[:n] / (part + TOTAL))
-        self.low[:n] += np.where(hit, 0.0, (own >> 16) + part) * narrow
-        narrow *= np.where(hit, part, own & 0xFFFF)
+        begin, size = model.share(n, ids, missed, part)
+        begin *= narrow
+        self.low[:n] += begin
+        narrow *= size
         full = np.flatnonzero(narrow < LEAST)
         if len(full):
             low = self.low.take(full)
@@ -76,7 +77,7 @@ class Writer:
             self.low[full] = (low - word * WORD) * WORD
             narrow[full] *= WORD
         self.range[:n] = narrow
-        return hit, ids
+        return missed, ids
 
     def done(self) -> np.ndarray:
         """The words of all lanes, after two more that hold what is left of low."""
@@ -106,12 +107,15 @@ class Reader:
     def step(self, n: int, model: Model, first, part, _):
         narrow = np.floor(self.range[:n] / (part + TOTAL))
         code = self.code[:n]
+        missed = code >= part * narrow
         value = (code / narrow - part).astype(np.int64)
-        hit = code < part * narrow
-        found = np.where(hit, first, model.values.take(model.values_at[:n] + value, mode="clip"))
-        own = model.own.take(model.ids_at[:n] + found)
-        code -= np.where(hit, 0.0, (own >> 16) + part) * narrow
-        narrow *= np.where(hit, part, own & 0xFFFF)
+        value += model.values_at[:n]
+        found = model.values.take(value, mode="clip")
+        found ^= (found ^ first) * ~missed
+        begin, size = model.share(n, found, missed, part)
+        begin *= narrow
+        code -= begin
+        narrow *= size
         full = np.flatnonzero(narrow < LEAST)
         if len(full):
             at = self.at.take(full)
@@ -119,7 +123,7 @@ class Reader:
             self.at[full] = at + 1
             narrow[full] *= WORD
         self.range[:n] = narrow
-        return hit, found
+        return missed, found
 
 
 class Model:
@@ -147,28 +151,34 @@ class Model:
         self.last, self.mixed = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
         self.at, self.odds = np.zeros((2, lanes), np.int64), np.zeros((3, lanes), np.int32)
 
+    def share(self, n: int, ids, missed, part):
+        """Where the ids' parts of the range begin and their sizes: an expected id's comes first, then those of all ids."""
+        own = self.own.take(self.ids_at[:n] + ids, mode="clip")
+        own *= missed
+        before = part * missed
+        return (own >> 16) + before, (own & 0xFFFF) + (part - before)
+
     def step(self, io, ids, n: int):
         """Codes one id of each of the first n lanes: takes ids (None when reading) and returns them."""
         last, at, odds, weights = self.last[:n], self.at[:, :n], self.odds[:, :n], self.weights[:, :n]
         np.add(self.ids_at[:n], last, out=at[0])
         np.add(self.two_at[:n], (last + self.mixed[:n]) & ((1 << CONTEXTS) - 1), out=at[1])
-        entries = self.entries.take(at)
+        entries = self.entries.take(at, mode="clip")
         sure, known = entries & 15, entries >> 4
-        first = np.where(sure[1] * 2 >= sure[0], known[1], known[0])
+        first = known[0] ^ (known[0] ^ known[1]) * (sure[1] * 2 >= sure[0])
 
-        odds[:2] = TRUST.take(sure * (known == first))
-        odds[2] = STRETCH.take(self.own.take(self.ids_at[:n] + first) & 0xFFFF)
+        odds[:2] = TRUST.take(sure * (known == first), mode="clip")
+        odds[2] = STRETCH.take(self.own.take(self.ids_at[:n] + first, mode="clip") & 0xFFFF, mode="clip")
         mixed = weights * odds
-        total = ((mixed[0] + mixed[1] + mixed[2]) >> 14) + REACH
-        hit, found = io.step(n, self, first, PART.take(total, mode="clip"), ids)
-        error = hit * np.int32(ONE) - SQUASH.take(total, mode="clip")
-        odds *= error
+        total = (((mixed[0] + mixed[1] + mixed[2]) >> 14) + REACH).astype(np.int64)
+        missed, found = io.step(n, self, first, PART.take(total, mode="clip"), ids)
+        odds *= ONE - SQUASH.take(total, mode="clip") - (missed * np.int32(ONE))
         odds >>= 9
         weights += odds
 
         same = known == found
-        gained = entries + GAIN.take(sure + (same * np.uint16(16)))
-        np.copyto(gained, (found << 4 | 1).astype(np.uint16), where=(sure <= 1) & ~same)
+        gained = entries + GAIN.take(sure + (same * np.uint16(16)), mode="clip")
+        gained ^= (gained ^ (found << 4 | 1)) * ((sure <= 1) & ~same)
         self.entries[at] = gained
         np.multiply(last, 1021, out=self.mixed[:n])
         last[:] = found

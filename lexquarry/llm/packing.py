@@ -25,8 +25,8 @@ KINDS[list(BLANKS)] = BLANK
 KINDS[[0xC3, *range(0x80, 0xC0), *range(ord("A"), ord("Z") + 1), *range(ord("a"), ord("z") + 1)]] = LETTER
 KINDS[[b for b in range(33, 127) if re.match(r"[!-&(-/:-@\[-`{-~]", chr(b))]] = SIGN
 KINDS[0xFF] = END
-LOWER = np.arange(256, dtype=np.uint8)
-LOWER[ord("A") : ord("Z") + 1] += 32
+KINDS = KINDS.tobytes()
+LOWER = bytes(range(256)).lower()
 
 
 class WordTokens:
@@ -88,8 +88,8 @@ class WordTokens:
     def encode_all(self, texts: list[bytes], end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts (UTF-8) with end_id after each, and where each text's ids end; as encode() gives them.
 
-        The texts are cut at once into runs of letters, signs or blanks and odd words, each of which is looked up once. What
-        occurs more than once is kept for the texts to come.
+        The texts are cut at once into runs of letters, signs or blanks and odd words, each of which is looked up once and, unless
+        it is long, kept for the texts to come. When too many are kept, the later half goes, as what is frequent comes early.
         """
         raw = b"\xff".join([*texts, b""])
         if raw.count(b"\xff") != len(texts):
@@ -97,17 +97,18 @@ class WordTokens:
         if not texts:
             return np.zeros(0, "<u4"), np.zeros(0, np.int32)
         data = np.frombuffer(raw, np.uint8)
-        kinds, lower = self._marked(data)
+        kinds, lower = self._marked(raw, data)
         new = kinds[1:] != kinds[:-1]
         new |= kinds[1:] == END
         cuts = np.concatenate([[0], np.flatnonzero(new) + 1, [len(data)]]).astype(np.int32)
         kinds = kinds[cuts[:-1]]
         runs = pa.Array.from_buffers(pa.binary(), len(kinds), [None, pa.py_buffer(cuts), pa.py_buffer(lower)]).dictionary_encode()
-        codes, own = runs.indices.to_numpy(), runs.dictionary.to_numpy(zero_copy_only=False).tolist()
-        kind, again = np.zeros(len(own), np.uint8), (np.bincount(codes, minlength=len(own)) > 1).tolist()
-        kind[codes] = kinds
-        if len(self.kept) > 2 * self.most:
-            self.kept.clear()
+        own = runs.dictionary.to_numpy(zero_copy_only=False).tolist()
+        kind = np.zeros(len(own), np.uint8)
+        kind[runs.indices.to_numpy()] = kinds
+        if len(self.kept) > 4 * self.most:
+            for _ in range(len(self.kept) // 2):
+                self.kept.popitem()
         ids = list(map(self.kept.get, own))
         for i, what in enumerate(kind.tolist()):
             if ids[i] is None:
@@ -117,7 +118,7 @@ class WordTokens:
                     ids[i] = array("I", self.tokenizer.encode(own[i].decode(), add_special_tokens=False).ids).tobytes()
                 else:
                     ids[i] = b"" if what == BLANK else array("I", [end_id]).tobytes()
-                if again[i] and len(own[i]) <= 64 and what != END:
+                if len(own[i]) <= 64 and what != END:
                     self.kept[own[i]] = ids[i]
         sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
         each = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(np.frombuffer(b"".join(ids), "<u4")))
@@ -125,9 +126,9 @@ class WordTokens:
         return found.flatten().to_numpy(), found.offsets.to_numpy()[1:][kinds == END]
 
     @staticmethod
-    def _marked(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def _marked(raw: bytes, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The kind of each byte, and the bytes with the letters of all but odd words in lower case."""
-        kinds, lower = KINDS.take(data), LOWER.take(data)
+        kinds, lower = (np.frombuffer(bytearray(raw.translate(t)), np.uint8) for t in (KINDS, LOWER))
         second = np.flatnonzero(data == 0xC3) + 1  # of a sign from U+00C0 to U+00FF
         after = data[second]
         times = (after == 0x97) | (after == 0xB7)  # and the sign of division

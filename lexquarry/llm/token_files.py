@@ -179,25 +179,24 @@ def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 POLYNOMIAL = 0xEDB88320
 
 
-def times(a: int, b: int) -> int:
-    """The product of two polynomials modulo POLYNOMIAL; bit 31 is the constant."""
-    out = 0
-    while b:
-        if b & 0x80000000:
-            out ^= a
-        b = b << 1 & 0xFFFFFFFF
-        a = a >> 1 ^ (POLYNOMIAL if a & 1 else 0)
+def times(a, b):
+    """The products of polynomials modulo POLYNOMIAL; bit 31 is the constant."""
+    a, b = np.asarray(a, np.int64), np.asarray(b, np.int64)
+    out = a & -(b >> 31 & 1)
+    for k in range(30, -1, -1):
+        a = a >> 1 ^ POLYNOMIAL * (a & 1)
+        out = out ^ a & -(b >> k & 1)
     return out
 
 
-def joined_crc(first: int, second: int, length: int) -> int:
-    """The CRC-32 of two strings, one after the other, from theirs and the second's length in bytes."""
-    shift, power = 1 << 31, 1 << 23  # 1 and x ** 8
-    while length:
-        if length & 1:
-            shift = times(shift, power)
+def joined_crc(first, second, length):
+    """The CRC-32 of pairs of strings, one after the other, from theirs and the second's lengths in bytes."""
+    length, power = np.asarray(length, np.int64), 1 << 23  # x ** 8
+    out = np.asarray(first, np.int64)
+    while length.any():
+        out = np.where(length & 1, times(out, power), out)
         power, length = times(power, power), length >> 1
-    return times(first, shift) ^ second
+    return out ^ second
 
 
 @F.arrow_udf(T.LongType())
@@ -205,13 +204,14 @@ def crc_of(pieces: pa.Array) -> pa.Array:
     """The CRC-32 of a document from its pieces (at, n, crc32) in order."""
     flat, ends = pieces.flatten(), np.cumsum(pieces.value_lengths())
     sums, sizes = flat.field("crc32").to_numpy(zero_copy_only=False), flat.field("n").to_numpy(zero_copy_only=False)
-    out = sums[ends - 1].copy() if len(ends) else sums
     begins = ends - pieces.value_lengths().to_numpy(zero_copy_only=False)
-    for row in np.flatnonzero(ends - begins > 1).tolist():
-        crc = int(sums[begins[row]])
-        for k in range(begins[row] + 1, ends[row]):
-            crc = joined_crc(crc, int(sums[k]), 4 * int(sizes[k]))
-        out[row] = crc
+    out, k = sums.take(begins), begins + 1
+    rows = np.flatnonzero(k < ends)
+    while len(rows):  # the next piece of each document that has one
+        more = k[rows]
+        out[rows] = joined_crc(out[rows], sums[more], 4 * sizes[more])
+        k[rows] += 1
+        rows = rows[k[rows] < ends[rows]]
     return pa.array(out, pa.int64())
 
 

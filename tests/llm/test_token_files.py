@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from lexquarry.llm import id_coder, token_files
+from lexquarry.llm import id_coder, packing, token_files
 from lexquarry.llm.queries import queries
 
 SF = "/root/testdata/sf0.001"
@@ -70,6 +70,38 @@ def test_joined_crc():
         assert token_files.joined_crc(zlib.crc32(a), zlib.crc32(b), n) == zlib.crc32(a + b)
 
 
+def test_joined_crcs():
+    draw = random.Random(9)
+    some = [(draw.randbytes(11), draw.randbytes(n)) for n in (0, 1, 5, 4096, 100_000)]
+    joined = token_files.joined_crc(*([f(a, b) for a, b in some] for f in (lambda a, b: zlib.crc32(a), lambda a, b: zlib.crc32(b), lambda a, b: len(b))))
+    assert joined.tolist() == [zlib.crc32(a + b) for a, b in some]
+
+
+def test_batch_of_texts(tokenizer):
+    """Texts tokenized at once have the ids of each alone, whatever is kept from others."""
+    odd = ["", " ", "a", "don't stop", "Ünï ÀÞß÷× é×b ×", "x1y 22", "日本 語 word", "\x00 \x1f a\x7fb \x85 \xa0 \xad", "<|endoftext|> !!a", "e\u0301 \u212a ſ İ", "ends in blank \n", "A" * 500, "Ã\xa0", "\u2028a\u3000b"]
+    draw = random.Random(10)
+    odd += ["".join(draw.choices("aZ É÷×!?'\n\t9ß語\x00-", k=draw.randrange(40))) for _ in range(400)]
+    tokens = packing.WordTokens(PATH, most=20)
+    for texts in (odd, odd[::-1], odd[:1], [], odd[5:9]):
+        ids, ends = tokens.encode_all([t.encode() for t in texts], 1)
+        got = [x.tolist() for x in np.split(ids, ends)[:-1]]
+        assert got == [[*tokenizer.encode(t, add_special_tokens=False).ids, 1] for t in texts] and len(ids) == sum(map(len, got))
+    with pytest.raises(ValueError):
+        tokens.encode_all([b"a\xffb"], 1)
+
+
+def test_long_runs_and_long_blocks():
+    """Runs of one id, after which another comes, do not upset the mixer; blocks may have more ids than frequencies sum to."""
+    draw = random.Random(11)
+    some = [np.array(b, np.uint32) for b in ([7] * 40_000 + [8, 7, 9] * 50, [draw.randrange(4096) for _ in range(9000)], list(range(4096)), [5])]
+    packed = id_coder.pack(some)
+    assert all((a == b).all() for a, b in zip(id_coder.unpack(packed), some))
+    assert len(packed[0]) < 500
+    with pytest.raises(ValueError, match="different ids"):
+        id_coder.pack([np.arange(4097, dtype=np.uint32)])
+
+
 def expected(docs, tokenizer):
     """Rows in order of id; those of one id in any order, so as sets of lengths and checksums."""
     out, start = [], 0
