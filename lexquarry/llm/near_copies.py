@@ -224,7 +224,11 @@ def linked(heads: DataFrame, texts: DataFrame, shingle: int, threshold: float, s
     if placed.isEmpty():
         return found
     more = cut(_beside_cores(placed, threshold))
-    return found if more.isEmpty() else components(links.union(_verified(more, sets, threshold)).distinct())
+    if more.isEmpty():
+        return found
+    # the stars found join the same nodes as the links they came from, and settle in fewer rounds
+    known = found.where("node != root").select(F.col("root").alias("a"), F.col("node").alias("b"))
+    return components(known.union(_verified(more, sets, threshold)).distinct())
 
 
 def keep_first(df: DataFrame, id: str = "doc_id", text: str = "text", shingle: int = 5, threshold: float = 0.8, bands: int = 32, rows: int = 4, small: int = 8) -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lexquarry.llm.common import add_columns, as_texts, fold, sliced, struct_type
+from lexquarry.llm.common import add_columns, as_texts, fold, give_back, sliced, struct_type
 
 #: Mark the start of a word, so that its first letters count for more, and its end, so that a stem alone differs from a
 #: longer word that begins with it.
@@ -172,13 +172,12 @@ def choose_landmarks(toxic: list[set[str]], clean: list[set[str]], most: int, pl
 
     counts, usual = Counter(), Counter()
     alone = {tuple(sorted(crc32(w.encode()) for w in t)[:2]): t for t in toxic}  # one of each group of near copies
-    held = [starts(t) for t in alone.values()]
-    for t in held:
-        counts.update(t)
+    for t in alone.values():  # one at a time: the beginnings of all texts would take far more room than their counts
+        counts.update(starts(t))
     likely = {s for s, c in counts.items() if c >= least}
     for c in clean:
         usual.update(starts(c) & likely)
-    ratio, share = len(held) / len(clean), len(held) / (len(held) + len(clean))
+    ratio, share = len(alone) / len(clean), len(alone) / (len(alone) + len(clean))
 
     def surprise(k: int, others: int) -> float:
         """Chernoff's bound on the chance that so many of the texts with a word are toxic, as a negative logarithm."""
@@ -186,7 +185,7 @@ def choose_landmarks(toxic: list[set[str]], clean: list[set[str]], most: int, pl
         return k * log(k / n / share) + (others * log(others / n / (1 - share)) if others else 0)
 
     gain = {s: counts[s] - 3 * ratio * usual[s] for s in likely if counts[s] > 3 * ratio * usual[s] and surprise(counts[s], usual[s]) > log(10 * len(likely))}
-    step = max(1, len(held) / 50)
+    step = max(1, len(alone) / 50)
     marks: list[str] = []
     for s in sorted(gain, key=lambda s: (-round(gain[s] / step), -len(s), s)):
         if len(marks) < most and not any(s.startswith(m) or m.startswith(s) for m in marks):
@@ -321,7 +320,10 @@ def fit(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "tex
     rows = docs.select(F.col(id).alias("_id"), F.col(text).alias("_text")).join(F.broadcast(some[0].union(some[1])), "_id").where(F.length("_text").between(1, max_chars))
     picked = [rows.where(F.col("_label") == y).orderBy(F.xxhash64("_id"), "_id", F.xxhash64("_text")).limit(per_label) for y in (0, 1)]
     got = picked[0].union(picked[1]).select("_text", "_label").collect()
-    return train([r[0] for r in got], [r[1] for r in got])
+    model = train([r[0] for r in got], [r[1] for r in got])
+    del got
+    give_back()  # the driver's process goes on to other work
+    return model
 
 
 def score(df: DataFrame, model: Model, text: str = "text", carry: list[str] | None = None, most_known: int = 400_000) -> DataFrame:

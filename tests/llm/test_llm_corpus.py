@@ -3,6 +3,7 @@
 import math
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -54,6 +55,30 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_components_end_with_stars(spark):
+    """No round follows the one that leaves stars only: more rounds mean more plans, threads and memory of the driver."""
+    links = [(1, 2), (1, 3), (2, 3), (3, 4), (7, 8), (10, 12), (11, 12)]
+    got = {r.node: r.root for r in components(spark.createDataFrame(links, "a long, b long"), rounds=1).collect()}
+    assert got == {1: 1, 2: 1, 3: 1, 4: 1, 7: 7, 8: 7, 10: 10, 11: 10, 12: 10}
+
+
+def test_training_leaves_room_in_the_driver(spark, monkeypatch):
+    """The beginnings of words are counted text by text, and what training took is given back."""
+    draw = random.Random(3)
+    words = ["".join(draw.choices("abcdefghij", k=10)) for _ in range(1000)]
+    bags = [set(draw.sample(words, 200)) for _ in range(600)]
+    tracemalloc.start()
+    toxicity.choose_landmarks(bags[:400], bags[400:], 10, 4)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 8e6
+    given = []
+    monkeypatch.setattr(toxicity, "give_back", lambda: given.append(True))
+    docs = spark.createDataFrame([(i, "some plain words") for i in range(20)], "doc_id long, text string")
+    toxicity.fit(docs, docs.selectExpr("doc_id", "cast(0 as int) as toxic"))
+    assert given == [True]
+
+
 def test_links_in_small_and_large_buckets(spark):
     """Both ways of a bucket give the components of all pairs within two bits."""
     draw = random.Random(2)
