finding_statuses: group quotes and sources by numbers, not by ids and texts

Symptom: finding_statuses is said to spill; its tasks sort and group rows that repeat a quote's whole id, a path of structs, for each run of three words, and collect the runs' texts by quote and source.
Evidence: on 0.51 GB the profiler counts 1853 MB shuffled (3.64 x input) and 1.91 GB of disk, of which one stage alone writes 491 MB of such groups; spill is 0 MB on these inputs, so spill itself could not be measured before or after.
Fix: quotes of one key become one kept row with a number, and each run the place of its first equal in the quote; the two groupings hold these numbers, and ids come back with one join at the end. check() joins on whether a quote is blank instead of carrying its text through the sort.
Effect, together with 1 more commit on this code: at 1 GB of input CPU 2627 -> 2622 s, shuffle 3.95 -> 3.30 GB, spill 1.18 -> 0.00 GB, read 2.24 -> 2.34 GB, longest task 41 -> 36 s, most memory of a task 487 -> 252 MB; at 6 GB of input CPU 12155 -> 12202 s, shuffle 24.55 -> 19.87 GB, spill 9.67 -> 3.52 GB, read 13.51 -> 14.14 GB, longest task 102 -> 100 s, most memory of a task 822 -> 1141 MB; with hot keys, at 1 GB of input CPU 1479 -> 1297 s, shuffle 1.46 -> 1.20 GB, spill 0.00 -> 0.00 GB, read 0.48 -> 0.52 GB, longest task 21 -> 18 s, most memory of a task 260 -> 126 MB.

@@ -35,28 +35,34 @@ def found(quotes: DataFrame, sources: DataFrame, scope: list[str] = []) -> DataF
 
     Quotes (quote_id, quote) meet sources (source_id, text) of the same scope only. Sources are read once: runs that no quote
     has go before runs are shuffled, the others meet quotes by equality, and a quote is held in a row where all its runs are
-    at places that differ from theirs by one number. Work grows with the shared runs, not with the pairs.
+    at places that differ from theirs by one number. Work grows with the shared runs, not with the pairs. With a scope, quotes
+    of one key have a number, and their runs too, so what is grouped by quote and source holds numbers, no ids or texts.
     """
-    w = F.col("w")
-    asked = quotes.select(*scope, "quote_id", X.normal_words(X.nfkc(F.col("quote"))).alias("w")).where(F.size(w) > 0)
-    short = F.array(F.struct(F.lit(0).alias("i"), F.array_join(w, " ").alias("gram")))
-    asked = asked.select(*scope, "quote_id", F.size(w).alias("words"), F.when(F.size(w) >= 3, _runs(w, (3,))).otherwise(short).alias("runs"))
+    w, key = F.col("w"), [*scope, "quote_id", "places", "total"]
+    runs_of = lambda w: F.when(F.size(w) >= 3, _runs(w, (3,))).otherwise(F.array(F.struct(F.lit(0).alias("i"), F.array_join(w, " ").alias("gram"))))
+    asked = quotes.select(*scope, "quote_id", X.normal_words(X.nfkc(F.col("quote"))).alias("w")).where(F.size(w) > 0).withColumn("runs", runs_of(w))
     distinct = F.size(F.array_distinct(F.transform("runs", lambda r: r["gram"])))
-    asked = asked.select(*scope, "quote_id", "words", F.size("runs").alias("places"), distinct.alias("total"), "runs")
+    asked = asked.select(*scope, "quote_id", "w", F.size("runs").alias("places"), distinct.alias("total"), "runs")
     if scope:  # every scope has quotes of its own, so they may be as many as the sources
-        asked = stored(asked)
-    asked = asked.select(*scope, "quote_id", "words", "places", "total", F.inline("runs").alias("i", "gram"))
+        alike = asked.groupBy(*key).agg(F.collect_list("w").alias("ws"))
+        numbered = stored(alike.select(*key, F.monotonically_increasing_id().alias("_number"), F.exists("ws", lambda w: F.size(w) < 3).alias("short"), F.flatten(F.transform("ws", runs_of)).alias("runs")))
+        of_quote = F.transform("runs", lambda r: F.struct(r["i"], r["gram"], F.array_position(F.col("runs")["gram"], r["gram"]).cast("int")))
+        asked = numbered.select(*scope, "_number", "short", F.inline(of_quote).alias("i", "gram", "_run"))
+    else:
+        asked = asked.select(*key, F.inline("runs").alias("i", "gram"))
     words = X.normal_words(X.nfkc(F.col("text"))).alias("w")
     if scope:  # a source meets the few runs of its scope in its own row, so texts are shuffled, not their runs
-        wanted = asked.groupBy(*scope).agg(F.collect_set(_hash(F.split("gram", " "), F.lit(0), 3)).alias("wanted"), F.bool_or(F.col("words") < 3).alias("short"))
+        wanted = asked.groupBy(*scope).agg(F.collect_set(_hash(F.split("gram", " "), F.lit(0), 3)).alias("wanted"), F.bool_or("short").alias("short"))
         rows = sources.join(wanted, scope).select(*scope, "source_id", "wanted", "short", words)
         runs = F.when(F.col("short"), _runs(w, (1, 2, 3), F.col("wanted"))).otherwise(_runs(w, (3,), F.col("wanted")))
         held = rows.select(*scope, "source_id", F.inline(runs).alias("at", "gram"))
     else:
         held = sources.select("source_id", words).select("source_id", F.inline(_runs(w, (1, 2, 3))).alias("at", "gram")).join(asked.select("gram").distinct(), "gram", "left_semi")
-    key = [*scope, "quote_id", "source_id", "places", "total"]
-    shifted = asked.join(held, [*scope, "gram"]).groupBy(*key, (F.col("at") - F.col("i")).alias("shift")).agg(F.count("*").alias("n"), F.collect_set("gram").alias("grams"))
-    met = shifted.groupBy(*key).agg(F.max("n").alias("n"), F.size(F.array_distinct(F.flatten(F.collect_list("grams")))).alias("shared"))
+    pair, run = (["_number", "source_id"], "_run") if scope else ([*key, "source_id"], "gram")
+    shifted = asked.join(held, [*scope, "gram"]).groupBy(*pair, (F.col("at") - F.col("i")).alias("shift")).agg(F.count("*").alias("n"), F.collect_set(run).alias("held"))
+    met = shifted.groupBy(*pair).agg(F.max("n").alias("n"), F.size(F.array_distinct(F.flatten(F.collect_list("held")))).alias("shared"))
+    if scope:
+        met = met.join(numbered.select("_number", *key), "_number")
     return met.select(*scope, "quote_id", "source_id", (F.col("n") == F.col("places")).alias("exact"), (F.col("shared") / F.col("total")).alias("coverage"))
 
 
@@ -83,8 +89,9 @@ def check(quotes: DataFrame, sources: DataFrame, scope: list[str] = []) -> DataF
     best = F.min(F.struct((~F.col("exact")).alias("apart"), (-F.col("coverage")).alias("c"), "source_id")).alias("m")
     met = found(quotes, sources, scope).groupBy(*scope, "quote_id").agg(best)
     share = F.when(~F.col("m.apart"), 1.0).otherwise(F.coalesce(-F.col("m.c"), F.lit(0.0)))
-    empty = F.size(X.normal_words(F.col("quote"))) == 0
-    out = quotes.join(met, [*scope, "quote_id"], "left").withColumn("share", share).withColumn("status", F.when(empty, "none").otherwise(status(F.col("share"))))
+    empty = F.col("_empty")
+    rows = quotes.select(*scope, "quote_id", (F.size(X.normal_words(F.col("quote"))) == 0).alias("_empty"))
+    out = rows.join(met, [*scope, "quote_id"], "left").withColumn("share", share).withColumn("status", F.when(empty, "none").otherwise(status(F.col("share"))))
     named = F.when(F.col("status").isin("verified", "partial"), F.col("m.source_id"))
     return out.select(*scope, "quote_id", "status", F.when(empty, 0.0).otherwise(F.bround("share", 2)).alias("coverage"), named.alias("source_id"))
 

@@ -100,3 +100,25 @@ def test_places_and_repeats(spark):
     quotes = spark.createDataFrame([(1, "a b c d"), (2, "a b a b a"), (3, "a b a b a b a b"), (4, "c"), (5, "b a"), (6, "zz"), (7, "d c")], "quote_id long, quote string")
     got = {r.quote_id: (r.status, r.source_id) for r in G.check(quotes, sources).collect()}
     assert got == {1: ("verified", 2), 2: ("verified", 3), 3: ("verified", 3), 4: ("verified", 1), 5: ("verified", 3), 6: ("unverified", None), 7: ("unverified", None)}
+
+
+def test_scoped_groups_hold_numbers(spark):
+    """With a scope neither ids of quotes nor texts of runs are grouped by quote and source, as a task would hold them all."""
+    quotes = spark.createDataFrame([(1, "q", "a b c d")], "scope long, quote_id string, quote string")
+    sources = spark.createDataFrame([(1, 1, "x a b c d")], "scope long, source_id int, text string")
+    plan = G.found(quotes, sources, ["scope"])._jdf.queryExecution().optimizedPlan().toString()
+    groups = [line for line in plan.splitlines() if "Aggregate [" in line and "source_id" in line]
+    assert len(groups) == 2 and not any(name in line for line in groups for name in ("gram#", "quote_id#"))
+
+
+def test_scoped_repeats_and_nulls(spark):
+    """Quotes of one id in a scope count together, also with other texts; sources of one id too; nulls meet nothing."""
+    asked = [(1, "twice", "a b c d"), (1, "twice", "a b c d"), (1, "two", "a b c"), (1, "two", "x y z"), (1, "one", "d e f g"), (1, None, "a b c d"), (None, "one", "a b c d"), (1, "null", None), (1, "blank", " "), (1, "short", "b c"), (2, "aaa", "a a a a"), (3, "none", "p q r")]
+    held = [(1, 1, "a b c d"), (1, 2, "d e f g"), (1, 2, "d e f g"), (1, 3, "d e f x y z"), (2, 1, "a a a a a a"), (2, 2, None), (None, 1, "a b c d")]
+    quotes, sources = spark.createDataFrame(asked, "scope long, quote_id string, quote string"), spark.createDataFrame(held, "scope long, source_id int, text string")
+    got = sorted((r.scope, r.quote_id or "", r.source_id, r.exact, round(r.coverage, 3)) for r in G.found(quotes, sources, ["scope"]).collect())
+    assert got == [
+        (1, "", 1, True, 1.0), (1, "one", 2, False, 1.0), (1, "one", 3, False, 0.5), (1, "short", 1, True, 1.0), (1, "twice", 1, False, 1.0), (1, "two", 1, True, 1.0), (1, "two", 3, True, 1.0), (2, "aaa", 1, True, 1.0),
+    ]
+    rows = G.check(quotes, sources, ["scope"]).collect()
+    assert len(rows) == len(asked) and {r.status for r in rows if r.quote_id == "blank"} == {"none"} and {r.status for r in rows if r.quote_id == "null"} == {"unverified"}
