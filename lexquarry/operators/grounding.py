grounding_verdict: make runs of one and two words of sources only if a quote is as short

Symptom: grounding_verdict takes more CPU seconds a GB on the larger input, nearly all in the stage that cuts sources into runs of words and looks them up.
Evidence: CPU seconds grow as the input to the power 1.08 (498 task seconds a GB on 0.10 GB, 565 on 0.51 GB), shuffle to the power 1.02 (4 and 23 MB); one stage has 285 of the 0.51 GB's task seconds. It makes a text for each run of one, two and three words, though a quote of three words or more is only met by runs of three.
Fix: one row tells whether any quote has fewer than three words, and sources make the shorter runs only then; scans, joins and results stay.
Effect, together with 1 more commit on this code: at 1 GB of input CPU 1632 -> 1014 s, shuffle 0.06 -> 0.05 GB, spill 0.00 -> 0.00 GB, read 0.97 -> 0.97 GB, longest task 135 -> 79 s, most memory of a task 68 -> 68 MB; at 6 GB of input CPU 7453 -> 4454 s, shuffle 0.30 -> 0.28 GB, spill 0.00 -> 0.00 GB, read 5.89 -> 5.89 GB, longest task 167 -> 102 s, most memory of a task 68 -> 68 MB; with hot keys, at 1 GB of input CPU 434 -> 392 s, shuffle 0.02 -> 0.02 GB, spill 0.00 -> 0.00 GB, read 0.18 -> 0.18 GB, longest task 32 -> 25 s, most memory of a task 68 -> 68 MB.

@@ -49,6 +49,7 @@ def found(quotes: DataFrame, sources: DataFrame, scope: list[str] = []) -> DataF
         of_quote = F.transform("runs", lambda r: F.struct(r["i"], r["gram"], F.array_position(F.col("runs")["gram"], r["gram"]).cast("int")))
         asked = numbered.select(*scope, "_number", "short", F.inline(of_quote).alias("i", "gram", "_run"))
     else:
+        short = asked.agg(F.bool_or(F.size("w") < 3).alias("short"))  # one row
         asked = asked.select(*key, F.inline("runs").alias("i", "gram"))
     words = X.normal_words(X.nfkc(F.col("text"))).alias("w")
     if scope:  # a source meets the few runs of its scope in its own row, so texts are shuffled, not their runs
@@ -57,7 +58,9 @@ def found(quotes: DataFrame, sources: DataFrame, scope: list[str] = []) -> DataF
         runs = F.when(F.col("short"), _runs(w, (1, 2, 3), F.col("wanted"))).otherwise(_runs(w, (3,), F.col("wanted")))
         held = rows.select(*scope, "source_id", F.inline(runs).alias("at", "gram"))
     else:
-        held = sources.select("source_id", words).select("source_id", F.inline(_runs(w, (1, 2, 3))).alias("at", "gram")).join(asked.select("gram").distinct(), "gram", "left_semi")
+        rows = sources.select("source_id", words).crossJoin(F.broadcast(short))  # runs of one and two words are made if a quote is as short
+        runs = F.when(F.col("short"), _runs(w, (1, 2, 3))).otherwise(_runs(w, (3,)))
+        held = rows.select("source_id", F.inline(runs).alias("at", "gram")).join(asked.select("gram").distinct(), "gram", "left_semi")
     pair, run = (["_number", "source_id"], "_run") if scope else ([*key, "source_id"], "gram")
     shifted = asked.join(held, [*scope, "gram"]).groupBy(*pair, (F.col("at") - F.col("i")).alias("shift")).agg(F.count("*").alias("n"), F.collect_set(run).alias("held"))
     met = shifted.groupBy(*pair).agg(F.max("n").alias("n"), F.size(F.array_distinct(F.flatten(F.collect_list("held")))).alias("shared"))

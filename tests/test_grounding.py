@@ -122,3 +122,29 @@ def test_scoped_repeats_and_nulls(spark):
     ]
     rows = G.check(quotes, sources, ["scope"]).collect()
     assert len(rows) == len(asked) and {r.status for r in rows if r.quote_id == "blank"} == {"none"} and {r.status for r in rows if r.quote_id == "null"} == {"unverified"}
+
+
+def test_runs_only_as_short_as_quotes(spark, tmp_path):
+    """Of sources only runs of three words are made while no quote has fewer; with shorter quotes, or none, results are the same."""
+    sources = spark.createDataFrame([(i, " ".join(f"w{i}x{k}" for k in range(50))) for i in range(20)] + [(20, None), (21, ""), (22, "w1x1 w1x2")], "source_id long, text string")
+    sources.write.parquet(str(tmp_path / "s"))
+    sources = spark.read.parquet(str(tmp_path / "s"))
+    long = [(1, "w3x4 w3x5 w3x6 w3x7"), (2, "w4x1 w4x2 w9x9"), (3, None), (4, " ")]
+
+    def rows_out(asked):
+        """What is found, and how many rows the generator of the sources' runs has made."""
+        met = G.found(spark.createDataFrame(asked, "quote_id long, quote string"), sources)
+        found, made, nodes = {(r.quote_id, r.source_id, r.exact, r.coverage) for r in met.collect()}, [], [met._jdf.queryExecution().executedPlan()]
+        while nodes:
+            node = nodes.pop()
+            kind = node.getClass().getSimpleName()
+            if kind == "GenerateExec":
+                made.append(node.metrics().get("numOutputRows").get().value())
+            children = [node.executedPlan()] if kind == "AdaptiveSparkPlanExec" else [node.plan()] if kind.endswith("QueryStageExec") else [node.children().apply(i) for i in range(node.children().size())]
+            nodes += children
+        return found, max(made, default=0)
+
+    assert rows_out(long) == ({(1, 3, True, 1.0)}, 20 * 48)
+    found, made = rows_out([*long, (5, "w1x1 w1x2"), (6, "w7x0"), (5, "w1x1 w1x2")])
+    assert found == {(1, 3, True, 1.0), (5, 1, False, 1.0), (5, 22, False, 1.0), (6, 7, True, 1.0)} and made == 20 * (50 + 49 + 48) + 3
+    assert rows_out([(3, None)])[0] == set()
